@@ -24,6 +24,41 @@ def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_rules
+
+    docs = base.documents(spark, sf_dir, "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged, _ = quality_rules.judge(docs, labels)
+    return judged.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_id
+
+    docs = base.documents(spark, sf_dir, "doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
+    profiles = language_id.learn(docs.where(~F.col("held_out")), "doc_id", "text", "lang")
+    found = language_id.identify(docs, profiles, "doc_id", "text")
+    return found.withColumnRenamed("id", "doc_id").withColumn("held_out", language_id.held_out()).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    docs = base.documents(spark, sf_dir, "doc_id", "text", "source")
+    return mixing.mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_filter
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    judged, _ = url_filter.judge(pages)
+    return judged.withColumnRenamed("id", "page_id")
+
+
 def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import matroska
 
@@ -42,5 +77,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op8_matroska, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (
+    op1_sentence_pieces, op2_quality_rules, op3_language_id, op4_mixing, op7_url_filter, op8_matroska, op10_token_counts,
+)}
 ORACLES: dict[str, str] = {}
