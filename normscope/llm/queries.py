@@ -67,6 +67,13 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_media(media).withColumnRenamed("id", "doc_id")
 
 
+def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import wavelet
+
+    docs = base.documents(spark, sf_dir, "doc_id", "text")
+    return wavelet.store_and_read(docs, "doc_id", "text", base.tokenizer_path(BYTES))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import TokenCountCache
 
@@ -78,6 +85,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sentence_pieces, op2_quality_rules, op3_language_id, op4_mixing, op7_url_filter, op8_matroska, op10_token_counts,
+    op1_sentence_pieces, op2_quality_rules, op3_language_id, op4_mixing, op7_url_filter, op8_matroska, op9_wavelet, op10_token_counts,
 )}
 ORACLES: dict[str, str] = {}

@@ -71,7 +71,9 @@ class TokenCountCache:
         known = self.stored()
         missing = distinct if known is None else distinct.join(known.select("digest"), "digest", "left_anti")
         self._encoded(missing).write.mode("append").parquet(self.path)
-        counts = self.stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+        # runs at the same time may append a digest twice; written once more, so that both sides of
+        # the join are plain exchanges, whose large partitions (one text's copies) Spark can split
+        counts = base.stored(self.stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts-unique")
         return rows.join(counts, "digest").select("id", "n_bytes", "n_tokens")
 
     def _encoded(self, missing: DataFrame) -> DataFrame:
