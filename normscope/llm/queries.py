@@ -51,6 +51,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    found = pii.detect(base.documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    fixed = F.filter("spans", lambda s: ~s["added"])
+    counts = [F.size(F.filter(fixed, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined(fixed), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import url_filter
 
@@ -85,6 +95,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sentence_pieces, op2_quality_rules, op3_language_id, op4_mixing, op7_url_filter, op8_matroska, op9_wavelet, op10_token_counts,
+    op1_sentence_pieces, op2_quality_rules, op3_language_id, op4_mixing, op5_pii, op7_url_filter, op8_matroska, op9_wavelet, op10_token_counts,
 )}
 ORACLES: dict[str, str] = {}
