@@ -57,7 +57,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(base.documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     fixed = F.filter("spans", lambda s: ~s["added"])
-    counts = [F.size(F.filter(fixed, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    of = lambda kind: F.filter(fixed, lambda s: s["kind"] == kind)
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined(fixed), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
