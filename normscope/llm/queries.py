@@ -62,6 +62,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined(fixed), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.join(base.documents(spark, sf_dir, "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import url_filter
 
@@ -96,6 +102,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sentence_pieces, op2_quality_rules, op3_language_id, op4_mixing, op5_pii, op7_url_filter, op8_matroska, op9_wavelet, op10_token_counts,
+    op1_sentence_pieces, op2_quality_rules, op3_language_id, op4_mixing, op5_pii, op6_ngram_join, op7_url_filter, op8_matroska, op9_wavelet, op10_token_counts,
 )}
 ORACLES: dict[str, str] = {}
