@@ -150,3 +150,20 @@ def mix(
     return certain.select(columns).unionByName(rounded.select(columns)).select(
         "id", "source", "size", "source_size", "target", copies_taken.alias("copies"), (copies_taken * F.col("size")).alias("taken")
     )
+
+
+def taken(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix: every row of ``df`` as often as it is taken, with its columns as they are. Rows are
+    told apart by a hash of what they hold; equal rows share the sum of their copies."""
+    key = F.xxhash64(id_col, text_col, source_col)
+    name = next(f"_key{i}" for i in range(len(df.columns) + 1) if f"_key{i}" not in df.columns)
+    keyed = df.withColumn(name, key)
+    plan = base.stored(
+        mix(keyed, name, text_col, source_col).groupBy("id").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "mix-copies"
+    )
+    if plan.where("_rows > 1").limit(1).count():
+        keyed = keyed.dropDuplicates([name])
+    wanted = plan.where("_copies > 0").select(F.col("id").alias("_id"), "_copies")
+    wanted = F.broadcast(wanted) if wanted.count() <= 1_000_000 else wanted
+    rows = keyed.join(wanted, F.col(name) == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -395,3 +395,20 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, recal
     found = rows.where("node IS NOT NULL").join(facts, "node").select("id", "no_id", "class_id", "copy_of", "n_links")
     alone = rows.where("node IS NULL").select("id", "no_id", F.col("id").alias("class_id"), F.col("id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
     return found.unionByName(alone).select(F.when(~F.col("no_id"), F.col("id")).alias("id"), "class_id", "copy_of", "n_links")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay when every class keeps the document of its smallest id: others go,
+    and of rows with that id and one class, all but one."""
+    found = base.stored(join(df, id_col, text_col).select("id", "class_id", "copy_of"), "near-classes")
+    made = -1 - F.pmod(F.xxhash64(text_col), F.lit(1 << 62))
+    key = F.coalesce(F.col(id_col).cast("long"), made)
+    names = [c for c in df.columns]
+    own = F.coalesce("id", "copy_of")
+    dropped = found.where(own != F.col("class_id")).select(own.alias("_dropped")).distinct()
+    dropped = base.stored(dropped, "near-dropped")
+    rows = df.withColumn("_key", key).join(_few(dropped, dropped.count()), F.col("_key") == F.col("_dropped"), "left_anti")
+    kept = found.where(own == F.col("class_id"))
+    if kept.groupBy("class_id").count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["_key"])
+    return rows.select(*[F.col(f"`{c}`") for c in names])

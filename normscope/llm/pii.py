@@ -406,31 +406,51 @@ def redact(text: str, found: list[tuple[str, int, int, bool]]) -> str:
 SPANS = "array<struct<kind:string,start:long,end:long,added:boolean>>"
 
 
-def detect(df: DataFrame, id_col: str, text_col: str, *, model: BiLstmCrf | None = None, redacted: bool = False) -> DataFrame:
-    """(id, spans) of every row, and the redacted text if asked for (null for a null text)."""
+def detect(df: DataFrame, id_col: str, text_col: str, *, model: BiLstmCrf | None = None) -> DataFrame:
+    """(id, spans) of every row."""
     model = model or standard_model()
     weights = df.sparkSession.sparkContext.broadcast((model.hidden, model.p))  # some 100 KB
 
+    def rows(batch: pa.RecordBatch) -> dict[str, object]:
+        net = BiLstmCrf(weights.value[0])
+        net.p = weights.value[1]
+        text = batch.column(1)
+        raw, at = spans.blob(text)
+        may = np.flatnonzero(spans.per_text(((raw >= 0x30) & (raw <= 0x39)) | (raw == 0x40), at))
+        listed: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+        for i, s in zip(may.tolist(), find(net, text.take(pa.array(may)).to_pylist()), strict=True):
+            listed[i] = [dict(zip(("kind", "start", "end", "added"), x, strict=True)) for x in s]
+        return {"id": batch.column(0), "spans": listed}
+
+    return base.map_arrow(
+        df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), rows, f"id long, spans {SPANS}", max_bytes=1 << 20
+    )
+
+
+def redacted(df: DataFrame, text_col: str = "text", *, model: BiLstmCrf | None = None) -> DataFrame:
+    """``df`` with all spans of its texts redacted; other columns and null texts as they are."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    model = model or standard_model()
+    weights = df.sparkSession.sparkContext.broadcast((model.hidden, model.p))  # some 100 KB
+    at, schema = df.columns.index(text_col), df.schema
+
     def run(batches):
         net = BiLstmCrf(weights.value[0])
         net.p = weights.value[1]
-        schema = pa.schema([("id", pa.int64()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("added", pa.bool_())])))] + ([("text", pa.string())] if redacted else []))
+        arrow = to_arrow_schema(schema)
         for whole in batches:
             for batch in base.cut(whole, 1 << 20):
-                text = batch.column(1)
-                raw, at = spans.blob(text)
-                may = np.flatnonzero(spans.per_text(((raw >= 0x30) & (raw <= 0x39)) | (raw == 0x40), at))
-                some = text.take(pa.array(may)).to_pylist()
-                found = find(net, some)
-                listed: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-                for i, s in zip(may.tolist(), found, strict=True):
-                    listed[i] = [dict(zip(("kind", "start", "end", "added"), x, strict=True)) for x in s]
-                columns = [batch.column(0), pa.array(listed, schema.field(1).type)]
-                if redacted:
+                text = batch.column(at)
+                raw, place = spans.blob(text)
+                may = np.flatnonzero(spans.per_text(((raw >= 0x30) & (raw <= 0x39)) | (raw == 0x40), place))
+                columns = [c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=True)]
+                if may.size:
                     texts = text.to_pylist()
-                    for i, t, s in zip(may.tolist(), some, found, strict=True):
+                    some = [texts[i] for i in may.tolist()]
+                    for i, t, s in zip(may.tolist(), some, find(net, some), strict=True):
                         texts[i] = redact(t, s) if s else t
-                    columns.append(pa.array(texts, pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                    columns[at] = pa.array(texts, arrow.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id long, spans {SPANS}" + (", text string" if redacted else ""))
+    return df.mapInArrow(run, schema)

@@ -114,15 +114,35 @@ def statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def with_statistics(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``df`` as it is, with a struct of COUNTS named ``name``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import LongType, StructField, StructType
 
+    schema = StructType([*df.schema.fields, StructField(name, StructType([StructField(c, LongType()) for c in COUNTS]))])
+    at = df.columns.index(text_col)
 
-def feature(name: str) -> Column:
+    def run(batches):
+        arrow = to_arrow_schema(schema)
+        for whole in batches:
+            for batch in base.cut(whole, 1 << 20):
+                counts = measure(batch.column(at))
+                struct = pa.StructArray.from_arrays([pa.array(counts[c], pa.int64()) for c in COUNTS], list(COUNTS))
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)), struct], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def base_failed(prefix: str = "") -> Column:
+    words, repeated = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    return (words < 10) | (100 * repeated > 20 * words)
+
+
+def feature(name: str, prefix: str = "") -> Column:
     """A feature as a double; 0 where its divisor is 0."""
     top, _, bottom = FEATURES[name].partition(" / ")
-    value = F.col(top).cast("double")
-    return F.when(F.col(bottom) > 0, value / F.col(bottom)).otherwise(F.lit(0.0)) if bottom else value
+    value, divisor = F.col(prefix + top).cast("double"), F.col(prefix + bottom)
+    return F.when(divisor > 0, value / divisor).otherwise(F.lit(0.0)) if bottom else value
 
 
 @dataclass(frozen=True)
@@ -134,8 +154,8 @@ class Condition:
     def holds(self, x: dict[str, np.ndarray]) -> np.ndarray:
         return x[self.feature] >= self.threshold if self.above else x[self.feature] < self.threshold
 
-    def expression(self) -> Column:
-        value = feature(self.feature)
+    def expression(self, prefix: str = "") -> Column:
+        value = feature(self.feature, prefix)
         return value >= F.lit(self.threshold) if self.above else value < F.lit(self.threshold)
 
     def __str__(self) -> str:
@@ -148,13 +168,13 @@ class DecisionList:
 
     rules: tuple[tuple[Condition, ...], ...] = ()
 
-    def expression(self) -> Column:
+    def expression(self, prefix: str = "") -> Column:
         """The index of the first rule that holds; null if none does."""
         out = None
         for k, rule in enumerate(self.rules):
             test = F.lit(True)
             for c in rule:
-                test = test & c.expression()
+                test = test & c.expression(prefix)
             out = F.when(test, F.lit(k)) if out is None else out.when(test, F.lit(k))
         return F.lit(None).cast("int") if out is None else out
 
@@ -231,25 +251,35 @@ def _prune(x, bad, rows, rule: list[Condition]) -> list[Condition]:
     return best
 
 
-def learn_from(stats: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED) -> DecisionList:
-    """From stored statistics and (doc_id, quality) labels, quality 0 being bad; from all labelled
-    rows up to ``max_labelled``, beyond it from those whose hash of the id is lowest."""
+def learn_from(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_labelled: int = MAX_LABELLED) -> DecisionList:
+    """From (doc_id, quality) labels of documents, quality 0 being bad: from all of them up to
+    ``max_labelled``, beyond it from about that many, those whose hash of the id is lowest. So the
+    chosen ids are few, whatever the table's size, and are broadcast to read their texts alone."""
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = marks.count()
-    share = min(1.0, 0.8 * max_labelled / max(1, n))
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + (1 if share >= 1 else 0))
-    rows = (
-        stats.where(~base_failed()).join(marks.where(chosen), stats["id"] == marks["doc_id"])
-        .select("id", "quality", *[feature(f).alias(f) for f in FEATURES]).orderBy("id", *FEATURES).limit(2 * max_labelled)
-    )
-    got = rows.toPandas()
-    x = {f: got[f].to_numpy(dtype=float) for f in FEATURES}
-    return learn(x, got["quality"].to_numpy() == 0) if len(got) else DecisionList()
+    if n > max_labelled:
+        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(max_labelled / n * (1 << 30)))
+    chosen = marks.select(F.col("doc_id").cast("long").alias("label_id"), "quality")
+    known = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("label_id")), F.col("id") == F.col("label_id"), "left_semi")
+    stats = statistics(known, "id", "text").where(~base_failed())
+    got = stats.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("id", "quality", *[feature(f).alias(f) for f in FEATURES]).toPandas()
+    if not len(got):
+        return DecisionList()
+    got = got.sort_values(["id", *FEATURES], kind="stable")
+    return learn({f: got[f].to_numpy(dtype=float) for f in FEATURES}, got["quality"].to_numpy() == 0)
 
 
 def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DecisionList]:
     """(id, COUNTS, base_failed, rule, kept) of every row, and the list learned."""
-    stats = base.stored(statistics(df, id_col, text_col), "quality")
-    rules = learn_from(stats, labels)
-    rule = rules.expression()
-    return stats.withColumns({"base_failed": base_failed(), "rule": rule.cast("int")}).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules
+    rules = learn_from(df, labels, id_col, text_col)
+    stats = statistics(df, id_col, text_col)
+    rule = rules.expression().cast("int")
+    return stats.withColumns({"base_failed": base_failed(), "rule": rule}).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules
+
+
+def keep(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that the base and the learned list keep, with their columns as they are."""
+    rules = learn_from(df, labels, id_col, text_col)
+    name = next(f"_statistics{i}" for i in range(len(df.columns) + 1) if f"_statistics{i}" not in df.columns)
+    prefix = f"{name}."
+    return with_statistics(df, text_col, name).where(~base_failed(prefix) & rules.expression(prefix).isNull()).select(*[F.col(f"`{c}`") for c in df.columns])
