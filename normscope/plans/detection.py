@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators import baselines, cases, detectors, ensemble, history
+from ..sources import tables
 from ..spec import EventSpec
 
 
@@ -62,9 +63,8 @@ def detect(
 ) -> DataFrame:
     """Scored events with their ``decision``."""
     config = config or cases.GateConfig(min_score=spec.min_score)
-    gated = cases.gate(score(log, spec, train_ratio=train_ratio, use=use), spec, config, policies)
-    # the fold and the join back both read the gated rows: held once, on disk where memory lacks
-    return cases.decide(gated.persist(), spec, config, open_cases)
+    scored = tables.materialised(score(log, spec, train_ratio=train_ratio, use=use))
+    return cases.decide(cases.gate(scored, spec, config, policies), spec, config, open_cases)
 
 
 def case_queue(log: DataFrame, spec: EventSpec, **options: object) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -12,6 +16,20 @@ from ..functions import scalars as S
 from ..spec import EventSpec
 
 
+def materialised(rows: DataFrame) -> DataFrame:
+    """Rows written to shared storage and read back. Detector outputs are stored like this once, so that
+    scores can be recomputed, later steps don't repeat the detectors, and filters on fused scores
+    aren't pushed down as one huge expression. The folder is ``spark.checkpoint.dir``, else a local one."""
+    spark = rows.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        root = f"file://{tempfile.mkdtemp(prefix='normscope-')}"
+        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
+    path = f"{root.rstrip('/')}/normscope-rows-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 class Catalog:
     """Parquet tables below a root, partitioned by tenant; every read is of one tenant."""
 
