@@ -11,7 +11,9 @@ Runs repeat until a pair at the threshold meets with the target recall (``runs_f
 Comparing has two rounds. First every node of a bucket meets the bucket's leader; the links found
 give components. Then only nodes of different components meet, so a large group of near copies,
 joined by its leaders, isn't compared pair by pair again. Every candidate is verified exactly over
-both whole sets; 128-bit sketches and sizes only discard pairs far below the threshold.
+both whole sets. Before that, sizes and odd sketches discard pairs that can't reach the threshold (an
+odd sketch of 128 bits differs in no more bits than the sets do in windows), and 1-bit minwise sketches
+those far below it.
 
 Results: one row for each document with its class (the smallest id of its component), its node's
 smallest id, and its number of links: other distinct texts of similarity 0.8 or more, counted
@@ -27,10 +29,11 @@ of n sets share with a chance of n * n / 2**65.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import base, spans
@@ -38,7 +41,7 @@ from . import base, spans
 SHINGLE = 5
 SIMILARITY = 0.8
 TARGET_RECALL = 0.99
-LEAF = 300  # nodes of a bucket that is compared without more splitting
+LEAF = 600  # nodes of a bucket that is compared without more splitting
 BLOCK = 512  # nodes of a side when a component's links are counted
 SKETCH_FROM = 100  # windows of both sets from which sketches tell enough
 SKETCH_SHARE = 0.72  # of equal bits; 0.9 is the mean at the threshold, six deviations above
@@ -120,6 +123,15 @@ def sketches(window: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(bit.astype(np.uint8), axis=1).view(">i8").astype(np.int64)  # (n, 2)
 
 
+def odd_sketches(window: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """128 bits of each set: whether an odd number of its windows fall on the bit."""
+    n = at.size - 1
+    of = np.repeat(np.arange(n), np.diff(at))
+    bit = (spans.mix(window ^ np.uint64(0x3C3C3C3C)) & np.uint64(127)).astype(np.int64)
+    counts = np.bincount(of * 128 + bit, minlength=128 * n).reshape(n, 128)
+    return np.packbits((counts & 1).astype(np.uint8), axis=1).view(">i8").astype(np.int64)  # (n, 2)
+
+
 def follow(window: np.ndarray, limit: np.ndarray | np.uint64, bucket: int) -> np.ndarray:
     """Children's buckets of the tokens that a set follows out of a bucket."""
     h = spans.mix(window ^ np.uint64(bucket))
@@ -136,7 +148,8 @@ def _root(run: int) -> int:
     return int(spans.mix(np.array([0xC0FFEE + 7919 * run], dtype=np.uint64))[0])
 
 
-_NODES = "id long, no_id boolean, node long, n int, s1 long, s2 long, buckets array<long>"
+FACTS = ("n", "s1", "s2", "o1", "o2")
+_NODES = "id long, no_id boolean, node long, n int, s1 long, s2 long, o1 long, o2 long, buckets array<long>"
 
 
 def _scan(df: DataFrame, runs: int) -> DataFrame:
@@ -146,7 +159,7 @@ def _scan(df: DataFrame, runs: int) -> DataFrame:
         window, at = shingles(batch.column("text"))
         size = np.diff(at)
         node = spans.mix(_sums(spans.mix(window), at) ^ size.astype(np.uint64)).view(np.int64)
-        sketch = sketches(window, at)
+        sketch, odd = sketches(window, at), odd_sketches(window, at)
         limit = np.repeat(_limit(size), size)
         text_of = np.repeat(np.arange(size.size), size)
         bucket, owner = [], []
@@ -161,6 +174,7 @@ def _scan(df: DataFrame, runs: int) -> DataFrame:
         empty = size == 0
         return {
             "id": batch.column("id"), "no_id": batch.column("no_id"), "node": pa.array(node, mask=empty), "n": size.astype(np.int32), "s1": sketch[:, 0], "s2": sketch[:, 1],
+            "o1": odd[:, 0], "o2": odd[:, 1],
             "buckets": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(bucket)[order])),
         }
 
@@ -213,11 +227,10 @@ def _children(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return grouped.join(sets, "node").select("node", "buckets", "set").mapInArrow(run, "bucket long, node long").distinct()
 
 
-def _leaves(nodes: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
-    """(bucket, node, n, s1, s2) of all buckets that are compared."""
-    facts = nodes.select("node", "n", "s1", "s2")
+def _leaves(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], depth: int) -> DataFrame:
+    """(bucket, node, FACTS) of all buckets that are compared."""
     now = nodes.select("node", F.explode(F.array_distinct("buckets")).alias("bucket"))
-    done = []
+    done, sets = [], None
     for level in range(1, depth + 1):
         sized = base.stored(_sized(now), f"level-{level}")
         if level == depth:
@@ -227,11 +240,12 @@ def _leaves(nodes: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
         large = sized.where(F.col("size") > LEAF).select("bucket", "node")
         if not large.limit(1).count():
             break
+        sets = sets_of(large.select("node").distinct()) if sets is None else sets
         now = base.stored(_children(large, sets), f"children-{level}")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.join(facts, "node").select("bucket", "node", "n", "s1", "s2")
+    return out.join(nodes.select("node", *FACTS), "node").select("bucket", "node", *FACTS)
 
 
 # ---------------------------------------------------------------- pairs
@@ -240,9 +254,12 @@ def _leaves(nodes: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
 def _may_link(a: str, b: str) -> Column:
     """False only far below the threshold."""
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-    sized = (F.least(n_a, n_b) >= F.greatest(n_a, n_b) * (SIMILARITY - 1e-9))
-    equal = 128 - F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) - F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
-    return sized & ((F.least(n_a, n_b) < SKETCH_FROM) | (equal >= math.floor(128 * SKETCH_SHARE)))
+    sized = F.least(n_a, n_b) >= F.greatest(n_a, n_b) * (SIMILARITY - 1e-9)
+    differing = lambda x, y: F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) + F.bit_count(F.col(f"{a}.{y}").bitwiseXOR(F.col(f"{b}.{y}")))
+    # at the threshold the sets differ in a ninth of their windows together
+    possible = differing("o1", "o2") <= (n_a + n_b) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9
+    equal = 128 - differing("s1", "s2")
+    return sized & possible & ((F.least(n_a, n_b) < SKETCH_FROM) | (equal >= math.floor(128 * SKETCH_SHARE)))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -255,7 +272,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _leader_pairs(leaves: DataFrame) -> DataFrame:
-    leader = leaves.groupBy("bucket").agg(F.min(F.struct("node", "n", "s1", "s2")).alias("l"))
+    leader = leaves.groupBy("bucket").agg(F.min(F.struct("node", *FACTS)).alias("l"))
     leader = base.stored(leader.select("bucket", "l.*"), "leaders")
     met = leaves.alias("x").join(leader.alias("y"), "bucket").where((F.col("x.node") != F.col("y.node")) & _may_link("x", "y"))
     return met.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
@@ -368,22 +385,31 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, recal
     depth = depth or depth_for(df.count())
     scanned = base.stored(_scan(docs, runs_for(depth, recall)), "scanned")
     nodes = base.stored(
-        scanned.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "buckets")]), "nodes"
+        scanned.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in (*FACTS, "buckets")]), "nodes"
     )
-    # sets are read again for nodes that share a first bucket alone
-    first = nodes.select("node", F.explode(F.array_distinct("buckets")).alias("bucket"))
-    shared = base.stored(_sized(first).select("node").distinct().join(nodes.select("node", "id"), "node"), "shared")
-    wanted = _few(shared, shared.count())
-    read = docs.join(wanted.select(F.col("id").alias("wanted_id")).distinct(), docs["id"] == F.col("wanted_id"), "left_semi")
-    sets = base.stored(_sets(read.select("id", "text")), "sets").select("node", "set")
-    if sets.select("node").distinct().count() < sets.count():
-        sets = base.stored(sets.groupBy("node").agg(F.first("set").alias("set")), "sets-once")
-    leaves = base.stored(_leaves(nodes, sets, depth), "leaves")
-    links = base.stored(_verified(_leader_pairs(leaves), sets), "leader-links")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(node, set) of some nodes, read again from the text of one of each node's documents."""
+        ids = base.stored(wanted.join(nodes.select("node", "id"), "node").select(F.col("id").alias("_id"), "node"), "wanted")
+        ids = _few(ids.select("_id").distinct(), ids.count())
+        read = _sets(docs.join(ids, docs["id"] == F.col("_id"), "left_semi").select("id", "text"))
+        found = base.stored(read.select("node", "set"), "sets")
+        if found.select("node").distinct().count() < found.count():  # rows of one id and text
+            found = base.stored(found.groupBy("node").agg(F.first("set").alias("set")), "sets-once")
+        return found
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = base.stored(pairs, "pairs")
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        return base.stored(_verified(pairs, sets_of(ends)), "links-found")
+
+    leaves = base.stored(_leaves(nodes, sets_of, depth), "leaves")
+    links = verified(_leader_pairs(leaves))
     component = components(links)
-    more = base.stored(_verified(_other_pairs(leaves, component), sets), "other-links")
+    more = verified(_other_pairs(leaves, component))
     if more.limit(1).count():
         component = components(links.unionByName(more))
+    sets = sets_of(component.select("node"))
     counts = link_counts(component, sets)
     least = base.stored(component.join(nodes.select("node", "id"), "node").groupBy("c").agg(F.min("id").alias("class_id")), "classes")
     known = component.join(least, "c").join(counts, "node", "left").select("node", "class_id", "n_links")

@@ -141,8 +141,8 @@ def base_failed(prefix: str = "") -> Column:
 def feature(name: str, prefix: str = "") -> Column:
     """A feature as a double; 0 where its divisor is 0."""
     top, _, bottom = FEATURES[name].partition(" / ")
-    value, divisor = F.col(prefix + top).cast("double"), F.col(prefix + bottom)
-    return F.when(divisor > 0, value / divisor).otherwise(F.lit(0.0)) if bottom else value
+    value = F.col(prefix + top).cast("double")
+    return F.when(F.col(prefix + bottom) > 0, value / F.col(prefix + bottom)).otherwise(F.lit(0.0)) if bottom else value
 
 
 @dataclass(frozen=True)
