@@ -111,7 +111,7 @@ def _made() -> str:
     weights = [C.DETECTOR_WEIGHTS[d] for d in C.DETECTORS]
     parts = " UNION ALL ".join(
         f"""SELECT event_id, {i} AS i, '{d}' AS detector, {w}::DOUBLE AS w, (event_id + {i}) % {i + 2} <> 0 AS applies,
-  CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE ((event_id * {37 + 12 * i} + {11 * i}) % 101) / 100.0::DOUBLE END AS s, '{("value", "k")[i % 2]}' AS feature FROM ev"""
+  CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE ((event_id * {37 + 12 * i} + {11 * i}) % 997) / 997.0::DOUBLE END AS s, '{("value", "k")[i % 2]}' AS feature FROM ev"""
         for i, (d, w) in enumerate(zip(C.DETECTORS, weights, strict=True))
     )
     return f"""{EV}, mr AS ({parts}), ap AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY s DESC, i) AS place FROM mr WHERE applies),

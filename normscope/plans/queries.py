@@ -172,7 +172,7 @@ def _made_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = []
     for i, d in enumerate(C.DETECTORS):
         applies = F.pmod(F.col("event_id") + i, F.lit(i + 2)) != 0
-        score = F.when(F.pmod(F.col("event_id"), F.lit(7)) == 0, F.lit(0.0)).otherwise(F.pmod(F.col("event_id") * (37 + 12 * i) + 11 * i, F.lit(101)) / 100.0)
+        score = F.when(F.pmod(F.col("event_id"), F.lit(7)) == 0, F.lit(0.0)).otherwise(F.pmod(F.col("event_id") * (37 + 12 * i) + 11 * i, F.lit(997)) / 997.0)
         why = F.when(score >= 0.5, F.array(results.reason(d, F.lit(("value", "k")[i % 2]), F.lit(None), F.col("value"), F.lit(None), F.lit(None), score, F.lit(f"by {d}"), F.lit("*")))).otherwise(results.no_reasons())
         made.append(results.result(d, applies, score, why, scope=S.scope_key(logs.EVENTS.dimensions)).alias(f"d_{d}"))
     return ensemble.fuse(rows.select("*", *made), logs.EVENTS)
