@@ -96,7 +96,7 @@ def fit(training: DataFrame, spec: EventSpec, min_rows: int = C.FOREST_MIN_ROWS)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < min_rows:
-            return pd.DataFrame({"scope_key": [], "model": []})
+            return pd.DataFrame({"scope_key": [], "model": []}, dtype=object)
         pdf = pdf.sort_values("_rn")
         return pd.DataFrame({"scope_key": [pdf["scope_key"].iloc[0]], "model": [pickle.dumps(Forest(pdf[[f"_x{i}" for i in range(len(features))]].to_numpy(dtype=float)))]})
 
