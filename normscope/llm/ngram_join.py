@@ -8,9 +8,9 @@ the larger set. Small buckets are compared by brute force; large ones are split
 that grows with the logarithm of the table; what is still large then is compared whole, in blocks.
 Runs repeat until a pair at the threshold meets with the target recall (``runs_for``).
 
-Comparing has two rounds. First every node of a bucket meets the bucket's leader; the links found
-give components. Then only nodes of different components meet, so a large group of near copies,
-joined by its leaders, isn't compared pair by pair again. Every candidate is verified exactly over
+Comparing has three rounds. First every node of a bucket meets the bucket's eight leaders; the links found
+give components. Then it meets eight other leaders of other components. Then only nodes of different
+components meet, so a large group of near copies, joined by its leaders, isn't compared pair by pair. Every candidate is verified exactly over
 both whole sets. Before that, sizes and odd sketches discard pairs that can't reach the threshold (an
 odd sketch of 128 bits differs in no more bits than the sets do in windows), and 1-bit minwise sketches
 those far below it.
@@ -33,7 +33,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import base, spans
@@ -42,6 +42,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 TARGET_RECALL = 0.99
 LEAF = 600  # nodes of a bucket that is compared without more splitting
+LEADERS = 8
 BLOCK = 512  # nodes of a side when a component's links are counted
 SKETCH_FROM = 100  # windows of both sets from which sketches tell enough
 SKETCH_SHARE = 0.72  # of equal bits; 0.9 is the mean at the threshold, six deviations above
@@ -271,11 +272,24 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b")
 
 
-def _leader_pairs(leaves: DataFrame) -> DataFrame:
-    leader = leaves.groupBy("bucket").agg(F.min(F.struct("node", *FACTS)).alias("l"))
-    leader = base.stored(leader.select("bucket", "l.*"), "leaders")
-    met = leaves.alias("x").join(leader.alias("y"), "bucket").where((F.col("x.node") != F.col("y.node")) & _may_link("x", "y"))
-    return met.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
+def _leader_pairs(leaves: DataFrame, turn: int, component: DataFrame | None = None) -> DataFrame:
+    """Pairs of a bucket's leaders and its nodes. Leaders are the LEADERS nodes of the lowest hashes of
+    this turn, so buckets that hold the same nodes mostly have the same ones. With components,
+    only pairs that would join two of them."""
+    rows = leaves
+    if component is not None:
+        rows = leaves.join(component, "node", "left").withColumn("c", F.coalesce("c", "node"))
+        mixed = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size"))
+        mixed = base.stored(mixed.where(F.col("low") != F.col("high")).where(F.col("size") > LEADERS).select("bucket"), "mixed-buckets")
+        rows = base.stored(rows.join(mixed, "bucket"), "mixed-rows")
+    rows = rows.withColumn("rank", F.xxhash64("node", F.lit(turn)))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("rank", "node"))
+    leader = base.stored(rows.withColumn("place", place).where(F.col("place") <= LEADERS).drop("place"), "leaders")
+    test = ((F.col("y.rank") < F.col("x.rank")) | ((F.col("y.rank") == F.col("x.rank")) & (F.col("y.node") < F.col("x.node")))) & _may_link("x", "y")
+    if component is not None:
+        test = test & (F.col("x.c") != F.col("y.c"))
+    met = rows.alias("x").join(leader.alias("y"), "bucket").where(test)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _other_pairs(leaves: DataFrame, component: DataFrame) -> DataFrame:
@@ -404,11 +418,13 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, recal
         return base.stored(_verified(pairs, sets_of(ends)), "links-found")
 
     leaves = base.stored(_leaves(nodes, sets_of, depth), "leaves")
-    links = verified(_leader_pairs(leaves))
+    links = verified(_leader_pairs(leaves, 0))
     component = components(links)
-    more = verified(_other_pairs(leaves, component))
-    if more.limit(1).count():
-        component = components(links.unionByName(more))
+    for find in (lambda: _leader_pairs(leaves, 1, component), lambda: _other_pairs(leaves, component)):
+        more = verified(find())
+        if more.limit(1).count():
+            links = base.stored(links.unionByName(more), "links-so-far")
+            component = components(links)
     sets = sets_of(component.select("node"))
     counts = link_counts(component, sets)
     least = base.stored(component.join(nodes.select("node", "id"), "node").groupBy("c").agg(F.min("id").alias("class_id")), "classes")
