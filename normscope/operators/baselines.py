@@ -38,12 +38,12 @@ def unpivot(rows: DataFrame, features: Sequence[str], keep: Sequence[str]) -> Da
 def numeric_stats(values: DataFrame, keys: Sequence[str], *, floor: bool = True, digits: int | None = 6, min_values: int = C.MIN_NUMERIC_VALUES) -> DataFrame:
     """Robust statistics of ``value`` in every group of ``keys``. Where zeros make up the share
     ZERO_INFLATION_SHARE or more, they describe the non-zero values, unless those are fewer than
-    three. Two passes: the deviations' median needs the median."""
-    non_zero = F.when(F.col("value") != 0, F.col("value"))
+    three. A row stands for ``n`` equal values. Two passes: the deviations' median needs the median."""
+    non_zero, n = F.when(F.col("value") != 0, F.col("value")), F.col("n")
     quantiles = F.array(*[F.lit(q) for q in (0.5, 0.05, 0.25, 0.75, 0.95)])
     first = values.groupBy(*keys).agg(
-        F.count("value").alias("count"), F.count(non_zero).alias("n_nz"),
-        F.percentile("value", quantiles).alias("q_all"), F.percentile(non_zero, quantiles).alias("q_nz"),
+        F.sum("n").alias("count"), F.coalesce(F.sum(F.when(F.col("value") != 0, n)), F.lit(0)).alias("n_nz"),
+        F.percentile("value", quantiles, n).alias("q_all"), F.percentile(non_zero, quantiles, n).alias("q_nz"),
         F.min("value").alias("lo_all"), F.max("value").alias("hi_all"), F.min(non_zero).alias("lo_nz"), F.max(non_zero).alias("hi_nz"),
     )
     exact_share = (F.col("count") - F.col("n_nz")) / F.col("count")
@@ -54,7 +54,7 @@ def numeric_stats(values: DataFrame, keys: Sequence[str], *, floor: bool = True,
         F.when(use_nz, F.col("lo_nz")).otherwise(F.col("lo_all")).alias("min"), F.when(use_nz, F.col("hi_nz")).otherwise(F.col("hi_all")).alias("max"),
     )
     deviation = F.when(~F.col("use_nz") | (F.col("value") != 0), F.abs(F.col("value") - F.col("q")[0]))
-    mads = values.join(first.select(*keys, "use_nz", "q"), list(keys)).groupBy(*keys).agg(F.percentile(deviation, F.lit(0.5)).alias("mad"))
+    mads = values.join(first.select(*keys, "use_nz", "q"), list(keys)).groupBy(*keys).agg(F.percentile(deviation, F.lit(0.5), n).alias("mad"))
     rows = first.join(mads, list(keys))
     median = F.col("q")[0]
     sigma = F.col("mad") * C.MAD_TO_SIGMA
@@ -70,9 +70,12 @@ def numeric_stats(values: DataFrame, keys: Sequence[str], *, floor: bool = True,
 
 
 def numeric_baselines(events: DataFrame, features: Sequence[str], dimensions: Sequence[str]) -> DataFrame:
-    """(scope_key, depth, feature, STATS..., zero_inflated)."""
-    scoped = in_scopes(events.select(*dict.fromkeys([*features, *dimensions])), dimensions)
-    return numeric_stats(unpivot(scoped, features, ("scope_key", "depth")), ("scope_key", "depth", "feature"))
+    """(scope_key, depth, feature, STATS..., zero_inflated). Equal values of a full scope are counted first,
+    so the prefixes repeat distinct values, not events."""
+    keys = list(dict.fromkeys(dimensions))
+    values = unpivot(events.select(*dict.fromkeys([*features, *keys])), features, keys)
+    counted = values.groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    return numeric_stats(in_scopes(counted, dimensions), ("scope_key", "depth", "feature"))
 
 
 def categorical_baselines(events: DataFrame, features: Sequence[str], dimensions: Sequence[str]) -> DataFrame:

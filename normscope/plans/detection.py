@@ -54,7 +54,8 @@ def score(log: DataFrame, spec: EventSpec, *, train_ratio: float = C.TRAIN_RATIO
         scored = detectors.isolation_forest(scored, training, spec)
     if "peer_group" in use:
         scored = detectors.peer_group(scored, training, spec)
-    return ensemble.fuse(scored, spec, tuple(d for d in C.DETECTORS if d in use)).drop("_training", "rn")
+    # stored before they are fused: fusing names each result many times
+    return ensemble.fuse(tables.materialised(scored.drop("_training", "rn")), spec, tuple(d for d in C.DETECTORS if d in use))
 
 
 def detect(
