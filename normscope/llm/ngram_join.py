@@ -12,7 +12,7 @@ Comparing has three rounds. First every node of a bucket meets the bucket's eigh
 give components. Then it meets eight other leaders of other components. Then only nodes of different
 components meet, so a large group of near copies, joined by its leaders, isn't compared pair by pair. Every candidate is verified exactly over
 both whole sets. Before that, sizes and odd sketches discard pairs that can't reach the threshold (an
-odd sketch of 128 bits differs in no more bits than the sets do in windows), and 1-bit minwise sketches
+odd sketch of 256 bits differs in no more bits than the sets do in windows), and 1-bit minwise sketches
 those far below it.
 
 Results: one row for each document with its class (the smallest id of its component), its node's
@@ -30,6 +30,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -125,12 +127,12 @@ def sketches(window: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def odd_sketches(window: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """128 bits of each set: whether an odd number of its windows fall on the bit."""
+    """256 bits of each set: whether an odd number of its windows fall on the bit."""
     n = at.size - 1
     of = np.repeat(np.arange(n), np.diff(at))
-    bit = (spans.mix(window ^ np.uint64(0x3C3C3C3C)) & np.uint64(127)).astype(np.int64)
-    counts = np.bincount(of * 128 + bit, minlength=128 * n).reshape(n, 128)
-    return np.packbits((counts & 1).astype(np.uint8), axis=1).view(">i8").astype(np.int64)  # (n, 2)
+    bit = (spans.mix(window ^ np.uint64(0x3C3C3C3C)) & np.uint64(255)).astype(np.int64)
+    counts = np.bincount(of * 256 + bit, minlength=256 * n).reshape(n, 256)
+    return np.packbits((counts & 1).astype(np.uint8), axis=1).view(">i8").astype(np.int64)  # (n, 4)
 
 
 def follow(window: np.ndarray, limit: np.ndarray | np.uint64, bucket: int) -> np.ndarray:
@@ -149,8 +151,8 @@ def _root(run: int) -> int:
     return int(spans.mix(np.array([0xC0FFEE + 7919 * run], dtype=np.uint64))[0])
 
 
-FACTS = ("n", "s1", "s2", "o1", "o2")
-_NODES = "id long, no_id boolean, node long, n int, s1 long, s2 long, o1 long, o2 long, buckets array<long>"
+FACTS = ("n", "s1", "s2", "o1", "o2", "o3", "o4")
+_NODES = "id long, no_id boolean, node long, n int, s1 long, s2 long, o1 long, o2 long, o3 long, o4 long, buckets array<long>"
 
 
 def _scan(df: DataFrame, runs: int) -> DataFrame:
@@ -175,7 +177,7 @@ def _scan(df: DataFrame, runs: int) -> DataFrame:
         empty = size == 0
         return {
             "id": batch.column("id"), "no_id": batch.column("no_id"), "node": pa.array(node, mask=empty), "n": size.astype(np.int32), "s1": sketch[:, 0], "s2": sketch[:, 1],
-            "o1": odd[:, 0], "o2": odd[:, 1],
+            "o1": odd[:, 0], "o2": odd[:, 1], "o3": odd[:, 2], "o4": odd[:, 3],
             "buckets": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(bucket)[order])),
         }
 
@@ -256,9 +258,9 @@ def _may_link(a: str, b: str) -> Column:
     """False only far below the threshold."""
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
     sized = F.least(n_a, n_b) >= F.greatest(n_a, n_b) * (SIMILARITY - 1e-9)
-    differing = lambda x, y: F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) + F.bit_count(F.col(f"{a}.{y}").bitwiseXOR(F.col(f"{b}.{y}")))
+    differing = lambda *names: reduce(add, [F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in names])
     # at the threshold the sets differ in a ninth of their windows together
-    possible = differing("o1", "o2") <= (n_a + n_b) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9
+    possible = differing("o1", "o2", "o3", "o4") <= (n_a + n_b) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9
     equal = 128 - differing("s1", "s2")
     return sized & possible & ((F.least(n_a, n_b) < SKETCH_FROM) | (equal >= math.floor(128 * SKETCH_SHARE)))
 
@@ -299,12 +301,16 @@ def _other_pairs(leaves: DataFrame, component: DataFrame) -> DataFrame:
     parts = rows.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("major"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("size")).where("parts > 1")
     mixed = base.stored(mixed.select("bucket", F.col("major.c").alias("major"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed-buckets")
-    rows = base.stored(rows.join(mixed, "bucket"), "mixed-rows")
+    rows = rows.join(mixed, "bucket")
+    # a pair is met in the least of the buckets that it shares, and not again in each of them
+    own = rows.groupBy("node").agg(F.collect_set("bucket").alias("own"))
+    rows = base.stored(rows.join(own, "node"), "mixed-rows")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     few = rows.where(F.col("c") != F.col("major")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     every = rows.withColumn("block", block)
     met = few.alias("x").join(every.alias("y"), ["bucket", "block"]).where(
         (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))) & _may_link("x", "y")
+        & (F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.bucket"))
     )
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
