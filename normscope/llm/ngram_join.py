@@ -21,7 +21,8 @@ exactly inside each component by blocks. Links and components stay distributed.
 
 Edge cases: a null or empty text is in a class of its own without links; texts of one to four words
 have one window; equal texts share a node whatever their ids; a null id is kept, and its class is a
-number below zero made from its text if no member has an id; an empty table gives an empty one; other
+number below zero made from its text if no member has an id; where an id comes with several texts,
+classes can share a smallest id, so ``keep_one`` tells them apart by their nodes; an empty table gives an empty one; other
 columns are neither read nor returned. Nodes are told apart by a 64-bit hash of their set, which two
 of n sets share with a chance of n * n / 2**65.
 """
@@ -152,7 +153,7 @@ def _root(run: int) -> int:
 
 
 FACTS = ("n", "s1", "s2", "o1", "o2", "o3", "o4")
-_NODES = "id long, no_id boolean, node long, n int, s1 long, s2 long, o1 long, o2 long, o3 long, o4 long, buckets array<long>"
+_NODES = "id long, no_id boolean, text_key long, node long, n int, s1 long, s2 long, o1 long, o2 long, o3 long, o4 long, buckets array<long>"
 
 
 def _scan(df: DataFrame, runs: int) -> DataFrame:
@@ -176,7 +177,7 @@ def _scan(df: DataFrame, runs: int) -> DataFrame:
         offsets = np.searchsorted(owner_all[order], np.arange(size.size + 1))
         empty = size == 0
         return {
-            "id": batch.column("id"), "no_id": batch.column("no_id"), "node": pa.array(node, mask=empty), "n": size.astype(np.int32), "s1": sketch[:, 0], "s2": sketch[:, 1],
+            "id": batch.column("id"), "no_id": batch.column("no_id"), "text_key": batch.column("text_key"), "node": pa.array(node, mask=empty), "n": size.astype(np.int32), "s1": sketch[:, 0], "s2": sketch[:, 1],
             "o1": odd[:, 0], "o2": odd[:, 1], "o3": odd[:, 2], "o4": odd[:, 3],
             "buckets": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(bucket)[order])),
         }
@@ -398,10 +399,17 @@ def _count_block(held: list[tuple[bool, int, np.ndarray]], same: bool) -> pa.Rec
 # ---------------------------------------------------------------- the join
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, recall: float = TARGET_RECALL, depth: int | None = None) -> DataFrame:
-    """(id, class_id, copy_of, n_links) of every row."""
-    made = -1 - F.pmod(F.xxhash64(text_col), F.lit(1 << 62))
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), made).alias("id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).alias("text"))
+def _own_id(id_col: str, text_col: str) -> Column:
+    """A row's id, or the number made from its text where that is null."""
+    return F.coalesce(F.col(id_col).cast("long"), -1 - F.pmod(F.xxhash64(text_col), F.lit(1 << 62)))
+
+
+def _classified(df: DataFrame, id_col: str, text_col: str, recall: float, depth: int | None) -> DataFrame:
+    """(id, no_id, text_key, class_key, class_id, copy_of, n_links) of every row. An id may come with several
+    texts: a class is told by ``class_key``, made from its nodes, and a row's text by its hash."""
+    docs = df.select(
+        _own_id(id_col, text_col).alias("id"), F.col(id_col).isNull().alias("no_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")
+    )
     depth = depth or depth_for(df.count())
     scanned = base.stored(_scan(docs, runs_for(depth, recall)), "scanned")
     nodes = base.stored(
@@ -434,29 +442,37 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, recal
     sets = sets_of(component.select("node"))
     counts = link_counts(component, sets)
     least = base.stored(component.join(nodes.select("node", "id"), "node").groupBy("c").agg(F.min("id").alias("class_id")), "classes")
-    known = component.join(least, "c").join(counts, "node", "left").select("node", "class_id", "n_links")
+    known = component.join(least, "c").join(counts, "node", "left").select("node", "c", "class_id", "n_links")
     facts = base.stored(
         nodes.select("node", F.col("id").alias("copy_of")).join(known, "node", "left")
-        .select("node", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "node-facts"
+        .select("node", F.coalesce("c", "node").alias("class_key"), "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "node-facts"
     )
-    rows = scanned.select("id", "no_id", "node")
-    found = rows.where("node IS NOT NULL").join(facts, "node").select("id", "no_id", "class_id", "copy_of", "n_links")
-    alone = rows.where("node IS NULL").select("id", "no_id", F.col("id").alias("class_id"), F.col("id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
-    return found.unionByName(alone).select(F.when(~F.col("no_id"), F.col("id")).alias("id"), "class_id", "copy_of", "n_links")
+    rows = scanned.select("id", "no_id", "text_key", "node")
+    found = rows.where("node IS NOT NULL").join(facts, "node").select("id", "no_id", "text_key", "class_key", "class_id", "copy_of", "n_links")
+    alone = rows.where("node IS NULL").select(
+        "id", "no_id", "text_key", F.xxhash64("id", F.lit("alone")).alias("class_key"), F.col("id").alias("class_id"), F.col("id").alias("copy_of"), F.lit(0).cast("long").alias("n_links")
+    )
+    return found.unionByName(alone)
+
+
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, recall: float = TARGET_RECALL, depth: int | None = None) -> DataFrame:
+    """(id, class_id, copy_of, n_links) of every row."""
+    found = _classified(df, id_col, text_col, recall, depth)
+    return found.select(F.when(~F.col("no_id"), F.col("id")).alias("id"), "class_id", "copy_of", "n_links")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay when every class keeps the document of its smallest id: others go,
-    and of rows with that id and one class, all but one."""
-    found = base.stored(join(df, id_col, text_col).select("id", "class_id", "copy_of"), "near-classes")
-    made = -1 - F.pmod(F.xxhash64(text_col), F.lit(1 << 62))
-    key = F.coalesce(F.col(id_col).cast("long"), made)
-    names = [c for c in df.columns]
-    own = F.coalesce("id", "copy_of")
-    dropped = found.where(own != F.col("class_id")).select(own.alias("_dropped")).distinct()
+    """The rows of ``df`` that stay when every class keeps one document, that of its smallest id and, of several
+    texts with that id, of the least text hash. Rows are told apart by id and text; of equal ones one stays."""
+    found = base.stored(_classified(df, id_col, text_col, TARGET_RECALL, None).select("id", "text_key", "class_key"), "near-classes")
+    own = F.struct("id", "text_key")
+    several = found.groupBy("class_key").agg(F.min(own).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class_key", "kept")
+    several = base.stored(several, "near-several")
+    members = found.join(_few(several, several.count()), "class_key")
+    dropped = members.where(own != F.col("kept")).select(F.col("id").alias("_dropped"), F.col("text_key").alias("_dropped_text")).distinct()
     dropped = base.stored(dropped, "near-dropped")
-    rows = df.withColumn("_key", key).join(_few(dropped, dropped.count()), F.col("_key") == F.col("_dropped"), "left_anti")
-    kept = found.where(own == F.col("class_id"))
-    if kept.groupBy("class_id").count().where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["_key"])
-    return rows.select(*[F.col(f"`{c}`") for c in names])
+    rows = df.withColumns({"_key": _own_id(id_col, text_col), "_text_key": F.xxhash64(text_col)})
+    rows = rows.join(_few(dropped, dropped.count()), (F.col("_key") == F.col("_dropped")) & (F.col("_text_key") == F.col("_dropped_text")), "left_anti")
+    if members.where(own == F.col("kept")).groupBy("class_key").count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["_key", "_text_key"])
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns])
