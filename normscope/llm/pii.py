@@ -6,8 +6,9 @@ A text is cut into overlapping windows; each is decoded by Viterbi, every charac
 from the window in whose middle part it lies, and spans are read from that one sequence of the whole
 text, so no span depends on where windows begin.
 
-A span of any kind holds a digit or an ``@`` (else it is dropped), so only windows that can give one
-to their middle part are decoded: those with such a sign anywhere in them. That skips no result.
+A span of any kind holds a digit or an ``@`` (else it is dropped), so decoding begins with the windows
+that hold such a sign, and goes on to the next windows while the decoded part's first or last character
+has a tag. A span with a sign so lies in the decoded part, as if all windows were decoded.
 Added spans must also pass the checks of ``_valid`` and not touch a span of the patterns, which stay.
 
 Edge cases: a null or empty text has no spans; texts of any length are read whole, in linear time;
@@ -334,8 +335,11 @@ def _valid(kind: str, piece: str) -> bool:
 
 
 def network_spans(model: BiLstmCrf, texts: list[str], block: int = 256) -> list[list[tuple[str, int, int]]]:
-    """Spans of whole texts, from all windows' middle parts."""
+    """Spans of whole texts, from windows' middle parts: those with signs, and those that spans reach from there."""
     coded = [shapes(t) for t in texts]
+    side = (WINDOW - STRIDE) // 2
+    # window s gives the tags from STRIDE * s - side, STRIDE of them
+    held = [np.zeros((x.size + side - 1) // STRIDE + 1 if x.size else 0, bool) for x in coded]
     where: list[tuple[int, int]] = []
     for k, x in enumerate(coded):
         sign = np.flatnonzero((x == DIGIT) | (x == 7 + _SIGNS.index("@")))
@@ -343,24 +347,42 @@ def network_spans(model: BiLstmCrf, texts: list[str], block: int = 256) -> list[
         first = (sign - WINDOW + 1 + STRIDE + STRIDE - 1) // STRIDE
         last = (sign + STRIDE) // STRIDE
         starts = np.unique(np.concatenate([first + j for j in range(int((last - first).max(initial=-1)) + 1)])) if sign.size else []
-        where += [(k, (int(s) - 1) * STRIDE) for s in starts if s >= 0]
+        where += [(k, int(s)) for s in starts if 0 <= s < held[k].size]
     tags = [np.zeros(x.size, np.int8) for x in coded]
-    side = (WINDOW - STRIDE) // 2
-    for at in range(0, len(where), block):
-        part = where[at : at + block]
-        x = np.zeros((len(part), WINDOW), np.uint8)
-        for row, (k, s) in enumerate(part):
-            a, b = max(0, s), min(coded[k].size, s + WINDOW)
-            if a < b:
-                x[row, a - s : b - s] = coded[k][a:b]
-        best = model.decode(x)
-        for row, (k, s) in enumerate(part):
-            a, b = max(0, s + side), min(coded[k].size, s + side + STRIDE)
-            if a < b:
-                tags[k][a:b] = best[row, a - s : b - s]
+    step = 1
+    while where:
+        for at in range(0, len(where), block):
+            part = [(k, (s - 1) * STRIDE) for k, s in where[at : at + block]]
+            x = np.zeros((len(part), WINDOW), np.uint8)
+            for row, (k, s) in enumerate(part):
+                a, b = max(0, s), min(coded[k].size, s + WINDOW)
+                if a < b:
+                    x[row, a - s : b - s] = coded[k][a:b]
+            best = model.decode(x)
+            for row, (k, s) in enumerate(part):
+                a, b = max(0, s + side), min(coded[k].size, s + side + STRIDE)
+                if a < b:
+                    tags[k][a:b] = best[row, a - s : b - s]
+        for k, s in where:
+            held[k][s] = True
+        where = [(k, s) for k in sorted({k for k, _ in where}) for s in _reached(held[k], tags[k], step)]
+        step *= 2  # so that a long span takes few rounds
     return [_spans_of(t, text) for t, text in zip(tags, texts, strict=True)]
 
 
+def _reached(held: np.ndarray, tags: np.ndarray, step: int) -> list[int]:
+    """The windows, up to ``step`` a side, beside decoded ones whose outermost character there has a tag."""
+    side = (WINDOW - STRIDE) // 2
+    begins = np.flatnonzero(held[1:] & ~held[:-1]) + 1
+    ends = np.flatnonzero(held[:-1] & ~held[1:])
+    out: set[int] = set()
+    for s in begins[tags[begins * STRIDE - side] > 0].tolist():
+        out.update(range(max(0, s - step), s))
+    for s in ends[tags[(ends + 1) * STRIDE - side - 1] > 0].tolist():
+        out.update(range(s + 1, min(held.size, s + 1 + step)))
+    return sorted(s for s in out if not held[s])
+
+
 def _spans_of(tags: np.ndarray, text: str) -> list[tuple[str, int, int]]:
     out, at = [], np.flatnonzero(tags)
     k = 0
