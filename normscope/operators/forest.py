@@ -1,8 +1,8 @@
 """Isolation forests in numpy, one for each scope.
 
-A tree sees at most 256 rows, so a scope's forest is grown from the rows of the lowest hashes (a bounded
-number, whatever the scope's size): the fit is one task of bounded memory for each scope, and the same in
-any partitioning.
+A tree sees at most 256 rows: those of the lowest hashes of all rows of its scope, the hash salted with the
+tree's number. So every row can be drawn, the fit is one task of bounded memory for each scope (trees times
+256 rows), and the same in any partitioning.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from ..spec import EventSpec
 from .baselines import in_scopes
 
 SAMPLE = 256
-#: Rows of a scope that its trees draw from, at most.
-MAX_ROWS = 8192
+#: Rows of a scope below which no row is set aside before a tree's rows are ordered; of larger scopes so many
+#: are expected for each tree, of which fewer than SAMPLE have a chance of about 1e-34.
+EXPECTED = 2 * SAMPLE
 #: Models that are sent to every task; beyond it they are joined to the events by scope.
 BROADCAST_MODELS = 200
 
@@ -42,6 +43,15 @@ class Forest:
         limit = max(1, math.ceil(math.log2(max(2, self.sample))))
         self.trees = [self._grow(rows[r.choice(len(rows), self.sample, replace=False)], limit, r) for _ in range(trees)]
 
+    @classmethod
+    def of_samples(cls, samples: list[np.ndarray], seed: int = C.FOREST_SEED) -> Forest:
+        """A tree of each sample."""
+        self, r = cls.__new__(cls), np.random.default_rng(seed)
+        self.sample = max(map(len, samples))
+        limit = max(1, math.ceil(math.log2(max(2, self.sample))))
+        self.trees = [cls._grow(rows, limit, r) for rows in samples]
+        return self
+
     @staticmethod
     def _grow(rows: np.ndarray, limit: int, r: np.random.Generator):
         feature, threshold, left, right, depth = [], [], [], [], []
@@ -91,14 +101,18 @@ def fit(training: DataFrame, spec: EventSpec, min_rows: int = C.FOREST_MIN_ROWS)
     values = [F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)]
     rows = in_scopes(training.select(F.col(spec.event_id).alias("_id"), *spec.dimensions, *values), spec.dimensions)
     complete = rows.dropna(subset=[f"_x{i}" for i in range(len(features))])
-    order = Window.partitionBy("scope_key").orderBy(F.xxhash64("_id"), *[f"_x{i}" for i in range(len(features))])
-    sample = complete.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= MAX_ROWS)
+    xs = [f"_x{i}" for i in range(len(features))]
+    sizes = complete.groupBy("scope_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
+    place = lambda tree: F.shiftrightunsigned(F.xxhash64("_h", tree), 11).cast("double") / float(1 << 53)
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(C.FOREST_TREES - 1)), lambda tree: place(tree) * F.col("_n") < EXPECTED)
+    rows = complete.join(sizes, "scope_key").withColumn("_h", F.xxhash64("_id", *xs))
+    rows = rows.select("scope_key", "_id", "_h", *xs, F.explode(drawn).alias("_tree"))
+    order = Window.partitionBy("scope_key", "_tree").orderBy(place(F.col("_tree")), "_id", *xs)
+    sample = rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= SAMPLE).select("scope_key", "_tree", "_rn", *xs)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < min_rows:
-            return pd.DataFrame({"scope_key": [], "model": []}, dtype=object)
-        pdf = pdf.sort_values("_rn")
-        return pd.DataFrame({"scope_key": [pdf["scope_key"].iloc[0]], "model": [pickle.dumps(Forest(pdf[[f"_x{i}" for i in range(len(features))]].to_numpy(dtype=float)))]})
+        samples = [tree[xs].to_numpy(dtype=float) for _, tree in pdf.sort_values(["_tree", "_rn"]).groupby("_tree")]
+        return pd.DataFrame({"scope_key": [pdf["scope_key"].iloc[0]], "model": [pickle.dumps(Forest.of_samples(samples))]})
 
     return sample.groupBy("scope_key").applyInPandas(grow, "scope_key string, model binary")
 
