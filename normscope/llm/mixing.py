@@ -21,6 +21,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import base
 
@@ -152,10 +153,17 @@ def mix(
     )
 
 
+def _whole_row(df: DataFrame) -> Column:
+    """A hash of all columns. Hashes skip nulls, so it is said which columns are null; nested ones go as JSON."""
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    held = [F.to_json(F.struct(f"`{f.name}`"), {"ignoreNullFields": "false"}) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`") for f in df.schema]
+    return F.xxhash64(*held, *[F.col(f"`{c}`").isNull() for c in df.columns])
+
+
 def taken(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix: every row of ``df`` as often as it is taken, with its columns as they are. Rows are
-    told apart by a hash of what they hold; equal rows share the sum of their copies."""
-    key = F.xxhash64(id_col, text_col, source_col)
+    told apart by a hash of all their columns; wholly equal rows share the sum of their copies."""
+    key = _whole_row(df)
     name = next(f"_key{i}" for i in range(len(df.columns) + 1) if f"_key{i}" not in df.columns)
     keyed = df.withColumn(name, key)
     plan = base.stored(
