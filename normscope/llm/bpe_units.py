@@ -9,14 +9,21 @@ operations over a batch's UTF-8 bytes; the library only sees units that this wor
 from __future__ import annotations
 
 import json
+import os
+import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+from . import spans
 
 SEGMENT = 1 << 17  # bytes hashed at once: the arrays stay in cache
 LONGEST_KEPT = 512  # bytes of a unit that is worth keeping
 TABLE_BITS = 21
+POOL_LIMIT = 1 << 24  # ids, or numbers of eight bytes, that are kept
 
 #: Bytes that may follow the space of a cut: visible ASCII, and the first bytes of U+00C0 to
 #: U+0FFF, where no white space lies. Elsewhere no cut is made, which is always right.
@@ -24,31 +31,32 @@ _SAFE = np.zeros(256, dtype=bool)
 _SAFE[0x21:0x7F] = True
 _SAFE[0xC3:0xE1] = True
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_RANDOM = np.random.default_rng(20240501).integers(1, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
-_RANDOM_32 = (_RANDOM >> np.uint64(17)).astype(np.uint32) | np.uint32(1)
+_FIRST_UNIT = np.uint64(0xA24BAED4963EE407)  # tells a text's first unit from the same bytes elsewhere
 
 
 class UnitEncoder:
-    """``encode_units(units, firsts)`` gives an array of ids for each unit: its text with the space
+    """``encode_units(units, firsts)`` gives the ids of each unit: its text with the space
     in front, or the start of a text (first). ``apart`` also asks that no space or piece mark
-    stands before a cut, for vocabularies whose pieces join spaces. Units are told apart by a
-    64-bit and a 32-bit hash; they are kept in an open-addressing table of bounded size."""
+    stands before a cut, for vocabularies whose pieces join spaces. Texts that hold one of ``uncut``
+    stay whole. Units up to LONGEST_KEPT bytes are kept in an open-addressing table of bounded size; a
+    hash finds a unit's place, and then its bytes are compared, so equal hashes never pass for equal units."""
 
-    def __init__(self, encode_units: Callable[[list[str], list[bool]], list[np.ndarray]], apart: bool = False, whole: bool = False, limit: int = 1_000_000):
-        self._encode, self._apart, self._whole = encode_units, apart, whole
+    def __init__(self, encode_units: Callable[[list[str], list[bool]], list[list[int]]], apart: bool = False, whole: bool = False, limit: int = 1_000_000, uncut: tuple[str, ...] = ()):
+        self._encode, self._apart, self._whole, self._uncut = encode_units, apart, whole, uncut
         self._limit = min(limit, (1 << TABLE_BITS) * 6 // 10)
-        self._powers = self._inverse = np.ones(1, dtype=np.uint64)
         self._reset()
 
     def _reset(self) -> None:
         self._keys = np.zeros(1 << TABLE_BITS, dtype=np.uint64)  # 0: empty
         self._slots = np.zeros(1 << TABLE_BITS, dtype=np.int32)
-        self._check = np.zeros(1024, dtype=np.uint32)
-        self._start = np.zeros(1024, dtype=np.int64)
+        self._start = np.zeros(1024, dtype=np.int64)  # of a slot's ids
         self._size = np.zeros(1024, dtype=np.int32)
         self._pool = np.zeros(8192, dtype=np.uint32)
-        self._used = self._filled = 0
+        self._text_at = np.zeros(1024, dtype=np.int64)  # of a slot's bytes, eight in a number
+        self._text_size = np.zeros(1024, dtype=np.int32)
+        self._first = np.zeros(1024, dtype=bool)
+        self._text = np.zeros(8192, dtype=np.uint64)
+        self._used = self._filled = self._written = 0
 
     def encode_arrow(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the place of each text's first id (n + 1)."""
@@ -60,10 +68,16 @@ class UnitEncoder:
         _, offsets, data = texts.buffers()
         at = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         blob = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
-        return self.encode(blob, at - at[0])
+        uncut = np.zeros(len(texts), dtype=bool)
+        for sign in self._uncut:
+            uncut |= pc.match_substring(texts, sign).to_numpy(zero_copy_only=False)
+        return self.encode(blob, at - at[0], uncut)
 
-    def encode(self, blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, blob: np.ndarray, offsets: np.ndarray, uncut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         starts, firsts = self._cut(blob, offsets)
+        if uncut is not None and uncut.any():
+            keep = firsts | ~uncut[np.searchsorted(offsets, starts, side="right") - 1]
+            starts, firsts = starts[keep], firsts[keep]
         ends = np.append(starts[1:], blob.size)
         ids, counts, a = [], [], 0
         while a < starts.size:
@@ -95,26 +109,44 @@ class UnitEncoder:
 
     def _segment(self, blob, starts, ends, firsts) -> tuple[np.ndarray, np.ndarray]:
         part = blob[starts[0] : ends[-1]]
-        s, e = starts - starts[0], ends - starts[0]
-        self._grow_powers(part.size)
-        key = (_between(_RANDOM[part], self._powers[: part.size], s, e) * self._inverse[s]) + firsts
-        check = _between(_RANDOM_32[part], self._powers_32[: part.size], s, e) * self._inverse_32[s]
-        key[key == 0] = 1
-        if self._used > self._limit:
+        s, size = starts - starts[0], ends - starts
+        if self._used > self._limit or max(self._filled, self._written) > POOL_LIMIT:
             self._reset()
-        of = self._look_up(key)
-        missing = np.flatnonzero(of < 0)
-        if missing.size:
-            distinct, first_at, inverse = np.unique(key[missing], return_index=True, return_inverse=True)
-            of[missing] = self._add(part, s, e, firsts, missing[first_at], check, distinct)[inverse]
-        wrong = np.flatnonzero(self._check[of] != check)  # equal first hashes of different units
-        if wrong.size:
-            of[wrong] = self._add(part, s, e, firsts, wrong, check, None)
-        size = self._size[of].astype(np.int64)
-        upto = np.cumsum(size)
-        place = np.repeat(self._start[of] - upto + size, size)
+        room = spans.padded(part)
+        of = np.full(s.size, -1, dtype=np.int64)
+        long = size > LONGEST_KEPT
+        if long.any():
+            of[long] = self._add(room, s, size, firsts, np.flatnonzero(long), None)
+        short = np.flatnonzero(~long)
+        if short.size:
+            key = spans.hashes(part, s[short], s[short] + size[short]) ^ (firsts[short] * _FIRST_UNIT)
+            key[key == 0] = 1
+            found = self._look_up(key)
+            missing = np.flatnonzero(found < 0)
+            if missing.size:
+                distinct, first_at, inverse = np.unique(key[missing], return_index=True, return_inverse=True)
+                found[missing] = self._add(room, s, size, firsts, short[missing[first_at]], distinct)[inverse]
+            wrong = self._others(room, s[short], size[short], firsts[short], found)
+            if wrong.size:  # equal hashes of different units
+                found[wrong] = self._add(room, s, size, firsts, short[wrong], None)
+            of[short] = found
+        n = self._size[of].astype(np.int64)
+        upto = np.cumsum(n)
+        place = np.repeat(self._start[of] - upto + n, n)
         place += np.arange(place.size)
-        return self._pool[place], size
+        return self._pool[place], n
+
+    def _others(self, room, s, size, firsts, of) -> np.ndarray:
+        """The units whose bytes aren't those of their slots."""
+        same = (self._text_size[of] == size) & (self._first[of] == firsts)
+        going = np.flatnonzero(same)
+        at, left, there = s[going], size[going], self._text_at[of[going]]
+        while going.size:
+            equal = spans.chunks_at(room, at, left) == self._text[there]
+            same[going[~equal]] = False
+            more = equal & (left > 8)
+            going, at, left, there = going[more], at[more] + 8, left[more] - 8, there[more] + 1
+        return np.flatnonzero(~same)
 
     def _look_up(self, key: np.ndarray) -> np.ndarray:
         at = (key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
@@ -141,46 +173,31 @@ class UnitEncoder:
             going = going[self._keys[at[going]] != key[going]]
             at[going] = (at[going] + 1) & ((1 << TABLE_BITS) - 1)
 
-    def _add(self, part, s, e, firsts, which, check, keys) -> np.ndarray:
-        units = [part[a:b].tobytes().decode() for a, b in zip(s[which].tolist(), e[which].tolist(), strict=True)]
-        made = self._encode(units, firsts[which].tolist())
-        n, sizes = len(made), np.array([len(x) for x in made], dtype=np.int64)
+    def _add(self, room, s, size, firsts, which, keys) -> np.ndarray:
+        """Slots of units that are encoded now; ``keys``, of units of LONGEST_KEPT bytes at most, are kept."""
+        s, size, firsts = s[which], size[which], firsts[which]
+        made = self._encode([room[a : a + n].tobytes().decode() for a, n in zip(s.tolist(), size.tolist(), strict=True)], firsts.tolist())
+        n, sizes = len(made), np.fromiter(map(len, made), np.int64, len(made))
+        chunks = np.where(size <= LONGEST_KEPT, (size + 7) // 8, 0)
         slots = np.arange(self._used, self._used + n)
-        self._check = _room(self._check, self._used + n)
-        self._start = _room(self._start, self._used + n)
-        self._size = _room(self._size, self._used + n)
+        for name in ("_start", "_size", "_text_at", "_text_size", "_first"):
+            setattr(self, name, _room(getattr(self, name), self._used + n))
         self._pool = _room(self._pool, self._filled + int(sizes.sum()))
-        self._check[slots] = check[which]
-        self._size[slots] = sizes
+        self._text = _room(self._text, self._written + int(chunks.sum()))
+        self._size[slots], self._text_size[slots], self._first[slots] = sizes, size, firsts
         self._start[slots] = self._filled + np.cumsum(sizes) - sizes
+        self._text_at[slots] = self._written + np.cumsum(chunks) - chunks
         if n:
-            self._pool[self._filled : self._filled + int(sizes.sum())] = np.concatenate(made)
+            self._pool[self._filled : self._filled + int(sizes.sum())] = np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum()))
+        step = 8 * (np.arange(int(chunks.sum())) - np.repeat(np.cumsum(chunks) - chunks, chunks))
+        self._text[self._written : self._written + step.size] = spans.chunks_at(room, np.repeat(s, chunks) + step, np.repeat(size, chunks) - step)
         self._used += n
         self._filled += int(sizes.sum())
+        self._written += step.size
         if keys is not None:
-            kept = (e[which] - s[which]) <= LONGEST_KEPT
-            self._insert(keys[kept], slots[kept])
+            self._insert(keys, slots)
         return slots
 
-    def _grow_powers(self, n: int) -> None:
-        if self._powers.size < n:
-            inverse = pow(_BASE, -1, 1 << 64)
-            for name, b in (("_powers", _BASE), ("_inverse", inverse)):
-                x = np.full(max(n, SEGMENT + 1), b, dtype=np.uint64)
-                x[0] = 1
-                x = np.cumprod(x, dtype=np.uint64)
-                setattr(self, name, x)
-                setattr(self, name + "_32", x.astype(np.uint32))
-
-
-def _between(values: np.ndarray, powers: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Sums of values * powers from s to e, modulo the integers' size."""
-    values *= powers
-    np.cumsum(values, out=values)
-    upto = values[e - 1]
-    before = np.where(s > 0, values[s - 1], 0).astype(values.dtype)
-    return upto - before
-
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:
     if n <= x.size:
@@ -193,78 +210,53 @@ def _room(x: np.ndarray, n: int) -> np.ndarray:
 # ---------------------------------------------------------------- libraries
 
 
-def _byte_characters() -> dict[str, int]:
-    """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 signs
-    stand for themselves, all others for U+0100 and on, in order."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-#: The byte-level pre-tokenizer's pattern, a fixed value of that vocabulary.
-BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
 def byte_level(spec: str) -> UnitEncoder:
-    """For the JSON of a ``tokenizers`` file. A plain byte-level BPE whose ids are its merge ranks
-    is run by the rank-merging library, after both have agreed on a probe; any other tokenizer
-    runs in ``tokenizers`` itself, whole text by whole text."""
+    """For the JSON of a ``tokenizers`` file, run by that library: unit by unit where it is a plain byte-level
+    BPE, else whole text by whole text. Texts that hold an added token's string are never cut."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel ones
     from tokenizers import Tokenizer
 
     tokenizer, parts = Tokenizer.from_str(spec), json.loads(spec)
-    ranks = _ranks(parts)
-    if ranks is None:
-        def slow(units: list[str], _: list[bool]) -> list[np.ndarray]:
-            return [np.array(x.ids, dtype=np.uint32) for x in tokenizer.encode_batch(units, add_special_tokens=False)]
-
-        return UnitEncoder(slow, whole=True)
-    import tiktoken
-
-    special = {t["content"]: t["id"] for t in parts["added_tokens"]}
-    fast = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    line_end = fast.encode_ordinary("\n")
-    probe = "It's a  test\n\n of ümläuts, 数字 123456 \t  and <|endoftext|>'ll  \x1c x　y 🙂🙂 end  "
-    assert tokenizer.encode(probe, add_special_tokens=False).ids == fast.encode(probe, allowed_special="all")
-
-    def encode(units: list[str], _: list[bool]) -> list[np.ndarray]:
-        """All units without inner white space in one call, each on a line; the others one by one."""
-        bare = [u[1:] if u[0] == " " else u for u in units]
-        plain = [i for i, u in enumerate(bare) if u.split() == [u]]
+    plain, model, names = _is_plain(parts), tokenizer.model, _byte_names()
+    added = tuple(t["content"] for t in parts["added_tokens"])
+    direct = plain and not any(_LATIN.fullmatch(t) for t in added)
+
+    def encode(units: list[str], _: list[bool]) -> list[list[int]]:
+        """A unit of Latin letters is one pre-token, which goes to the library's model at once."""
         out: list = [None] * len(units)
-        if plain and len(line_end) == 1:
-            ids = np.array(fast.encode("\n".join([units[i] for i in plain]) + "\n", allowed_special="all"), dtype=np.uint32)
-            stops = np.flatnonzero(ids == line_end[0])
-            if stops.size == len(plain):
-                at = 0
-                for i, stop in zip(plain, stops.tolist(), strict=True):
-                    out[i] = ids[at:stop]
-                    at = stop + 1
-        for i, u in enumerate(units):
-            if out[i] is None:
-                out[i] = np.array(fast.encode(u, allowed_special="all"), dtype=np.uint32)
+        rest = []
+        for k, unit in enumerate(units):
+            if direct and _LATIN.fullmatch(unit):
+                shown = unit.replace(" ", names[32]) if unit.isascii() else unit.encode().decode("latin-1").translate(names)
+                out[k] = [t.id for t in model.tokenize(shown)]
+            else:
+                rest.append(k)
+        for k, x in zip(rest, tokenizer.encode_batch_fast([units[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = x.ids
         return out
 
-    return UnitEncoder(encode)
+    return UnitEncoder(encode, whole=not plain, uncut=added)
+
+
+#: Letters of every Unicode version, perhaps after a space: the pre-tokenizer's pattern takes all of it.
+_LATIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ƿ]+")
+
+
+def _byte_names() -> dict[int, str]:
+    """The sign of each byte in byte-level vocabularies: printable Latin-1 signs name themselves, all other
+    bytes are named by the signs from U+0100 on, in order."""
+    others = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD)]
+    return {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
-def _ranks(parts: dict) -> dict[bytes, int] | None:
+def _is_plain(parts: dict) -> bool:
+    """Whether the byte-level pre-tokenizer alone cuts texts, so that a new pre-token begins at every cut."""
     model, pre = parts["model"], parts.get("pre_tokenizer") or {}
-    vocab = model.get("vocab", {})
-    plain = (
-        model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        and parts.get("normalizer") is None and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    return (
+        model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and parts.get("normalizer") is None
+        and not any(parts.get(k) for k in ("truncation", "padding")) and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
         and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in parts["added_tokens"])
     )
-    if not plain:
-        return None
-    signs, added = _byte_characters(), {t["content"] for t in parts["added_tokens"]}
-    as_bytes = lambda piece: bytes(signs[c] for c in piece)
-    ranks = {as_bytes(p): i for p, i in vocab.items() if p not in added}
-    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-    made = [vocab["".join(m)] for m in merges]
-    singles = sum(len(k) == 1 for k in ranks)
-    ordered = all(a < b for a, b in zip(made, made[1:], strict=False)) and len(ranks) == singles + len(merges)
-    return ranks if singles == 256 and ordered else None
 
 
 def sentence_pieces(model: bytes) -> UnitEncoder:
@@ -284,8 +276,8 @@ def sentence_pieces(model: bytes) -> UnitEncoder:
         and not any(p.type == pb.ModelProto.SentencePiece.USER_DEFINED for p in spec.pieces)
     )
 
-    def encode(units: list[str], firsts: list[bool]) -> list[np.ndarray]:
+    def encode(units: list[str], firsts: list[bool]) -> list[list[int]]:
         shown = [u if first else u[1:] for u, first in zip(units, firsts, strict=True)]
-        return [np.array(x, dtype=np.uint32) for x in processor.encode(shown, num_threads=1)]
+        return processor.encode(shown, num_threads=1)
 
     return UnitEncoder(encode, apart=True, whole=not units_hold)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_BASE = 0xD6E8FEB86659FD93
-_TABLE = np.random.default_rng(77).integers(1, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
-_SEGMENT = 1 << 17
-_POWERS: dict[str, np.ndarray] = {}
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_SEED = np.uint64(0xD6E8FEB86659FD93)
+#: Masks that keep the first k bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_LONG = 1024  # bytes of a span from which it is hashed alone
 
 
 def blob(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -43,33 +46,34 @@ def words(bytes_: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.flatnonzero(inside & ~after) + 1
 
 
-def hashes(bytes_: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of byte spans, which don't overlap and rise; an empty span gives 0."""
-    out = np.zeros(starts.size, dtype=np.uint64)
-    a = 0
-    while a < starts.size:
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + _SEGMENT, side="right")))
-        s, e = starts[a:b] - starts[a], ends[a:b] - starts[a]
-        part = bytes_[starts[a] : ends[b - 1]]
-        if part.size:
-            power, inverse = _powers(part.size + 1)
-            values = _TABLE[part]
-            values *= power[: part.size]
-            np.cumsum(values, out=values)
-            upto = np.where(e > 0, values[e - 1], 0)
-            before = np.where(s > 0, values[s - 1], 0)
-            out[a:b] = (upto - before) * inverse[s]
-        a = b
+def chunks_at(padded: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number, those beyond ``left`` as 0; ``padded`` ends with eight spare bytes."""
+    eights = np.ndarray((padded.size - 7,), dtype="<u8", buffer=padded, strides=(1,))
+    return eights[at] & _FIRST[np.minimum(left, 8)]
+
+
+def padded(bytes_: np.ndarray) -> np.ndarray:
+    out = np.zeros(bytes_.size + 8, np.uint8)
+    out[: bytes_.size] = bytes_
     return out
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "power" not in _POWERS or _POWERS["power"].size < n:
-        for name, b in (("power", _BASE), ("inverse", pow(_BASE, -1, 1 << 64))):
-            x = np.full(max(n, _SEGMENT + 2), b, dtype=np.uint64)
-            x[0] = 1
-            _POWERS[name] = np.cumprod(x, dtype=np.uint64)
-    return _POWERS["power"], _POWERS["inverse"]
+def hashes(bytes_: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: eight bytes at a time are mixed in, each step through a scrambling that isn't
+    linear in any ring, so that no rule of the text (powers, complements) makes spans collide."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _STEP ^ _SEED)
+    room = padded(bytes_)
+    of = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, left = starts[of], size[of]
+    while of.size:
+        out[of] = mix(out[of] ^ chunks_at(room, at, left)) + _STEP
+        more = left > 8
+        of, at, left = of[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > _LONG).tolist():
+        digest = hashlib.blake2b(bytes_[starts[k] : ends[k]], digest_size=8).digest()
+        out[k] = np.frombuffer(digest, dtype=np.uint64)[0]
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
