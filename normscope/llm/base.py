@@ -16,17 +16,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one is set only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary local one,
+    but only if driver and executors are one process: elsewhere tables in it would be incomplete."""
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        folder = tempfile.mkdtemp(prefix="normscope-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(f"file://{folder}")
-    return sc.getCheckpointDir().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="normscope-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return f"file://{_LOCAL[0]}"
 
 
 def shared_path(spark: SparkSession, purpose: str) -> str:
@@ -42,6 +47,21 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``stored`` wrote, once what was made of them is stored itself."""
+    for table in tables:
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()} if table is not None else ():
+            if "/normscope-" in folder:
+                path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that ``df`` doesn't have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (name, *(f"{name}{i}" for i in range(len(taken) + 1))) if x.lower() not in taken) for name in names]
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df

@@ -4,33 +4,34 @@ A text's set holds the hashes of its windows of five words. Equal sets are one n
 buckets: a run starts all of them at one root, and at every level a node follows each of its tokens
 whose hash with the bucket's falls below 1 / (0.8 * size), 1.25 tokens on average, into the bucket
 of that token; two sets follow a common token with expectation B / 0.8, B being the common share of
-the larger set. Small buckets are compared by brute force; large ones are split again, up to a depth
-that grows with the logarithm of the table; what is still large then is compared whole, in blocks.
-Runs repeat until a pair at the threshold meets with the target recall (``runs_for``).
+the larger set. Small buckets are compared by brute force; large ones are split again, up to DEPTH
+levels; what is still large then is compared whole, in blocks. Runs repeat until a pair at the
+threshold meets with the target recall (``runs_for``). Depth and runs are the same for every size of table.
 
 Comparing has three rounds. First every node of a bucket meets the bucket's eight leaders; the links found
 give components. Then it meets eight other leaders of other components. Then only nodes of different
-components meet, so a large group of near copies, joined by its leaders, isn't compared pair by pair. Every candidate is verified exactly over
-both whole sets. Before that, sizes and odd sketches discard pairs that can't reach the threshold (an
-odd sketch of 256 bits differs in no more bits than the sets do in windows), and 1-bit minwise sketches
-those far below it.
+components meet, so a large group of near copies, joined by its leaders, isn't compared pair by pair.
+A candidate passes three filters, of which the first and the last discard nothing that reaches the threshold:
+sizes and odd sketches (an odd sketch differs in no more bits than the sets do in windows), first of 256 bits
+beside 1-bit minwise sketches, then of two bits or more for each window; then the whole texts of the
+pairs left are compared exactly. Each text is fetched once for all rounds.
 
 Results: one row for each document with its class (the smallest id of its component), its node's
 smallest id, and its number of links: other distinct texts of similarity 0.8 or more, counted
-exactly inside each component by blocks. Links and components stay distributed.
+exactly inside each component by pairs of blocks. Links and components stay distributed.
 
 Edge cases: a null or empty text is in a class of its own without links; texts of one to four words
-have one window; equal texts share a node whatever their ids; a null id is kept, and its class is a
-number below zero made from its text if no member has an id; where an id comes with several texts,
-classes can share a smallest id, so ``keep_one`` tells them apart by their nodes; an empty table gives an empty one; other
-columns are neither read nor returned. Nodes are told apart by a 64-bit hash of their set, which two
-of n sets share with a chance of n * n / 2**65.
+have one window; equal texts share a node whatever their ids, so ties need no rule; a null id is kept, and its
+class is a number below zero made from its text if no member has an id; where an id comes with several texts,
+classes can share a smallest id, so ``keep_one`` tells them apart by their nodes; an empty table gives an empty
+one; very long texts are read whole, in batches cut by bytes; other columns are neither read nor returned
+(``keep_one`` returns them as they are, whatever their names). Nodes are told apart by a 64-bit hash of their
+set, which two of n sets share with a chance of n * n / 2**65.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -44,9 +45,10 @@ from . import base, spans
 SHINGLE = 5
 SIMILARITY = 0.8
 TARGET_RECALL = 0.99
+DEPTH = 4
 LEAF = 600  # nodes of a bucket that is compared without more splitting
 LEADERS = 8
-BLOCK = 512  # nodes of a side when a component's links are counted
+BLOCK = 512  # nodes of a block of a bucket in the last round
 SKETCH_FROM = 100  # windows of both sets from which sketches tell enough
 SKETCH_SHARE = 0.72  # of equal bits; 0.9 is the mean at the threshold, six deviations above
 BROADCAST_ROWS = 1_000_000
@@ -65,10 +67,6 @@ def runs_for(depth: int, recall: float = TARGET_RECALL) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(depth)))
 
 
-def depth_for(n: int) -> int:
-    return max(3, math.ceil(math.log10(max(10, n))) - 2)
-
-
 # ---------------------------------------------------------------- sets and paths
 
 
@@ -136,6 +134,20 @@ def odd_sketches(window: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8), axis=1).view(">i8").astype(np.int64)  # (n, 4)
 
 
+def wide_odd_sketches(window: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``odd_sketches``, of a power of two of bits for each set, two for each window or more, 256 at least:
+    all sets' sketches one after the other and each one's place. Halves of a sketch, one over the
+    other by exclusive or, give the sketch of half as many bits."""
+    size = np.diff(at)
+    bits = 1 << np.maximum(8, np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+    start = np.concatenate([[0], np.cumsum(bits)])
+    of = np.repeat(np.arange(size.size), size)
+    h = spans.mix(window ^ np.uint64(0x6B6B6B6B)) & (bits[of] - 1).astype(np.uint64)
+    odd = np.zeros(start[-1], dtype=np.uint8)
+    np.bitwise_xor.at(odd, start[of] + h.astype(np.int64), 1)
+    return np.packbits(odd).view(">i8").astype(np.int64), start // 64
+
+
 def follow(window: np.ndarray, limit: np.ndarray | np.uint64, bucket: int) -> np.ndarray:
     """Children's buckets of the tokens that a set follows out of a bucket."""
     h = spans.mix(window ^ np.uint64(bucket))
@@ -185,16 +197,36 @@ def _scan(df: DataFrame, runs: int) -> DataFrame:
     return base.map_arrow(df, rows, _NODES, max_bytes=1 << 20)
 
 
-def _sets(df: DataFrame) -> DataFrame:
-    """(id, node, set) of every row."""
+def _with_sketches(batch: pa.RecordBatch) -> dict[str, object]:
+    """Adds the set's size and wide odd sketch to (node, text)."""
+    window, at = shingles(batch.column(1))
+    wide, wide_at = wide_odd_sketches(window, at)
+    return {"node": batch.column(0), "n": np.diff(at), "wide": pa.ListArray.from_arrays(pa.array(wide_at.astype(np.int32)), pa.array(wide)), "text": batch.column(1)}
 
-    def rows(batch: pa.RecordBatch) -> dict[str, object]:
-        window, at = shingles(batch.column("text"))
-        size = np.diff(at)
-        node = spans.mix(_sums(spans.mix(window), at) ^ size.astype(np.uint64)).view(np.int64)
-        return {"id": batch.column("id"), "node": node, "set": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(window.view(np.int64)))}
 
-    return base.map_arrow(df, rows, "id long, node long, set array<long>", max_bytes=1 << 20)
+class _Texts:
+    """The text of one document of each node that is asked for, read from the documents once."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame):
+        self._docs, self._nodes = docs, nodes.select("node", "id", "text_key")
+        self.parts: list[DataFrame] = []
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """(node, n, wide, text) of some nodes, beside others that were asked for before."""
+        wanted = wanted.select("node").distinct()
+        for part in self.parts:
+            wanted = wanted.join(part.select("node"), "node", "left_anti")
+        keys = base.stored(wanted.join(self._nodes, "node").select("node", F.col("id").alias("_id"), F.col("text_key").alias("_key")), "wanted")
+        n = keys.count()
+        if n or not self.parts:
+            found = self._docs.join(_few(keys, n), (F.col("id") == F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("node", "text")
+            part = base.stored(base.map_arrow(found, _with_sketches, "node long, n long, wide array<long>, text string", max_bytes=1 << 20), "texts")
+            if part.count() > n:  # rows of one id and text
+                part, double = base.stored(part.dropDuplicates(["node"]), "texts-once"), part
+                base.discard(double)
+            self.parts.append(part)
+        base.discard(keys)
+        return reduce(DataFrame.unionByName, self.parts)
 
 
 # ---------------------------------------------------------------- buckets
@@ -206,50 +238,51 @@ def _few(df: DataFrame, n: int) -> DataFrame:
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """Bucket rows with the bucket's size; those of size 1 go."""
-    sizes = base.stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
+    """Bucket rows with the bucket's size and a hash of its nodes; buckets of size 1 go."""
+    rows = rows.repartition("bucket")  # dealt once, for the sizes and for the join
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("nodes_key")).where("size > 1")
     return rows.join(sizes, "bucket")
 
 
-def _children(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """The next level's (bucket, node) of large buckets' rows. A node's set is sent once for all its buckets."""
+def _children(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The next level's (bucket, node) of large buckets' rows. A node's text is sent once for all its buckets."""
 
     def run(batches):
         for whole in batches:
-            for batch in base.cut(whole, 8 << 20):
-                out_bucket, out_node = [], []
-                for node, buckets, window in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    x = np.asarray(window.values).view(np.uint64)
-                    limit = _limit(np.array([x.size]))[0]
-                    for b in buckets:
-                        got = follow(x, limit, int(np.array([b], np.int64).view(np.uint64)[0]))
+            for batch in base.cut(whole, 1 << 20):
+                out_bucket, out_node = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                window, at = shingles(batch.column(2))
+                limit = _limit(np.diff(at))
+                for k, (node, buckets) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                    for b in np.asarray(buckets.values).view(np.uint64):
+                        got = follow(window[at[k] : at[k + 1]], limit[k], b)
                         out_bucket.append(got.view(np.int64))
-                        out_node += [node] * got.size
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_bucket) if out_bucket else np.zeros(0, np.int64)), pa.array(out_node, pa.int64())], names=["bucket", "node"])
+                        out_node.append(np.full(got.size, node))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_bucket)), pa.array(np.concatenate(out_node))], names=["bucket", "node"])
 
     grouped = rows.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))  # at most a few for each run
-    return grouped.join(sets, "node").select("node", "buckets", "set").mapInArrow(run, "bucket long, node long").distinct()
+    return grouped.join(texts, "node").select("node", "buckets", "text").mapInArrow(run, "bucket long, node long").distinct()
 
 
-def _leaves(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], depth: int) -> DataFrame:
+def _leaves(nodes: DataFrame, texts: _Texts, depth: int) -> DataFrame:
     """(bucket, node, FACTS) of all buckets that are compared."""
     now = nodes.select("node", F.explode(F.array_distinct("buckets")).alias("bucket"))
-    done, sets = [], None
+    done = []
     for level in range(1, depth + 1):
         sized = base.stored(_sized(now), f"level-{level}")
-        if level == depth:
-            done.append(sized.select("bucket", "node"))
-            break
-        done.append(sized.where(F.col("size") <= LEAF).select("bucket", "node"))
+        done.append(sized)
         large = sized.where(F.col("size") > LEAF).select("bucket", "node")
-        if not large.limit(1).count():
+        if level == depth or not large.limit(1).count():
             break
-        sets = sets_of(large.select("node").distinct()) if sets is None else sets
-        now = base.stored(_children(large, sets), f"children-{level}")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.join(nodes.select("node", *FACTS), "node").select("bucket", "node", *FACTS)
+        now = base.stored(_children(large, texts.of(large)), f"children-{level}")
+    small = [x.where(F.col("size") <= LEAF) if level < len(done) else x for level, x in enumerate(done, 1)]
+    out = reduce(DataFrame.unionByName, small)
+    # buckets of the same nodes are compared once
+    buckets = out.groupBy("size", "nodes_key").agg(F.min("bucket").alias("bucket")).select("bucket")
+    out = out.select("bucket", "node").join(buckets, "bucket", "left_semi")
+    out = base.stored(out.join(nodes.select("node", *FACTS), "node").select("bucket", "node", *FACTS), "leaves")
+    base.discard(*done)
+    return out
 
 
 # ---------------------------------------------------------------- pairs
@@ -260,19 +293,50 @@ def _may_link(a: str, b: str) -> Column:
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
     sized = F.least(n_a, n_b) >= F.greatest(n_a, n_b) * (SIMILARITY - 1e-9)
     differing = lambda *names: reduce(add, [F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in names])
-    # at the threshold the sets differ in a ninth of their windows together
-    possible = differing("o1", "o2", "o3", "o4") <= (n_a + n_b) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9
     equal = 128 - differing("s1", "s2")
-    return sized & possible & ((F.least(n_a, n_b) < SKETCH_FROM) | (equal >= math.floor(128 * SKETCH_SHARE)))
+    return sized & (differing("o1", "o2", "o3", "o4") <= _differing(n_a, n_b)) & ((F.least(n_a, n_b) < SKETCH_FROM) | (equal >= math.floor(128 * SKETCH_SHARE)))
+
+
+def _differing(n_a: Column, n_b: Column) -> Column:
+    """In how many windows sets at the threshold differ: a ninth of theirs together, so no odd sketch in more bits."""
+    return (n_a + n_b) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9
+
 
+def _closer(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that wide odd sketches don't tell to lie below the threshold."""
+    end = lambda x: texts.join(pairs.select(F.col(x).alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"w_{x}"))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    least = F.least(F.size("w_a"), F.size("w_b"))  # sizes of sets in the ratio of 0.8 differ by one halving at most
+    halved = lambda w: F.when(F.size(w) > least, F.zip_with(F.slice(w, 1, least), F.slice(w, least + 1, least), xor)).otherwise(F.col(w))
+    differing = F.aggregate(F.zip_with(halved("w_a"), halved("w_b"), xor), F.lit(0), lambda total, x: total + F.bit_count(x))
+    return pairs.join(end("a"), "a").join(end("b"), "b").where(differing <= _differing(F.col("n_a"), F.col("n_b"))).select("a", "b")
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+
+def _exact(batch: pa.RecordBatch) -> dict[str, object]:
+    """The pairs of a batch (a, b, text_a, text_b) whose sets have a similarity of SIMILARITY or more."""
+    (x, x_at), (y, y_at) = shingles(batch.column(2)), shingles(batch.column(3))
+    n_x, n_y = np.diff(x_at), np.diff(y_at)
+    of = np.concatenate([np.repeat(np.arange(n_x.size), n_x), np.repeat(np.arange(n_y.size), n_y)])
+    window = np.concatenate([x, y])
+    order = np.lexsort((window, of))
+    of, window = of[order], window[order]
+    twice = (of[1:] == of[:-1]) & (window[1:] == window[:-1])
+    common = np.bincount(of[1:][twice], minlength=n_x.size)
+    linked = pa.array(common >= SIMILARITY * (n_x + n_y - common) - 1e-9)
+    return {"a": batch.column(0).filter(linked), "b": batch.column(1).filter(linked)}
+
+
+def _verified(pairs: DataFrame, texts: _Texts) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of SIMILARITY or more."""
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    linked = common >= SIMILARITY * (F.size("set_a") + F.size("set_b") - common) - 1e-9
-    return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b")
+    met = base.stored(pairs, "pairs")
+    known = texts.of(met.select(F.explode(F.array("a", "b")).alias("node")))
+    close = base.stored(_closer(met, known), "pairs-close")
+    base.discard(met)
+    end = lambda x: known.join(close.select(F.col(x).alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+    both = close.join(end("a"), "a").join(end("b"), "b").select("a", "b", "text_a", "text_b")
+    links = base.stored(base.map_arrow(both, _exact, "a long, b long", max_bytes=1 << 20), "links-found")
+    base.discard(close)
+    return links
 
 
 def _leader_pairs(leaves: DataFrame, turn: int, component: DataFrame | None = None) -> DataFrame:
@@ -283,16 +347,15 @@ def _leader_pairs(leaves: DataFrame, turn: int, component: DataFrame | None = No
     if component is not None:
         rows = leaves.join(component, "node", "left").withColumn("c", F.coalesce("c", "node"))
         mixed = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size"))
-        mixed = base.stored(mixed.where(F.col("low") != F.col("high")).where(F.col("size") > LEADERS).select("bucket"), "mixed-buckets")
-        rows = base.stored(rows.join(mixed, "bucket"), "mixed-rows")
+        rows = rows.join(mixed.where((F.col("low") != F.col("high")) & (F.col("size") > LEADERS)).select("bucket"), "bucket")
     rows = rows.withColumn("rank", F.xxhash64("node", F.lit(turn)))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("rank", "node"))
-    leader = base.stored(rows.withColumn("place", place).where(F.col("place") <= LEADERS).drop("place"), "leaders")
+    leader = rows.withColumn("place", place).where(F.col("place") <= LEADERS).drop("place")
     test = ((F.col("y.rank") < F.col("x.rank")) | ((F.col("y.rank") == F.col("x.rank")) & (F.col("y.node") < F.col("x.node")))) & _may_link("x", "y")
     if component is not None:
         test = test & (F.col("x.c") != F.col("y.c"))
     met = rows.alias("x").join(leader.alias("y"), "bucket").where(test)
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def _other_pairs(leaves: DataFrame, component: DataFrame) -> DataFrame:
@@ -301,11 +364,10 @@ def _other_pairs(leaves: DataFrame, component: DataFrame) -> DataFrame:
     rows = leaves.join(component, "node", "left").withColumn("c", F.coalesce("c", "node"))
     parts = rows.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("major"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("size")).where("parts > 1")
-    mixed = base.stored(mixed.select("bucket", F.col("major.c").alias("major"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed-buckets")
-    rows = rows.join(mixed, "bucket")
+    mixed = mixed.select("bucket", F.col("major.c").alias("major"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rows = base.stored(rows.join(mixed, "bucket"), "mixed-rows")
     # a pair is met in the least of the buckets that it shares, and not again in each of them
-    own = rows.groupBy("node").agg(F.collect_set("bucket").alias("own"))
-    rows = base.stored(rows.join(own, "node"), "mixed-rows")
+    rows = rows.join(rows.groupBy("node").agg(F.collect_set("bucket").alias("own")), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     few = rows.where(F.col("c") != F.col("major")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     every = rows.withColumn("block", block)
@@ -333,42 +395,66 @@ def components(links: DataFrame) -> DataFrame:
             hooked.join(up, hooked["c"] == up["parent"], "left").select("node", F.least("c", F.coalesce("c_up", "c")).alias("c"), "was"), "labels"
         )
         changed = after.where("c <> was").limit(1).count()
-        labels = after.select("node", "c")
+        base.discard(labels, hooked)
+        labels = after.drop("was")
         if not changed:
+            base.discard(both)
             return labels
 
 
-def link_counts(component: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, n_links): links of every node inside its component, by pairs of blocks of nodes."""
-    sizes = base.stored(component.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "component-blocks")
-    rows = component.join(sizes, "c").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
+    """The components when more links come to known ones: each is a star, so no old link is needed."""
+    out = components(component.select(F.col("node").alias("a"), F.col("c").alias("b")).where("a <> b").unionByName(links))
+    base.discard(component)
+    return out
+
+
+#: A component of n nodes is dealt into blocks: of 128 nodes up to 8 blocks, then 8 of up to 1,024 nodes, then
+#: more of 1,024; and of a million windows at most. Every pair of blocks is one group of rows.
+FEW_NODES, MOST_NODES, SOME_BLOCKS, MOST_WINDOWS = 128, 1024, 8, 1 << 20
+
+
+def link_counts(component: DataFrame, nodes: DataFrame, texts: _Texts) -> DataFrame:
+    """(node, n_links): links of every node inside its component, by pairs of blocks of nodes. The two nodes of
+    a component of two have the link that made it."""
+    members = component.groupBy("c").agg(F.count(F.lit(1)).alias("members"))
+    sized = base.stored(component.join(members, "c"), "component-sizes")
+    several = sized.where("members > 2").select("node", "c")
+    return sized.where("members = 2").select("node", F.lit(1).cast("long").alias("n_links")).unionByName(_block_counts(several, nodes, texts.of(several)))
+
+
+def _block_counts(component: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    n, windows = F.count(F.lit(1)), F.sum("n")
+    blocks = F.greatest(F.least(F.ceil(n / FEW_NODES), F.lit(SOME_BLOCKS)), F.ceil(n / MOST_NODES), F.ceil(windows / MOST_WINDOWS)).cast("int")
+    rows = component.join(nodes.select("node", "n"), "node")
+    rows = rows.join(rows.groupBy("c").agg(blocks.alias("blocks")), "c").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = rows.withColumn("other", other).select(
         "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node"
     )
-    dealt = pairs.join(sets, "node").select("c", "i", "j", "second", "node", "set").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
+    dealt = pairs.join(texts.select("node", "text"), "node").select("c", "i", "j", "second", "node", "text").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
 
     def run(batches):
         key, held = None, []
         for batch in batches:
-            c, i, j = (batch.column(k).to_pylist() for k in range(3))
-            second, node, sets_ = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)
+            c, i, j, second, node, text = (column.to_pylist() for column in batch.columns)
             for k in range(batch.num_rows):
                 if (c[k], i[k], j[k]) != key:
                     if held:
                         yield _count_block(held, key[1] == key[2])
                     key, held = (c[k], i[k], j[k]), []
-                held.append((second[k], node[k], np.asarray(sets_[k].values)))
+                held.append((second[k], node[k], text[k]))
         if held:
             yield _count_block(held, key[1] == key[2])
 
     return dealt.mapInArrow(run, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
-def _count_block(held: list[tuple[bool, int, np.ndarray]], same: bool) -> pa.RecordBatch:
+def _count_block(held: list[tuple[bool, int, str]], same: bool) -> pa.RecordBatch:
     """Links between the first and the second side of a pair of blocks, or inside one block."""
-    sizes = np.array([x.size for *_, x in held])
-    token, inverse = np.unique(np.concatenate([x for *_, x in held]), return_inverse=True)
+    windows, at = shingles(pa.array([x for *_, x in held], pa.string()))
+    sizes = np.diff(at)
+    token, inverse = np.unique(windows, return_inverse=True)
     of = np.repeat(np.arange(len(held)), sizes)
     often = np.bincount(inverse, minlength=token.size) > 1
     column = np.cumsum(often) - 1
@@ -404,49 +490,33 @@ def _own_id(id_col: str, text_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), -1 - F.pmod(F.xxhash64(text_col), F.lit(1 << 62)))
 
 
-def _classified(df: DataFrame, id_col: str, text_col: str, recall: float, depth: int | None) -> DataFrame:
+def _classified(df: DataFrame, id_col: str, text_col: str, recall: float, depth: int) -> DataFrame:
     """(id, no_id, text_key, class_key, class_id, copy_of, n_links) of every row. An id may come with several
     texts: a class is told by ``class_key``, made from its nodes, and a row's text by its hash."""
     docs = df.select(
         _own_id(id_col, text_col).alias("id"), F.col(id_col).isNull().alias("no_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")
     )
-    depth = depth or depth_for(df.count())
     scanned = base.stored(_scan(docs, runs_for(depth, recall)), "scanned")
-    nodes = base.stored(
-        scanned.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in (*FACTS, "buckets")]), "nodes"
-    )
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """(node, set) of some nodes, read again from the text of one of each node's documents."""
-        ids = base.stored(wanted.join(nodes.select("node", "id"), "node").select(F.col("id").alias("_id"), "node"), "wanted")
-        ids = _few(ids.select("_id").distinct(), ids.count())
-        read = _sets(docs.join(ids, docs["id"] == F.col("_id"), "left_semi").select("id", "text"))
-        found = base.stored(read.select("node", "set"), "sets")
-        if found.select("node").distinct().count() < found.count():  # rows of one id and text
-            found = base.stored(found.groupBy("node").agg(F.first("set").alias("set")), "sets-once")
-        return found
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = base.stored(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        return base.stored(_verified(pairs, sets_of(ends)), "links-found")
-
-    leaves = base.stored(_leaves(nodes, sets_of, depth), "leaves")
-    links = verified(_leader_pairs(leaves, 0))
-    component = components(links)
+    firsts = [F.first(c).alias(c) for c in (*FACTS, "buckets")]
+    nodes = scanned.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("own"), *firsts)
+    nodes = base.stored(nodes.select("node", "own.*", *FACTS, "buckets"), "nodes")
+    texts = _Texts(docs, nodes)
+    leaves = _leaves(nodes, texts, depth)
+    component = components(_verified(_leader_pairs(leaves, 0), texts))
     for find in (lambda: _leader_pairs(leaves, 1, component), lambda: _other_pairs(leaves, component)):
-        more = verified(find())
+        more = _verified(find(), texts)
         if more.limit(1).count():
-            links = base.stored(links.unionByName(more), "links-so-far")
-            component = components(links)
-    sets = sets_of(component.select("node"))
-    counts = link_counts(component, sets)
-    least = base.stored(component.join(nodes.select("node", "id"), "node").groupBy("c").agg(F.min("id").alias("class_id")), "classes")
-    known = component.join(least, "c").join(counts, "node", "left").select("node", "c", "class_id", "n_links")
+            component = _joined(component, more)
+        base.discard(more)
+    base.discard(leaves)
+    counts = base.stored(link_counts(component, nodes, texts), "link-counts")
+    least = component.join(nodes.select("node", "id"), "node").groupBy("c").agg(F.min("id").alias("class_id"))
+    known = component.join(least, "c").join(counts, "node").select("node", "c", "class_id", "n_links")
     facts = base.stored(
         nodes.select("node", F.col("id").alias("copy_of")).join(known, "node", "left")
         .select("node", F.coalesce("c", "node").alias("class_key"), "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "node-facts"
     )
+    base.discard(nodes, component, counts, *texts.parts)
     rows = scanned.select("id", "no_id", "text_key", "node")
     found = rows.where("node IS NOT NULL").join(facts, "node").select("id", "no_id", "text_key", "class_key", "class_id", "copy_of", "n_links")
     alone = rows.where("node IS NULL").select(
@@ -455,7 +525,7 @@ def _classified(df: DataFrame, id_col: str, text_col: str, recall: float, depth:
     return found.unionByName(alone)
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, recall: float = TARGET_RECALL, depth: int | None = None) -> DataFrame:
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, recall: float = TARGET_RECALL, depth: int = DEPTH) -> DataFrame:
     """(id, class_id, copy_of, n_links) of every row."""
     found = _classified(df, id_col, text_col, recall, depth)
     return found.select(F.when(~F.col("no_id"), F.col("id")).alias("id"), "class_id", "copy_of", "n_links")
@@ -464,15 +534,17 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, recal
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay when every class keeps one document, that of its smallest id and, of several
     texts with that id, of the least text hash. Rows are told apart by id and text; of equal ones one stays."""
-    found = base.stored(_classified(df, id_col, text_col, TARGET_RECALL, None).select("id", "text_key", "class_key"), "near-classes")
+    found = base.stored(_classified(df, id_col, text_col, TARGET_RECALL, DEPTH).select("id", "text_key", "class_key"), "near-classes")
     own = F.struct("id", "text_key")
     several = found.groupBy("class_key").agg(F.min(own).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class_key", "kept")
     several = base.stored(several, "near-several")
     members = found.join(_few(several, several.count()), "class_key")
-    dropped = members.where(own != F.col("kept")).select(F.col("id").alias("_dropped"), F.col("text_key").alias("_dropped_text")).distinct()
+    id_, key, gone_id, gone_key = base.free_names(df, "row_id", "row_text", "gone_id", "gone_text")
+    dropped = members.where(own != F.col("kept")).select(F.col("id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct()
     dropped = base.stored(dropped, "near-dropped")
-    rows = df.withColumns({"_key": _own_id(id_col, text_col), "_text_key": F.xxhash64(text_col)})
-    rows = rows.join(_few(dropped, dropped.count()), (F.col("_key") == F.col("_dropped")) & (F.col("_text_key") == F.col("_dropped_text")), "left_anti")
+    rows = df.withColumns({id_: _own_id(id_col, text_col), key: F.xxhash64(text_col)})
+    rows = rows.join(_few(dropped, dropped.count()), (F.col(id_) == F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left_anti")
     if members.where(own == F.col("kept")).groupBy("class_key").count().where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["_key", "_text_key"])
+        rows = rows.dropDuplicates([id_, key])
+    base.discard(found, several)
     return rows.select(*[F.col(f"`{c}`") for c in df.columns])
