@@ -1,17 +1,19 @@
 """Token ids in wavelet matrix files: one compressed file for each shard of documents.
 
 A shard's ids are stored as bit-planes, highest bit first, each plane over the ids ordered by the
-planes before it (zeros first, stably). With the ones counted up to every 512 bits, access to a
-token, counting a token in a range and finding its k-th place take one step for each plane; no
-decoded copy is needed. A file also lists its documents and their places.
+planes before it (zeros first, stably). A file holds every plane as blocks that are compressed one by one, and a
+directory of the blocks' places and of the ones before each. So access to a token, counting a token in a
+range and finding its k-th place read and unpack one or two blocks of each plane, and nothing else; no decoded
+copy is needed. A file also lists its documents and their places.
 
 ``write_shards`` encodes the documents, orders them by id across shards and writes the files to
 shared storage; ``read_documents`` reads them back. A task that is run again writes files of other
 names, and only the files that the summary of the finished job names are read.
 
-Edge cases: a null or empty text is the end id alone; null document ids come first; rows with equal
-ids follow one another by text; an empty table writes no file; other columns are neither read nor
-returned.
+Edge cases: a null or empty text is the end id alone; texts of any length are encoded whole, and a shard ends after
+the batch that fills it; null document ids come first; rows with equal ids follow one another by a hash of the
+text, and any number of them is dealt out over shards; an empty table writes no file; other columns are neither
+read nor returned.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,73 +33,107 @@ from .token_counts import unit_encoder
 
 MAGIC = b"NSWM0001"
 SHARD_TOKENS = 1 << 22
-#: Bits between stored counts of ones.
-BLOCK = 512
-
-
-class WaveletMatrix:
-    """Rank and select over a sequence of ids below 2 ** bits."""
-
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self._planes, self.zeros = n, planes, zeros  # planes: packed bits, first bit highest
-        self._ones: list[np.ndarray] = []
-
-    @classmethod
-    def build(cls, ids: np.ndarray, bits: int | None = None) -> WaveletMatrix:
-        x = np.asarray(ids)
-        bits = bits or max(1, int(x.max(initial=0)).bit_length())
-        x = x.astype(np.uint16 if bits <= 16 else np.uint32)
-        planes, zeros = [], []
-        for level in range(bits - 1, -1, -1):
-            bit = (x & x.dtype.type(1 << level)) != 0
-            planes.append(np.packbits(bit))
-            low = x[~bit]
-            zeros.append(low.size)
-            x = np.concatenate([low, x[bit]])
-        return cls(len(ids), planes, zeros)
-
-    def _counts(self, level: int) -> np.ndarray:
-        """Ones before every block of the plane."""
-        if not self._ones:
-            for plane in self._planes:
-                per = np.bitwise_count(plane).astype(np.int64)
-                per = np.pad(per, (0, -per.size % (BLOCK // 8))).reshape(-1, BLOCK // 8).sum(axis=1)
-                self._ones.append(np.concatenate([[0], np.cumsum(per)]))
-        return self._ones[level]
+#: Bits of a block, which is compressed alone and has its ones counted in the directory.
+BLOCK = 1 << 16
+
+
+def _planes(ids: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+    """Packed bits of every plane, highest bit of the ids first, and how many zeros each has."""
+    x = np.asarray(ids)
+    bits = max(1, int(x.max(initial=0)).bit_length())
+    x = x.astype(np.uint16 if bits <= 16 else np.uint32)
+    planes, zeros = [], []
+    for level in range(bits - 1, -1, -1):
+        bit = (x & x.dtype.type(1 << level)) != 0
+        planes.append(np.packbits(bit))
+        low = x[~bit]
+        zeros.append(low.size)
+        x = np.concatenate([low, x[bit]])
+    return planes, zeros
+
+
+def to_file(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
+    """MAGIC; the numbers of ids, documents, planes and blocks; each plane's zeros; the directory of ones before
+    each block and of all parts' ends; then the compressed parts: the planes' blocks, document ids, which of
+    them are null, lengths. Any part is read without the others."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    planes, zeros = _planes(ids)
+    parts, ones = [], []
+    for plane in planes:
+        before = 0
+        for at in range(0, plane.size, BLOCK // 8):
+            block = plane[at : at + BLOCK // 8]
+            ones.append(before)
+            before += int(np.bitwise_count(block).sum())
+            parts.append(squeeze(block.tobytes()))
+    known = np.array([0 if i is None else i for i in doc_ids], dtype="<i8")
+    parts += [squeeze(x.tobytes()) for x in (known, np.array([i is None for i in doc_ids], dtype=np.uint8), np.asarray(lengths, dtype="<i8"))]
+    head = struct.pack("<4Q", len(ids), len(doc_ids), len(planes), len(ones))
+    tables = [np.array(zeros, "<u8"), np.array(ones, "<u8"), np.cumsum([len(x) for x in parts]).astype("<u8")]
+    return MAGIC + head + b"".join(t.tobytes() for t in tables) + b"".join(parts)
+
+
+class ShardFile:
+    """Rank and select over a file's ids. ``read(at, size)`` gives bytes of the file; bytes themselves do as well.
+    The head and the directory are read at first, then only the blocks that are asked for; the last
+    of each plane is kept."""
+
+    def __init__(self, read: bytes | Callable[[int, int], bytes]):
+        self._read = read if callable(read) else lambda at, size: read[at : at + size]
+        head = self._read(0, len(MAGIC) + 32)
+        if head[: len(MAGIC)] != MAGIC:
+            raise ValueError("not a token shard")
+        self.n, self.n_docs, self.bits, blocks = struct.unpack_from("<4Q", head, len(MAGIC))
+        size = 8 * (self.bits + 2 * blocks + 3)
+        numbers = np.frombuffer(self._read(len(head), size), dtype="<u8").astype(np.int64)
+        self.zeros, self._ones, ends = np.split(numbers, [self.bits, self.bits + blocks])
+        self._ends = len(head) + size + np.concatenate([[0], ends])
+        self._blocks = blocks // self.bits if self.bits else 0  # of a plane
+        self._kept: dict[int, tuple[int, np.ndarray]] = {}
+        self.unpacked = 0  # blocks
+
+    def _part(self, k: int) -> bytes:
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompress(self._read(int(self._ends[k]), int(self._ends[k + 1] - self._ends[k])))
+
+    def _block(self, level: int, block: int) -> np.ndarray:
+        if self._kept.get(level, (-1, None))[0] != block:
+            self._kept[level] = block, np.frombuffer(self._part(level * self._blocks + block), dtype=np.uint8)
+            self.unpacked += 1
+        return self._kept[level][1]
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones among the plane's first i bits."""
-        block = i // BLOCK
-        plane = self._planes[level]
-        start = block * BLOCK // 8
-        whole = plane[start : i // 8]
-        rest = int(plane[i // 8]) >> (8 - i % 8) if i % 8 else 0
-        return int(self._counts(level)[block]) + int(np.bitwise_count(whole).sum()) + rest.bit_count()
-
-    def _bit(self, level: int, i: int) -> int:
-        return int(self._planes[level][i // 8]) >> (7 - i % 8) & 1
+        if not i:
+            return 0
+        block = (i - 1) // BLOCK
+        packed, i = self._block(level, block), i - block * BLOCK
+        rest = int(packed[i // 8]) >> (8 - i % 8) if i % 8 else 0
+        return int(self._ones[level * self._blocks + block]) + int(np.bitwise_count(packed[: i // 8]).sum()) + rest.bit_count()
 
     def access(self, i: int) -> int:
         """The id at place i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         out = 0
-        for level in range(len(self._planes)):
-            bit = self._bit(level, i)
+        for level in range(self.bits):
+            bit = int(self._block(level, i // BLOCK)[i % BLOCK // 8]) >> (7 - i % 8) & 1
             ones = self._rank1(level, i)
-            i = self.zeros[level] + ones if bit else i - ones
+            i = int(self.zeros[level]) + ones if bit else i - ones
             out = out << 1 | bit
         return out
 
     def _range(self, token: int, a: int, b: int) -> tuple[int, int]:
         """Where the last order holds the token's occurrences among the places a to b."""
-        bits = len(self._planes)
-        if token >> bits:
+        if token >> self.bits:
             return 0, 0
-        for level in range(bits):
+        for level in range(self.bits):
             ones_a, ones_b = self._rank1(level, a), self._rank1(level, b)
-            if token >> (bits - 1 - level) & 1:
-                a, b = self.zeros[level] + ones_a, self.zeros[level] + ones_b
+            if token >> (self.bits - 1 - level) & 1:
+                a, b = int(self.zeros[level]) + ones_a, int(self.zeros[level]) + ones_b
             else:
                 a, b = a - ones_a, b - ones_b
         return a, b
@@ -112,77 +149,50 @@ class WaveletMatrix:
         if not 0 <= k < b - a:
             raise IndexError(k)
         i = a + k
-        for level in range(len(self._planes) - 1, -1, -1):
+        for level in range(self.bits - 1, -1, -1):
             one = i >= self.zeros[level]
-            i = self._select_bit(level, i - self.zeros[level] if one else i, one)
+            i = self._select_bit(level, i - int(self.zeros[level]) if one else i, one)
         return i
 
     def _select_bit(self, level: int, k: int, one: bool) -> int:
-        counts = self._counts(level)
+        counts = self._ones[level * self._blocks : (level + 1) * self._blocks]
         if not one:
             counts = np.arange(counts.size) * BLOCK - counts
         block = int(np.searchsorted(counts, k, side="right")) - 1
-        bits = np.unpackbits(self._planes[level][block * BLOCK // 8 : (block + 1) * BLOCK // 8])
+        bits = np.unpackbits(self._block(level, block))
         return block * BLOCK + int(np.flatnonzero(bits == one)[k - int(counts[block])])
 
     def decode(self) -> np.ndarray:
         """All ids, plane by plane from the last."""
-        kind = np.uint16 if len(self._planes) <= 16 else np.uint32
+        kind = np.uint16 if self.bits <= 16 else np.uint32
         x = np.zeros(self.n, dtype=kind)
-        for k, (plane, zeros) in enumerate(zip(self._planes[::-1], self.zeros[::-1], strict=True)):
-            bit = np.unpackbits(plane, count=self.n).view(bool)
+        for level in range(self.bits - 1, -1, -1):
+            packed = [np.frombuffer(self._part(level * self._blocks + k), dtype=np.uint8) for k in range(self._blocks)]
+            bit = np.unpackbits(np.concatenate(packed), count=self.n).view(bool)
             y = np.empty_like(x)
-            y[~bit] = x[:zeros]
-            y[bit] = x[zeros:] | kind(1 << k)
+            y[~bit] = x[: self.zeros[level]]
+            y[bit] = x[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
             x = y
         return x
 
-
-def to_file(matrix: WaveletMatrix, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
-    """MAGIC, sizes, then the compressed parts: each plane, document ids, which of them are null,
-    lengths. A part is read without the others."""
-    import zstandard
-
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    known = np.array([0 if i is None else i for i in doc_ids], dtype="<i8")
-    parts = [squeeze(p.tobytes()) for p in matrix._planes]
-    parts += [squeeze(known.tobytes()), squeeze(np.array([i is None for i in doc_ids], dtype=np.uint8).tobytes()), squeeze(np.asarray(lengths, dtype="<i8").tobytes())]
-    bits = len(matrix._planes)
-    head = struct.pack("<QQI", matrix.n, len(doc_ids), bits) + struct.pack(f"<{bits}Q", *matrix.zeros) + struct.pack(f"<{bits + 3}Q", *map(len, parts))
-    return MAGIC + head + b"".join(parts)
-
-
-class ShardFile:
-    """A file's bytes; planes and document lists are unpacked when asked for."""
-
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
-            raise ValueError("not a token shard")
-        self._data = data
-        self.n, self.n_docs, self.bits = struct.unpack_from("<QQI", data, 8)
-        at = 8 + 20
-        self._zeros = list(struct.unpack_from(f"<{self.bits}Q", data, at))
-        at += 8 * self.bits
-        self._sizes = struct.unpack_from(f"<{self.bits + 3}Q", data, at)
-        self._start = at + 8 * (self.bits + 3)
-
-    def _part(self, k: int) -> bytes:
-        import zstandard
-
-        at = self._start + sum(self._sizes[:k])
-        return zstandard.ZstdDecompressor().decompress(self._data[at : at + self._sizes[k]])
-
-    def matrix(self) -> WaveletMatrix:
-        return WaveletMatrix(self.n, [np.frombuffer(self._part(k), dtype=np.uint8) for k in range(self.bits)], self._zeros)
-
     def documents(self) -> tuple[list[int | None], np.ndarray]:
         """Ids, and the place of each document's first token (n_docs + 1)."""
-        ids = np.frombuffer(self._part(self.bits), dtype="<i8").tolist()
-        null = np.frombuffer(self._part(self.bits + 1), dtype=np.uint8)
-        lengths = np.frombuffer(self._part(self.bits + 2), dtype="<i8")
+        first = self.bits * self._blocks
+        ids = np.frombuffer(self._part(first), dtype="<i8").tolist()
+        null = np.frombuffer(self._part(first + 1), dtype=np.uint8)
+        lengths = np.frombuffer(self._part(first + 2), dtype="<i8")
         return [None if x else i for i, x in zip(ids, null.tolist(), strict=True)], np.concatenate([[0], np.cumsum(lengths)])
 
 
+def open_shard(uri: str) -> ShardFile:
+    """A shard on storage, of which only what is asked for is read."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    file = system.open_input_file(path)
+    return ShardFile(lambda at, size: file.read_at(size, at))
+
+
 def _write(folder: str, name: str, data: bytes) -> None:
     from pyarrow import fs
 
@@ -199,7 +209,9 @@ def write_shards(df: DataFrame, id_col: str, text_col: str, tokenizer: str, fold
     data = spark.sparkContext.broadcast(base.read_bytes(tokenizer))  # a tokenizer file: some MB at most
     kind = "json" if tokenizer.endswith(".json") else "model"
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # a repeated id is dealt out by its texts, and a repeated row by its place in the input: those follow in any order
+    keyed = rows.withColumns({"key": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange("id", "key", "place").sortWithinPartitions("id", "key").select("id", "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -213,7 +225,7 @@ def write_shards(df: DataFrame, id_col: str, text_col: str, tokenizer: str, fold
 
         def shard():
             name = f"part-{part:07d}-{seq:05d}-{uuid.uuid4().hex}.wm"
-            _write(folder, name, to_file(WaveletMatrix.build(np.concatenate(ids)), docs, np.concatenate(sizes)))
+            _write(folder, name, to_file(np.concatenate(ids), docs, np.concatenate(sizes)))
             return pa.RecordBatch.from_pydict(
                 {"name": [name], "part": [part], "seq": [seq], "n_docs": [len(docs)], "n_tokens": [total]},
                 schema=pa.schema([("name", pa.string()), ("part", pa.int64()), ("seq", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]),
@@ -255,7 +267,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = ShardFile(content.as_py())
                 docs, at = shard.documents()
-                ids = shard.matrix().decode().astype("<u4").tobytes()
+                ids = shard.decode().astype("<u4").tobytes()
                 ends = (4 * at).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(docs), pa.string()), pa.array(docs, pa.int64()), pa.array(at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()),
@@ -273,7 +285,7 @@ def count_token(spark: SparkSession, folder: str, token: int) -> DataFrame:
         for batch in batches:
             names = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([ShardFile(c.as_py()).matrix().count(token) for c in batch.column(1)], pa.int64())], names=["name", "occurrences"]
+                [pa.array(names, pa.string()), pa.array([ShardFile(c.as_py()).count(token) for c in batch.column(1)], pa.int64())], names=["name", "occurrences"]
             )
 
     return files(spark, folder).mapInArrow(run, "name string, occurrences long")
