@@ -8,11 +8,17 @@ Blocks of about ``block`` documents fold like that at once, and their fractions
 the next level's blocks, up to one document for each source: a reduction tree whose levels shrink
 by the block size. So a source's words miss their target by less than one document.
 
+Rows of one id, source and size are summed up first: the fractions of m of them are m * p together, of
+which the whole part is rounded up at once and one fraction goes on, as if they had met each other first.
+So an id of any share of the rows is one item, and no block holds many more than ``block``.
+
 Which way mass moves is a hash of the two ids, so reruns agree.
 
-Edge cases: a null text has size 0 and takes 0; a null source is a source of its own, last in
-order; an empty table gives an empty one; repeated rows are documents of their own (equal rows may
-be rounded differently); other columns are neither read nor returned.
+Edge cases: a null text has size 0 and takes 0; texts of any length are counted whole; a null source is a
+source of its own, last in order; ties in the order of capped sources go by source; an empty table gives
+an empty one; rows of equal id, source and size are documents of their own, of which as many are taken as
+is due to all of them; other columns are neither read nor returned (``taken`` returns them as they are, whatever their names).
+The targets are planned in one task, with a row of a few numbers for each source.
 """
 
 from __future__ import annotations
@@ -120,15 +126,12 @@ def round_fractions(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.select("source", "n_source", *[F.col(f"x.{c}").alias(c) for c in kept])
 
 
-def mix(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
-    weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, purpose: str = "mix-sizes",
-) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) of every row."""
-    sized = base.stored(
-        df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), base.n_words(F.col(text_col)).alias("size")), purpose
-    )
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n_source"))
+def _planned(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most: float, block: int) -> DataFrame:
+    """(id, source, size, source_size, target, rows, whole, up): one row for all rows of equal id, source and
+    size, of which every one is taken ``whole`` times and ``up`` once more."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), base.n_words(F.col(text_col)).alias("size"))
+    sized = base.stored(rows.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "mix-sizes")
+    sources = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count_if(F.col("size") > 0).alias("n_source"))
     planned = base.stored(targets(sources, weights, share, most), "mix-targets")
     # as many rows as sources: sent to every task where that is small, else joined by shuffles
     # whose partitions of one source are split by a salt
@@ -140,17 +143,41 @@ def mix(
         left = sized.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
         joined = left.join(right, left["source"].eqNullSafe(right["s"]) & (left["salt"] == right["salt"])).drop("salt", "s")
     copies = F.least(F.lit(most), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    rows = joined.withColumn("whole", F.floor(copies + 1e-9)).withColumn("p", copies - F.col("whole")).withColumn("key", F.xxhash64("id", "size", F.lit(_SALT)))
+    mass = F.col("rows") * (copies - F.col("whole"))
+    items = joined.withColumn("whole", F.floor(copies + 1e-9)).withColumn("up", F.when(F.col("size") > 0, F.floor(mass + 1e-9)).otherwise(F.lit(0)))
+    items = items.withColumn("p", mass - F.col("up")).withColumn("key", F.xxhash64("id", "size", F.lit(_SALT)))
     fractional = (F.col("p") > 1e-9) & (F.col("size") > 0)
-    certain = rows.where(~fractional).withColumn("p", F.lit(0.0))
-    rounded = round_fractions(
-        rows.where(fractional).select("source", "n_source", "key", "id", "size", "p", "whole", "source_size", "target"), block
-    )
-    columns = ["id", "source", "size", "source_size", "target", "whole", "p"]
-    copies_taken = (F.col("whole") + F.col("p")).cast("long")
-    return certain.select(columns).unionByName(rounded.select(columns)).select(
-        "id", "source", "size", "source_size", "target", copies_taken.alias("copies"), (copies_taken * F.col("size")).alias("taken")
-    )
+    columns = ["id", "source", "size", "source_size", "target", "rows", "whole", "up"]
+    rounded = round_fractions(items.where(fractional).select("source", "n_source", "key", "id", "size", "p", "rows", "whole", "up", "source_size", "target"), block)
+    return items.where(~fractional).select(columns).unionByName(rounded.withColumn("up", (F.col("up") + F.col("p")).cast("long")).select(columns))
+
+
+CHUNK = 1000
+
+
+def _repeated(rows: DataFrame, n: str, name: str, *, dealt: bool) -> DataFrame:
+    """Every row ``n`` times with its place from 0 as ``name``. A row of more than CHUNK is dealt out by chunks
+    over all tasks; ``dealt`` says whether there are such."""
+    (chunk,) = base.free_names(rows, "chunk")
+    place = lambda first, count: F.explode(F.sequence(first, first + count - 1))
+    few = rows.where(F.col(n).between(1, CHUNK)).withColumn(name, place(F.lit(0).cast("long"), F.col(n).cast("long")))
+    if not dealt:
+        return few
+    many = rows.where(F.col(n) > CHUNK).withColumn(chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / CHUNK))))
+    first = F.col(chunk) * CHUNK
+    many = many.repartition(chunk).withColumn(name, place(first, F.least(F.lit(CHUNK), F.col(n) - first))).drop(chunk)
+    return few.unionByName(many)
+
+
+def mix(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
+    weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK,
+) -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken) of every row."""
+    plan = base.stored(_planned(df, id_col, text_col, source_col, weights, share, most, block), "mix-plan")
+    each = _repeated(plan, "rows", "place", dealt=plan.where(F.col("rows") > CHUNK).limit(1).count() > 0)
+    copies = F.col("whole") + (F.col("place") < F.col("up")).cast("long")
+    return each.select("id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def _whole_row(df: DataFrame) -> Column:
@@ -162,16 +189,15 @@ def _whole_row(df: DataFrame) -> Column:
 
 def taken(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix: every row of ``df`` as often as it is taken, with its columns as they are. Rows are
-    told apart by a hash of all their columns; wholly equal rows share the sum of their copies."""
-    key = _whole_row(df)
-    name = next(f"_key{i}" for i in range(len(df.columns) + 1) if f"_key{i}" not in df.columns)
-    keyed = df.withColumn(name, key)
-    plan = base.stored(
-        mix(keyed, name, text_col, source_col).groupBy("id").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "mix-copies"
-    )
-    if plan.where("_rows > 1").limit(1).count():
-        keyed = keyed.dropDuplicates([name])
-    wanted = plan.where("_copies > 0").select(F.col("id").alias("_id"), "_copies")
-    wanted = F.broadcast(wanted) if wanted.count() <= 1_000_000 else wanted
-    rows = keyed.join(wanted, F.col(name) == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns])
+    told apart by a 64-bit hash of all their columns (two of n rows share one with a chance of n * n / 2**65);
+    wholly equal rows share the sum of their copies."""
+    key, id_, n, place = base.free_names(df, "row_key", "row_id", "row_copies", "row_place")
+    keyed = df.withColumn(key, _whole_row(df))
+    plan = base.stored(_planned(keyed, key, text_col, source_col, WEIGHTS, 1.5, 2.0, BLOCK), "mix-plan")
+    wanted = plan.select(F.col("id").alias(id_), (F.col("rows") * F.col("whole") + F.col("up")).alias(n)).where(F.col(n) > 0)
+    facts = plan.agg(F.max("rows"), F.max(F.col("rows") * F.col("whole") + F.col("up")), F.count(F.lit(1))).first()
+    if (facts[0] or 0) > 1:
+        keyed = keyed.dropDuplicates([key])
+    wanted = F.broadcast(wanted) if facts[2] <= 1_000_000 else wanted
+    rows = keyed.join(wanted, F.col(key) == F.col(id_))
+    return _repeated(rows, n, place, dealt=(facts[1] or 0) > CHUNK).select(*[F.col(f"`{c}`") for c in df.columns])
