@@ -9,16 +9,19 @@ text, so no span depends on where windows begin.
 A span of any kind holds a digit or an ``@`` (else it is dropped), so decoding begins with the windows
 that hold such a sign, and goes on to the next windows while the decoded part's first or last character
 has a tag. A span with a sign so lies in the decoded part, as if all windows were decoded.
-Added spans must also pass the checks of ``_valid`` and not touch a span of the patterns, which stay.
+Added spans must also pass the checks of ``_valid`` and not touch a span of the patterns, which stay. What the network
+itself says is reported beside them: its spans before those checks, which pattern spans it confirms (a span of
+its own of that kind that shares four fifths of their places together), and the mean score of its best tags.
 
 Edge cases: a null or empty text has no spans; texts of any length are read whole, in linear time;
-repeated rows give repeated rows; an empty table gives an empty one; other columns are neither read
+spans of one kind that begin together can't be; repeated rows give repeated rows; an empty table gives an empty one; other columns are neither read
 nor returned.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -137,8 +140,8 @@ class BiLstmCrf:
         features = np.concatenate([hs[:, 0], hs[::-1, 1]], axis=-1)  # (length, n, 2h)
         return features @ self.p["o"] + self.p["ob"], features, trace, both
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """Best tags of windows (n, length)."""
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best tags of windows (n, length), and the scores of these paths."""
         score = self._run(x, False)[0]
         length, n, t = score.shape
         best = score[0] + self.p["s"]
@@ -148,11 +151,12 @@ class BiLstmCrf:
             back[k] = through.argmax(axis=1)
             best = through.max(axis=1) + score[k]
         tags = np.zeros((n, length), dtype=np.int8)
-        tags[:, -1] = (best + self.p["e"]).argmax(axis=1)
+        ending = best + self.p["e"]
+        tags[:, -1] = ending.argmax(axis=1)
         rows = np.arange(n)
         for k in range(length - 1, 0, -1):
             tags[:, k - 1] = back[k][rows, tags[:, k]]
-        return tags
+        return tags, ending.max(axis=1)
 
     def _crf(self, score: np.ndarray, y: np.ndarray):
         """Loss and gradients of the sequence likelihood."""
@@ -334,8 +338,9 @@ def _valid(kind: str, piece: str) -> bool:
     return 9 <= len(digits) <= 15 and len(grouped) >= 3 and max(map(len, grouped)) <= 6 and not re.fullmatch(r"(?:97[89][ -])?[0-9]+-[0-9]+-[0-9]+-[0-9Xx]", piece)
 
 
-def network_spans(model: BiLstmCrf, texts: list[str], block: int = 256) -> list[list[tuple[str, int, int]]]:
-    """Spans of whole texts, from windows' middle parts: those with signs, and those that spans reach from there."""
+def network_tags(model: BiLstmCrf, texts: list[str], block: int = 256, *, every: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    """Tags of whole texts, from windows' middle parts: those with signs, and those that spans reach from there (or
+    ``every`` window); and each text's mean score of its decoded windows, a character, 0 for none."""
     coded = [shapes(t) for t in texts]
     side = (WINDOW - STRIDE) // 2
     # window s gives the tags from STRIDE * s - side, STRIDE of them
@@ -347,8 +352,9 @@ def network_spans(model: BiLstmCrf, texts: list[str], block: int = 256) -> list[
         first = (sign - WINDOW + 1 + STRIDE + STRIDE - 1) // STRIDE
         last = (sign + STRIDE) // STRIDE
         starts = np.unique(np.concatenate([first + j for j in range(int((last - first).max(initial=-1)) + 1)])) if sign.size else []
-        where += [(k, int(s)) for s in starts if 0 <= s < held[k].size]
+        where += [(k, s) for s in range(held[k].size)] if every else [(k, int(s)) for s in starts if 0 <= s < held[k].size]
     tags = [np.zeros(x.size, np.int8) for x in coded]
+    total, windows = np.zeros(len(texts)), np.zeros(len(texts))
     step = 1
     while where:
         for at in range(0, len(where), block):
@@ -358,7 +364,10 @@ def network_spans(model: BiLstmCrf, texts: list[str], block: int = 256) -> list[
                 a, b = max(0, s), min(coded[k].size, s + WINDOW)
                 if a < b:
                     x[row, a - s : b - s] = coded[k][a:b]
-            best = model.decode(x)
+            best, path = model.decode(x)
+            of = [k for k, _ in part]
+            np.add.at(total, of, path)
+            np.add.at(windows, of, WINDOW)
             for row, (k, s) in enumerate(part):
                 a, b = max(0, s + side), min(coded[k].size, s + side + STRIDE)
                 if a < b:
@@ -367,7 +376,13 @@ def network_spans(model: BiLstmCrf, texts: list[str], block: int = 256) -> list[
             held[k][s] = True
         where = [(k, s) for k in sorted({k for k, _ in where}) for s in _reached(held[k], tags[k], step)]
         step *= 2  # so that a long span takes few rounds
-    return [_spans_of(t, text) for t, text in zip(tags, texts, strict=True)]
+    return tags, total / np.maximum(windows, 1)
+
+
+def network_spans(model: BiLstmCrf, texts: list[str], *, every: bool = False) -> list[list[tuple[str, int, int]]]:
+    """The network's spans that can be what they say."""
+    tags, _ = network_tags(model, texts, every=every)
+    return [[s for s in _tagged(t) if _may_add(text, *s)] for t, text in zip(tags, texts, strict=True)]
 
 
 def _reached(held: np.ndarray, tags: np.ndarray, step: int) -> list[int]:
@@ -383,7 +398,8 @@ def _reached(held: np.ndarray, tags: np.ndarray, step: int) -> list[int]:
     return sorted(s for s in out if not held[s])
 
 
-def _spans_of(tags: np.ndarray, text: str) -> list[tuple[str, int, int]]:
+def _tagged(tags: np.ndarray) -> list[tuple[str, int, int]]:
+    """Runs of one kind: a tag, then inner tags of its kind."""
     out, at = [], np.flatnonzero(tags)
     k = 0
     while k < at.size:
@@ -392,24 +408,42 @@ def _spans_of(tags: np.ndarray, text: str) -> list[tuple[str, int, int]]:
         end = start + 1
         while end < tags.size and tags[end] == 2 * kind + 2:
             end += 1
-        piece = text[start:end]
-        if ("@" in piece or _digits(piece)) and _valid(KINDS[kind], piece):
-            out.append((KINDS[kind], start, end))
+        out.append((KINDS[kind], start, end))
         k = int(np.searchsorted(at, end))
     return out
 
 
-def find(model: BiLstmCrf, texts: list[str]) -> list[list[tuple[str, int, int, bool]]]:
-    """(kind, start, end, added) of each text, by kind, then start."""
+def _may_add(text: str, kind: str, start: int, end: int) -> bool:
+    piece = text[start:end]
+    return ("@" in piece or bool(_digits(piece))) and _valid(kind, piece)
+
+
+@dataclass(frozen=True)
+class Finding:
+    """``spans``: (kind, start, end, added, confirmed) by kind, then start; ``network``: its own spans as they are."""
+
+    spans: list[tuple[str, int, int, bool, bool]]
+    network: list[tuple[str, int, int]]
+    score: float
+
+
+def examine(model: BiLstmCrf, texts: list[str]) -> list[Finding]:
     out = []
-    for text, more in zip(texts, network_spans(model, texts), strict=True):
-        fixed = pattern_spans(text)
-        free = [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in fixed)] if fixed else more
-        found = [(*s, False) for s in fixed] + [(*s, True) for s in free]
-        out.append(sorted(found, key=lambda s: (KINDS.index(s[0]), s[1])))
+    tags, scores = network_tags(model, texts)
+    for text, own_tags, score in zip(texts, tags, scores.tolist(), strict=True):
+        fixed, own = pattern_spans(text), _tagged(own_tags)
+        free = [s for s in own if _may_add(text, *s) and not any(s[1] < b and a < s[2] for _, a, b in fixed)]
+        alike = lambda x, y: x[0] == y[0] and 5 * (min(x[2], y[2]) - max(x[1], y[1])) >= 4 * (max(x[2], y[2]) - min(x[1], y[1]))
+        found = [(*s, False, any(alike(s, n) for n in own)) for s in fixed] + [(*s, True, True) for s in free]
+        out.append(Finding(sorted(found, key=lambda s: (KINDS.index(s[0]), s[1])), own, score))
     return out
 
 
+def find(model: BiLstmCrf, texts: list[str]) -> list[list[tuple[str, int, int, bool]]]:
+    """(kind, start, end, added) of each text, by kind, then start."""
+    return [[s[:4] for s in x.spans] for x in examine(model, texts)]
+
+
 def redact(text: str, found: list[tuple[str, int, int, bool]]) -> str:
     """The text with every span, or run of overlapping spans, as its first kind in brackets."""
     out, at = [], 0
@@ -425,11 +459,12 @@ def redact(text: str, found: list[tuple[str, int, int, bool]]) -> str:
     return "".join([*out, text[at:]])
 
 
-SPANS = "array<struct<kind:string,start:long,end:long,added:boolean>>"
+SPANS = "array<struct<kind:string,start:long,end:long,added:boolean,confirmed:boolean>>"
+NETWORK = "array<struct<kind:string,start:long,end:long>>"
 
 
 def detect(df: DataFrame, id_col: str, text_col: str, *, model: BiLstmCrf | None = None) -> DataFrame:
-    """(id, spans) of every row."""
+    """(id, spans, network, score) of every row."""
     model = model or standard_model()
     weights = df.sparkSession.sparkContext.broadcast((model.hidden, model.p))  # some 100 KB
 
@@ -440,12 +475,17 @@ def detect(df: DataFrame, id_col: str, text_col: str, *, model: BiLstmCrf | None
         raw, at = spans.blob(text)
         may = np.flatnonzero(spans.per_text(((raw >= 0x30) & (raw <= 0x39)) | (raw == 0x40), at))
         listed: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-        for i, s in zip(may.tolist(), find(net, text.take(pa.array(may)).to_pylist()), strict=True):
-            listed[i] = [dict(zip(("kind", "start", "end", "added"), x, strict=True)) for x in s]
-        return {"id": batch.column(0), "spans": listed}
+        network: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+        score = np.zeros(batch.num_rows)
+        names = ("kind", "start", "end", "added", "confirmed")
+        for i, x in zip(may.tolist(), examine(net, text.take(pa.array(may)).to_pylist()), strict=True):
+            listed[i] = [dict(zip(names, s, strict=True)) for s in x.spans]
+            network[i] = [dict(zip(names[:3], s, strict=True)) for s in x.network]
+            score[i] = x.score
+        return {"id": batch.column(0), "spans": listed, "network": network, "score": score}
 
     return base.map_arrow(
-        df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), rows, f"id long, spans {SPANS}", max_bytes=1 << 20
+        df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), rows, f"id long, spans {SPANS}, network {NETWORK}, score double", max_bytes=1 << 20
     )
 
 
