@@ -47,6 +47,11 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables that ``stored`` wrote, once what was made of them is stored itself."""
     for table in tables:

@@ -5,7 +5,8 @@ and library version) are joined to stored counts; only distinct misses are encod
 
 Edge cases: a null text counts as empty, which has no tokens; repeated texts are encoded once and
 may be any share of the rows, as each task sends one of them at most; an empty table gives an empty
-one; other columns are neither read nor returned; a cache that isn't there yet is an empty one.
+one; texts of any length are encoded whole, in batches cut by bytes; there are no ties to break; other columns
+are neither read nor returned; a cache that isn't there yet is an empty one.
 """
 
 from __future__ import annotations
@@ -55,22 +56,23 @@ class TokenCountCache:
 
     def stored(self) -> DataFrame | None:
         """This version's counts; None where nothing is stored yet."""
-        from pyspark.errors import AnalysisException
-
-        try:
-            return self._spark.read.schema(CACHE_SCHEMA).parquet(self.path).where(F.col("version") == self.version)
-        except AnalysisException:
+        if not base.exists(self._spark, self.path):
             return None
+        return self._spark.read.schema(CACHE_SCHEMA).parquet(self.path).where(F.col("version") == self.version)
 
     def count(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, n_bytes, n_tokens) for every row; encodes and appends what the cache lacks."""
         text = F.coalesce(F.col(text_col), F.lit(""))
         digest = F.unhex(F.sha2(text, 256))
         rows = df.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"))
-        distinct = df.select(digest.alias("digest"), text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
+        texts = df.select(digest.alias("digest"), text.alias("text"))
         known = self.stored()
-        missing = distinct if known is None else distinct.join(known.select("digest"), "digest", "left_anti")
-        self._encoded(missing).write.mode("append").parquet(self.path)
+        if known is not None:  # digests meet the cache alone; only the texts of misses move
+            wanted = base.stored(rows.select("digest").distinct().join(known.select("digest"), "digest", "left_anti"), "token-misses")
+            n = wanted.count()
+            texts = texts.join(F.broadcast(wanted) if n <= 1_000_000 else wanted, "digest", "left_semi") if n else None
+        if texts is not None:
+            self._encoded(texts.groupBy("digest").agg(F.first("text").alias("text"))).write.mode("append").parquet(self.path)
         # runs at the same time may append a digest twice; written once more, so that both sides of
         # the join are plain exchanges, whose large partitions (one text's copies) Spark can split
         counts = base.stored(self.stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts-unique")
