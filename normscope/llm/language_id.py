@@ -6,7 +6,8 @@ distance of its two places, or the profile's length if the profile lacks it; the
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; with no labelled text
 every text is ``und``; equal distances go to the language first by code point; texts of any length
-are counted whole; other columns are neither read nor returned.
+are counted whole; repeated rows are judged alike, and count as often as they occur where they are learned
+from; an empty table gives an empty one; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from . import base
 
 PLACES = 300  # length of a profile
-#: Labelled texts that a language's profile is counted from, at most; chosen by a hash of the id.
+#: Labelled rows that a language's profile is counted from, at most about; chosen by a hash of id and text.
 MAX_TEXTS = 4000
 _BITS = 21  # of a code point
 
@@ -39,9 +40,9 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, n-gram and count of every n-gram of every text, ordered by text and n-gram. An n-gram
     is its code points, 21 bits each, the blank as 1."""
     low = [t.lower() for t in texts]
-    points = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    points = np.frombuffer("".join(t + "\n" for t in low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     lengths = np.array([len(t) + 1 for t in low], dtype=np.int64)
-    text_of = np.repeat(np.arange(len(low), dtype=np.int64), lengths)[: points.size]
+    text_of = np.repeat(np.arange(len(low), dtype=np.int64), lengths)
     letter = _alpha()[points]
     edge = np.zeros(points.size, dtype=bool)
     edge[1:] = ~letter[1:] & letter[:-1]  # the first sign after a word stands for the blank
@@ -134,7 +135,7 @@ def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, *, max_texts
     for lang, n in sorted(sizes.items()):
         if n > max_texts:
             share = F.when(F.col("lang") == lang, F.lit(max_texts / n)).otherwise(share)
-    chosen = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share
+    chosen = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share
 
     def run(batches):
         for whole in batches:

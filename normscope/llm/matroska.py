@@ -5,7 +5,7 @@ all lacing forms and cues. ``parse`` walks the EBML tree of any Matroska/WebM by
 the packet table: track, timestamp, byte range, cluster and lacing of every frame.
 
 Edge cases, for every function on a DataFrame: a null text or payload counts as empty, which
-pads to one unit; an empty table gives an empty table; equal inputs give equal outputs whatever
+pads to one unit; texts of any length are stored whole, one file each; an empty table gives an empty table; equal inputs give equal outputs whatever
 their row; other columns are neither read nor returned, so their names can't clash. ``parse`` of
 bytes that are not EBML gives no packets and ``complete`` false; of cut bytes, the packets that
 are whole.

@@ -5,10 +5,11 @@ rule is grown condition by condition for the most information on two thirds of t
 pruned from its end on the other third, and kept while it stays precise. ``DecisionList.expression``
 gives the ordered Spark conditional.
 
-Edge cases: a null or empty text has no words and fails the base; repeated rows and ids stay as they
-are (labels of one id are joined by their minimum, and a repeated document counts once per row);
-missing or one-sided labels give an empty list, so the base alone decides; an empty table gives an
-empty one; other columns are neither read nor returned.
+Edge cases: a null or empty text has no words and fails the base; texts of any length are measured whole, in
+batches cut by bytes; repeated rows and ids stay as they are (labels of one id are joined by their minimum, and
+equal statistics of one id are learned from once); of rules that hold the first in order names the reason, and of
+conditions of equal gain the first in order is grown; missing or one-sided labels give an empty list, so the base alone decides;
+an empty table gives an empty one; other columns are neither read nor returned (``keep`` returns them as they are).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from . import base, spans
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_adjacent", "n_lines", "n_marks")
 SCHEMA = "id long, " + ", ".join(f"{c} long" for c in COUNTS)
 WINDOW = 5
-#: Labelled rows that a list is learned from, at most; chosen by a hash of the id.
+#: Labelled rows that a list is learned from, at most about; chosen by a hash of the id, then of the row.
 MAX_LABELLED = 40_000
 
 #: The statistics that conditions may test, as expressions over COUNTS.
@@ -77,8 +78,14 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     line_start, line_end, line_text = line_start[has_word], line_end[has_word], line_text[has_word]
     line_hash = spans.mix(spans.hashes(raw, line_start, line_end)) + line_text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     order = np.argsort(line_hash, kind="stable")
+    later, before = order[1:], order[:-1]
+    likely = line_hash[later] == line_hash[before]
+    later, before = later[likely], before[likely]
+    size = line_end - line_start
+    alike = size[later] == size[before]
+    alike[alike] = spans.equal(raw, line_start[later[alike]], line_start[before[alike]], size[later[alike]])
     again = np.zeros(line_hash.size, dtype=bool)
-    again[order[1:]] = line_hash[order[1:]] == line_hash[order[:-1]]
+    again[later[alike]] = True
     return {
         "n_words": word_at[1:] - word_at[:-1],
         "word_chars": spans.per_text(points & ~spans.SPACE[raw], at),
@@ -262,7 +269,11 @@ def learn_from(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     chosen = marks.select(F.col("doc_id").cast("long").alias("label_id"), "quality")
     known = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("label_id")), F.col("id") == F.col("label_id"), "left_semi")
     stats = statistics(known, "id", "text").where(~base_failed())
-    got = stats.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("id", "quality", *[feature(f).alias(f) for f in FEATURES]).toPandas()
+    rows = stats.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("id", "quality", *[feature(f).alias(f) for f in FEATURES])
+    rows = base.stored(rows.dropDuplicates(), "labelled-statistics")
+    if (n := rows.count()) > 2 * max_labelled:  # ids that come with many texts
+        rows = rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) < int(max_labelled / n * (1 << 30)))
+    got = rows.toPandas()
     if not len(got):
         return DecisionList()
     got = got.sort_values(["id", *FEATURES], kind="stable")

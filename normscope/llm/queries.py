@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import base
+from .oracle import ORACLES  # noqa: F401
 
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
@@ -20,7 +21,7 @@ def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.element_at("ends", -1).cast("long").alias("source_bytes"),
+        F.sha2(F.array_join(F.col("ends").cast("array<string>"), " "), 256).alias("ends_sha256"),
     )
 
 
@@ -59,7 +60,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = F.filter("spans", lambda s: ~s["added"])
     of = lambda kind: F.filter(fixed, lambda s: s["kind"] == kind)
     counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
-    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined(fixed), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(joined(fixed), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"), F.size(F.filter(fixed, lambda s: s["confirmed"])).cast("long").alias("n_confirmed"),
+        joined(F.col("network")).alias("network_spans"), F.round("score", 3).alias("network_score"),
+    )
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +85,7 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import matroska
 
     docs = base.documents(spark, sf_dir, "doc_id", "text")
-    media = matroska.to_media(docs, "doc_id", "text")
+    media = base.stored(matroska.to_media(docs, "doc_id", "text"), "media")
     return matroska.read_media(media).withColumnRenamed("id", "doc_id")
 
 
@@ -101,7 +106,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2's counts and base verdict, which SQL can state."""
+    from . import quality_rules
+
+    counted = quality_rules.statistics(base.documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text").withColumn("base_failed", quality_rules.base_failed())
+    return counted.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's sizes and targets, and the words that each source misses its target by, in sizes of its largest document."""
+    mixed = op4_mixing(spark, sf_dir).join(base.documents(spark, sf_dir, "doc_id", "source"), "doc_id")
+    near = F.abs(F.sum("taken") - F.first("target")) <= F.max("size")
+    return mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), near.alias("is_near"), (F.max(F.col("taken") - 2 * F.col("size")) <= 0).alias("is_bounded"))
+
+
+def media_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's sizes, which SQL can state."""
+    return op8_matroska(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentence_pieces, op2_quality_rules, op3_language_id, op4_mixing, op5_pii, op6_ngram_join, op7_url_filter, op8_matroska, op9_wavelet, op10_token_counts,
+    quality_base, mixing_targets, media_sizes,
 )}
-ORACLES: dict[str, str] = {}

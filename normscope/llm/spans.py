@@ -76,6 +76,21 @@ def hashes(bytes_: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return out
 
 
+def equal(bytes_: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from each of two places are the same."""
+    same, room = np.ones(a.size, dtype=bool), padded(bytes_)
+    of = np.flatnonzero(size <= _LONG)
+    a_at, b_at, left = a[of], b[of], size[of]
+    while of.size:
+        alike = chunks_at(room, a_at, left) == chunks_at(room, b_at, left)
+        same[of[~alike]] = False
+        more = alike & (left > 8)
+        of, a_at, b_at, left = of[more], a_at[more] + 8, b_at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > _LONG).tolist():
+        same[k] = np.array_equal(bytes_[a[k] : a[k] + size[k]], bytes_[b[k] : b[k] + size[k]])
+    return same
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
