@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's documents. All but the last return the columns of ``documents``.
+
+Edge cases: null and empty texts fail the quality rules and go; texts of any length pass through whole; repeated ids
+stay apart by their texts; of wholly equal rows the second stage keeps one; null ids, sources and other nulls stay
+as they are; columns beside those of ``documents`` pass through the first four stages, whatever their names;
+empty tables give empty ones; ties are settled as each operator says.
 """
 
 from __future__ import annotations
@@ -54,6 +59,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = base.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        base.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
