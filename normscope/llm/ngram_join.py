@@ -9,8 +9,9 @@ levels; what is still large then is compared whole, in blocks. Runs repeat until
 threshold meets with the target recall (``runs_for``). Depth and runs are the same for every size of table.
 
 Comparing has three rounds. First every node of a bucket meets the bucket's eight leaders; the links found
-give components. Then it meets eight other leaders of other components. Then only nodes of different
-components meet, so a large group of near copies, joined by its leaders, isn't compared pair by pair.
+give components. Buckets of one component are settled by that; other large ones are split now. Then every node
+meets eight other leaders of other components. Then only nodes of different components meet, so a large group of
+near copies, joined by its leaders, isn't split or compared pair by pair.
 A candidate passes three filters, of which the first and the last discard nothing that reaches the threshold:
 sizes and odd sketches (an odd sketch differs in no more bits than the sets do in windows), first of 256 bits
 beside 1-bit minwise sketches, then of two bits or more for each window; then the whole texts of the
@@ -239,7 +240,6 @@ def _few(df: DataFrame, n: int) -> DataFrame:
 
 def _sized(rows: DataFrame) -> DataFrame:
     """Bucket rows with the bucket's size and a hash of its nodes; buckets of size 1 go."""
-    rows = rows.repartition("bucket")  # dealt once, for the sizes and for the join
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("nodes_key")).where("size > 1")
     return rows.join(sizes, "bucket")
 
@@ -264,25 +264,41 @@ def _children(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return grouped.join(texts, "node").select("node", "buckets", "text").mapInArrow(run, "bucket long, node long").distinct()
 
 
-def _leaves(nodes: DataFrame, texts: _Texts, depth: int) -> DataFrame:
-    """(bucket, node, FACTS) of all buckets that are compared."""
-    now = nodes.select("node", F.explode(F.array_distinct("buckets")).alias("bucket"))
-    done = []
-    for level in range(1, depth + 1):
-        sized = base.stored(_sized(now), f"level-{level}")
-        done.append(sized)
-        large = sized.where(F.col("size") > LEAF).select("bucket", "node")
-        if level == depth or not large.limit(1).count():
+def _once(sized: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(bucket, node, size, FACTS) of bucket rows; of buckets of the same nodes, which are compared once, one stays."""
+    buckets = sized.groupBy("size", "nodes_key").agg(F.min("bucket").alias("bucket")).select("bucket")
+    rows = sized.select("bucket", "node", "size").join(buckets, "bucket", "left_semi")
+    return rows.join(nodes.select("node", *FACTS), "node").select("bucket", "node", "size", *FACTS)
+
+
+def _first_meetings(rows: DataFrame) -> DataFrame:
+    """The bucket rows of the first round: all of small buckets, and of a node's large ones that of the largest."""
+    largest = rows.where(F.col("size") > LEAF).groupBy("node").agg(F.max(F.struct("size", "bucket")).alias("own")).select("node", "own.bucket")
+    small = rows.where(F.col("size") <= LEAF)
+    return small.unionByName(rows.where(F.col("size") > LEAF).join(largest, ["node", "bucket"], "left_semi").select(*rows.columns))
+
+
+def _mixed(rows: DataFrame, component: DataFrame) -> DataFrame:
+    """The bucket rows of buckets whose nodes aren't all of one component."""
+    labelled = rows.join(component, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    ends = labelled.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    return rows.join(ends.where("low <> high").select("bucket"), "bucket", "left_semi")
+
+
+def _split(first: DataFrame, nodes: DataFrame, component: DataFrame, texts: _Texts, depth: int) -> DataFrame:
+    """(bucket, node, FACTS) of all buckets whose nodes still have to be compared: large buckets of one component
+    are settled, other large ones are split, ``depth`` levels in all."""
+    sized, done = first, [first.where(F.col("size") <= LEAF)]
+    for level in range(2, depth + 1):
+        large = base.stored(_mixed(sized.where(F.col("size") > LEAF).select("bucket", "node"), component), f"large-{level}")
+        if not large.limit(1).count():
             break
-        now = base.stored(_children(large, texts.of(large)), f"children-{level}")
-    small = [x.where(F.col("size") <= LEAF) if level < len(done) else x for level, x in enumerate(done, 1)]
-    out = reduce(DataFrame.unionByName, small)
-    # buckets of the same nodes are compared once
-    buckets = out.groupBy("size", "nodes_key").agg(F.min("bucket").alias("bucket")).select("bucket")
-    out = out.select("bucket", "node").join(buckets, "bucket", "left_semi")
-    out = base.stored(out.join(nodes.select("node", *FACTS), "node").select("bucket", "node", *FACTS), "leaves")
-    base.discard(*done)
-    return out
+        children = base.stored(_children(large, texts.of(large)), f"children-{level}")
+        sized = base.stored(_once(_sized(children), nodes), f"level-{level}")
+        done.append(sized if level == depth else sized.where(F.col("size") <= LEAF))
+        base.discard(large, children)
+    out = reduce(DataFrame.unionByName, done)
+    return base.stored(_mixed(out, component).select("bucket", "node", *FACTS), "leaves")
 
 
 # ---------------------------------------------------------------- pairs
@@ -501,8 +517,11 @@ def _classified(df: DataFrame, id_col: str, text_col: str, recall: float, depth:
     nodes = scanned.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("own"), *firsts)
     nodes = base.stored(nodes.select("node", "own.*", *FACTS, "buckets"), "nodes")
     texts = _Texts(docs, nodes)
-    leaves = _leaves(nodes, texts, depth)
-    component = components(_verified(_leader_pairs(leaves, 0), texts))
+    first = base.stored(_sized(nodes.select("node", F.explode(F.array_distinct("buckets")).alias("bucket"))), "level-1")
+    first, sized = base.stored(_once(first, nodes), "first-meetings"), first
+    component = components(_verified(_leader_pairs(_first_meetings(first), 0), texts))
+    leaves = _split(first, nodes, component, texts, depth)
+    base.discard(sized, first)
     for find in (lambda: _leader_pairs(leaves, 1, component), lambda: _other_pairs(leaves, component)):
         more = _verified(find(), texts)
         if more.limit(1).count():
