@@ -266,8 +266,7 @@ def _children(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _once(sized: DataFrame, nodes: DataFrame) -> DataFrame:
     """(bucket, node, size, FACTS) of bucket rows; of buckets of the same nodes, which are compared once, one stays."""
-    buckets = sized.groupBy("size", "nodes_key").agg(F.min("bucket").alias("bucket")).select("bucket")
-    rows = sized.select("bucket", "node", "size").join(buckets, "bucket", "left_semi")
+    rows = sized.groupBy("size", "nodes_key", "node").agg(F.min("bucket").alias("bucket"))
     return rows.join(nodes.select("node", *FACTS), "node").select("bucket", "node", "size", *FACTS)
 
 
@@ -297,8 +296,7 @@ def _split(first: DataFrame, nodes: DataFrame, component: DataFrame, texts: _Tex
         sized = base.stored(_once(_sized(children), nodes), f"level-{level}")
         done.append(sized if level == depth else sized.where(F.col("size") <= LEAF))
         base.discard(large, children)
-    out = reduce(DataFrame.unionByName, done)
-    return base.stored(_mixed(out, component).select("bucket", "node", *FACTS), "leaves")
+    return base.stored(reduce(DataFrame.unionByName, done).select("bucket", "node", *FACTS), "leaves")
 
 
 # ---------------------------------------------------------------- pairs

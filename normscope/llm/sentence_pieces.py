@@ -209,7 +209,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, model_path: str) -> DataFr
     def run(batches):
         encoder = _encoder(model.value)
         for whole in batches:
-            for batch in base.cut(whole, 1 << 20):
+            for batch in base.cut(whole, 1 << 19):
                 text = batch.column(1).fill_null("")
                 ids, ends, at = encoder.encode(text)
                 offsets = pa.array(at.astype(np.int32))
