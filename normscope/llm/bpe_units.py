@@ -219,18 +219,26 @@ def byte_level(spec: str) -> UnitEncoder:
     tokenizer, parts = Tokenizer.from_str(spec), json.loads(spec)
     plain, model, names = _is_plain(parts), tokenizer.model, _byte_names()
     added = tuple(t["content"] for t in parts["added_tokens"])
-    direct = plain and not any(_LATIN.fullmatch(t) for t in added)
+    direct = plain and not any(_PLAIN.fullmatch(t) for t in added)
+    signs: dict[str, list[int]] = {"": []}
 
     def encode(units: list[str], _: list[bool]) -> list[list[int]]:
-        """A unit of Latin letters is one pre-token, which goes to the library's model at once."""
+        """A unit of Latin letters, or digits, and signs after them is one pre-token or two, which go to the
+        library's model at once."""
         out: list = [None] * len(units)
         rest = []
         for k, unit in enumerate(units):
-            if direct and _LATIN.fullmatch(unit):
-                shown = unit.replace(" ", names[32]) if unit.isascii() else unit.encode().decode("latin-1").translate(names)
-                out[k] = [t.id for t in model.tokenize(shown)]
-            else:
+            found = _PLAIN.fullmatch(unit) if direct else None
+            if found is None:
                 rest.append(k)
+                continue
+            word, after = found.groups()
+            shown = word.replace(" ", names[32]) if word.isascii() else word.encode().decode("latin-1").translate(names)
+            if after not in signs:
+                if len(signs) > 10_000:
+                    signs.clear()
+                signs[after] = [t.id for t in model.tokenize(after)] if after else []
+            out[k] = [t.id for t in model.tokenize(shown)] + signs[after]
         for k, x in zip(rest, tokenizer.encode_batch_fast([units[k] for k in rest], add_special_tokens=False), strict=True):
             out[k] = x.ids
         return out
@@ -238,8 +246,9 @@ def byte_level(spec: str) -> UnitEncoder:
     return UnitEncoder(encode, whole=not plain, uncut=added)
 
 
-#: Letters of every Unicode version, perhaps after a space: the pre-tokenizer's pattern takes all of it.
-_LATIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ƿ]+")
+#: Letters of every Unicode version, or digits, perhaps after a space, then ASCII signs without the apostrophe: the
+#: pre-tokenizer's pattern takes all letters or digits, and then all signs.
+_PLAIN = re.compile(r"( ?(?:[A-Za-zÀ-ÖØ-öø-ƿ]+|[0-9]+))([!-&(-/:-@\[-`{-~]*)")
 
 
 def _byte_names() -> dict[int, str]:
