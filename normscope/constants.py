@@ -18,7 +18,7 @@ ENTITY_LEVEL_DETECTORS = ("peer_group", "change_point")
 
 ROBUST_KNEE, ROBUST_REASON = 3.0, 0.40
 RARITY_REASON = 0.90
-FOREST_MIN_ROWS, FOREST_TREES, FOREST_SEED, FOREST_REASON, FOREST_GAIN = 50, 100, 20260830, 0.40, 2.5
+FOREST_MIN_ROWS, FOREST_TREES, FOREST_SEED, FOREST_REASON, FOREST_GAIN = 50, 100, 71, 0.40, 2.5
 ROLLING_MIN_HISTORY, ROLLING_QUANTILE, ROLLING_REASON = 12, 0.9, 0.35
 CHANGE_MIN_HISTORY, CHANGE_MIN_SEGMENT, CHANGE_STRENGTH = 20, 5, 0.35
 PEER_MIN_EVENTS, PEER_MIN_ENTITIES, PEER_KNEE, PEER_REASON = 25, 8, 2.5, 0.45

@@ -10,7 +10,7 @@ from normscope import constants as C
 from normscope.operators import baselines, cases, detectors, ensemble, feedback, forest, history, peers, queue, similarity
 from normscope.plans import detection
 from normscope.sources import ingest, tables
-from normscope.sources.demo import CSV_COLUMNS, CSV_DECIMALS, SPEC, log
+from normscope.sources.demo import BURSTING, CSV_COLUMNS, CSV_DECIMALS, DRIFTING, NEW, SPEC, WASTEFUL, batches, log
 from normscope.spec import EventSpec
 
 START = dt.datetime(2026, 5, 1)
@@ -172,10 +172,13 @@ def demo(spark):
 
 def test_planted_anomalies_are_found(demo):
     _, made = demo
-    sellers = set(made["entity_id"])
-    assert 1 <= len(made) <= 60 and {"S-014", "S-021"} <= sellers and "S-090" not in sellers
+    machines = set(made["entity_id"])
+    assert 1 <= len(made) <= 30 and {WASTEFUL, DRIFTING, BURSTING} <= machines and NEW not in machines
     assert made.groupby("entity_id").size().max() <= 3
-    assert made["evidence"].map(lambda e: e["strongest_detector"]).nunique() >= 3
+    assert made["evidence"].map(lambda e: e["strongest_detector"]).nunique() >= 4
+    assert (made["event_payload"].map(lambda p: p["process"]) == "furnace").sum() <= 2
+    found, _ = demo
+    assert found.where("decision.kind = 'duplicate'").count() > len(made)
     assert ((made["confidence"] > 0) & (made["confidence"] <= 0.95)).all() and (made["reasons"].map(len) > 0).all()
 
 
@@ -188,9 +191,9 @@ def test_scores_recompute(demo):
 def test_policy_and_threshold(spark, demo):
     found, made = demo
     scored = found.drop("gate", "policy_id", "fingerprint", "decision")
-    policy = {"id": "p", "match": {"seller_category": "books"}, "detectors": [], "max_score": 100.0}
+    policy = {"id": "p", "match": {"process": "lathe"}, "detectors": [], "max_score": 100.0}
     hidden = cases.to_cases(cases.decide(cases.gate(scored, SPEC, policies=[policy]), SPEC), SPEC)
-    assert hidden.where("event_payload['seller_category'] = 'books'").count() == 0
+    assert hidden.where("event_payload['process'] = 'lathe'").count() == 0
     high = cases.to_cases(cases.decide(cases.gate(scored, SPEC, cases.GateConfig(min_score=85.0)), SPEC), SPEC).count()
     assert high < len(made)
     again = cases.to_cases(cases.decide(cases.gate(scored, SPEC), SPEC), SPEC)
@@ -267,7 +270,7 @@ def test_catalog(spark, tmp_path):
 def test_csv(spark, tmp_path):
     tables.write_csv(log(spark, 40), f"{tmp_path}/csv", CSV_COLUMNS, CSV_DECIMALS)
     back = spark.read.csv(f"{tmp_path}/csv", header=True)
-    assert back.columns == list(CSV_COLUMNS) and back.count() == 48 and all("." in r["order_value"] for r in back.collect())
+    assert back.columns == list(CSV_COLUMNS) and back.count() == len(batches(40)) and all("." in r["energy_kwh"] for r in back.collect())
 
 
 def test_deliver_reports_failure(spark):
