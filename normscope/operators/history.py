@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,21 +11,43 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..spec import EventSpec
 
+#: Rows that one task may order.
+FEW_ROWS = 200_000
+
 
 def cutoff(events: DataFrame, spec: EventSpec, ratio: float = C.TRAIN_RATIO) -> tuple[object, object] | None:
     """(time in microseconds, id) of the last training event: the floor(n * ratio)-th in order. No global
-    sort: hours are counted first, and only the hour that holds the place is ordered."""
+    sort: hours are counted first, then seconds and microseconds of what holds the place, until few rows are left to
+    order. Of one instant with many rows the ids are dealt out in ranges, and one range is ordered."""
     rows = events.select(F.unix_micros(F.col(spec.time).cast("timestamp")).alias("at"), F.col(spec.event_id).alias("id"))
-    hour = F.floor(F.col("at") / 3_600_000_000)
-    counts = rows.groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy("hour")  # one row for each hour of the log
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    place = F.floor(F.sum("n").over(every) * F.lit(float(ratio)))
-    upto = counts.select("hour", "n", F.sum("n").over(order).alias("upto"), place.alias("place")).where("upto >= place").orderBy("hour").first()
-    if upto is None or upto["place"] < 1:
+    n = rows.count()
+    place = math.floor(n * float(ratio))
+    if place < 1:
         return None
-    within = int(upto["place"] - (upto["upto"] - upto["n"]))
-    found = rows.where(hour == upto["hour"]).withColumn("rn", F.row_number().over(Window.orderBy("at", "id"))).where(F.col("rn") == within).first()
+    # narrower and narrower spans of time, by counts alone, until one instant or a few rows are left
+    held, span = (None, None), 3_600_000_000
+    while True:
+        inside = rows if held[0] is None else rows.where(F.col("at").between(*held))
+        counts = inside.groupBy(F.floor(F.col("at") / span).alias("span")).agg(F.count(F.lit(1)).alias("n"))
+        order = Window.orderBy("span")  # one row for each span: hours of the log, then parts of one
+        upto = counts.select("span", "n", F.sum("n").over(order).alias("upto")).where(F.col("upto") >= place).orderBy("span").first()
+        place -= upto["upto"] - upto["n"]
+        held = upto["span"] * span, upto["span"] * span + span - 1
+        if span == 1 or upto["n"] <= FEW_ROWS:
+            break
+        span = max(1, span // 3600)
+    inside = rows.where(F.col("at").between(*held))
+    if upto["n"] <= FEW_ROWS:
+        found = inside.withColumn("rn", F.row_number().over(Window.orderBy("at", "id"))).where(F.col("rn") == place).first()
+    else:  # one instant: the place by ids, which are dealt out over tasks in order
+        from ..sources.tables import materialised
+
+        dealt = materialised(inside.repartitionByRange("id").select("id", F.spark_partition_id().alias("part")))
+        parts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", "n", F.sum("n").over(Window.orderBy("part")).alias("upto"))
+        part = parts.where(F.col("upto") >= place).orderBy("part").first()
+        place -= part["upto"] - part["n"]
+        ids = dealt.where(F.col("part") == part["part"]).withColumn("rn", F.row_number().over(Window.orderBy("id"))).where(F.col("rn") == place).first()
+        return held[0], ids["id"]
     return found["at"], found["id"]
 
 
@@ -52,6 +75,18 @@ def frame(spec: EventSpec, depth: int, limit: int = C.HISTORY_LIMIT):
     return Window.partitionBy(F.col(spec.entity), *keys).orderBy("rn").rangeBetween(-limit, -1)
 
 
+def scope_frame(spec: EventSpec, limit: int = C.HISTORY_LIMIT):
+    """The last ``limit`` earlier events of the full scope, whoever's: over ``scope_rn``, a place in the scope."""
+    keys = [F.coalesce(F.col(d).cast("string"), F.lit("")) for d in spec.dimensions]
+    return Window.partitionBy(*keys).orderBy("scope_rn").rangeBetween(-limit, -1)
+
+
+def with_scope_ordinal(events: DataFrame, spec: EventSpec) -> DataFrame:
+    """``scope_rn``: an event's place in its full scope."""
+    keys = [F.coalesce(F.col(d).cast("string"), F.lit("")) for d in spec.dimensions]
+    return events.withColumn("scope_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(spec.time), F.col(spec.event_id))))
+
+
 def depth_for(spec: EventSpec, min_events: int, limit: int = C.HISTORY_LIMIT) -> Column:
     """The deepest prefix with ``min_events`` earlier events, else 1 (0 without dimensions)."""
     out = F.lit(min(1, len(spec.dimensions)))
