@@ -7,11 +7,15 @@ tree's number. So every row can be drawn, the fit is one task of bounded memory
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +27,8 @@ SAMPLE = 256
 #: Rows of a scope below which no row is set aside before a tree's rows are ordered; of larger scopes so many
 #: are expected for each tree, of which fewer than SAMPLE have a chance of about 1e-34.
 EXPECTED = 2 * SAMPLE
-#: Models that are sent to every task; beyond it they are joined to the events by scope.
-BROADCAST_MODELS = 200
+#: Models that a worker keeps, those asked for last.
+KEPT_MODELS = 64
 
 
 def _path_length(n: np.ndarray | float) -> np.ndarray:
@@ -117,43 +121,57 @@ def fit(training: DataFrame, spec: EventSpec, min_rows: int = C.FOREST_MIN_ROWS)
     return sample.groupBy("scope_key").applyInPandas(grow, "scope_key string, model binary")
 
 
+def publish(models: DataFrame) -> str:
+    """Writes each model to a file of its own on shared storage, once; the folder. Workers load the models of the
+    scopes they meet, so no model travels in a row or to every task."""
+    from ..sources.tables import shared_path
+
+    folder = shared_path(models.sparkSession, "forests")
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        for part in parts:
+            for scope, model in zip(part["scope_key"], part["model"], strict=True):
+                with system.open_output_stream(f"{path}/{_file_of(scope)}") as out:
+                    out.write(model)
+            yield part[["scope_key"]]
+
+    models.select("scope_key", "model").mapInPandas(write, "scope_key string").count()
+    return folder
+
+
+def _file_of(scope: str) -> str:
+    return hashlib.sha256(scope.encode()).hexdigest()
+
+
+@lru_cache(maxsize=KEPT_MODELS)
+def _load(folder: str, scope: str) -> Forest | None:
+    system, path = fs.FileSystem.from_uri(folder)
+    file = f"{path}/{_file_of(scope)}"
+    if system.get_file_info(file).type == fs.FileType.NotFound:
+        return None
+    with system.open_input_stream(file) as data:
+        return pickle.loads(data.read())
+
+
 def score(events: DataFrame, models: DataFrame, spec: EventSpec) -> DataFrame:
     """``events`` (with ``baseline_scope``) with ``forest_margin``: null without a model or with a value missing."""
     features = [F.col(f).cast("double") for f in spec.numeric]
     if len(features) < 2:
         return events.withColumn("forest_margin", F.lit(None).cast("double"))
-    held = models.limit(BROADCAST_MODELS + 1).collect()
-    cache: dict[bytes, Forest] = {}
+    folder = publish(models)
 
-    def margins(scope_or_model: pd.Series, xs: tuple[pd.Series, ...], model_of) -> pd.Series:
+    @F.pandas_udf("double")
+    def margins(scope: pd.Series, *xs: pd.Series) -> pd.Series:
         x = np.column_stack([c.to_numpy(dtype=float) for c in xs])
         out = np.full(len(x), np.nan)
         whole = ~np.isnan(x).any(axis=1)
-        for key in scope_or_model[whole].dropna().unique():
-            model = model_of(key)
-            rows = whole & (scope_or_model == key).to_numpy()
+        for key in scope[whole].dropna().unique():
+            model = _load(folder, key)
             if model is not None:
+                rows = whole & (scope == key).to_numpy()
                 out[rows] = model.margin(x[rows])
         return pd.Series(np.where(np.isnan(out), None, out), dtype=object)
 
-    if len(held) <= BROADCAST_MODELS:
-        sent = events.sparkSession.sparkContext.broadcast({r["scope_key"]: bytes(r["model"]) for r in held})
-
-        @F.pandas_udf("double")
-        def by_scope(scope: pd.Series, *xs: pd.Series) -> pd.Series:
-            def model_of(key: str) -> Forest | None:
-                data = sent.value.get(key)
-                if data is not None and data not in cache:
-                    cache[data] = pickle.loads(data)
-                return cache.get(data)
-
-            return margins(scope, xs, model_of)
-
-        return events.withColumn("forest_margin", by_scope(F.col("baseline_scope"), *features))
-
-    @F.pandas_udf("double")
-    def by_model(model: pd.Series, *xs: pd.Series) -> pd.Series:
-        return margins(model, xs, lambda data: pickle.loads(data))
-
-    rows = events.join(models.withColumnRenamed("scope_key", "baseline_scope"), "baseline_scope", "left")
-    return rows.withColumn("forest_margin", by_model(F.col("model"), *features)).drop("model")
+    return events.withColumn("forest_margin", margins(F.col("baseline_scope"), *features))

@@ -8,7 +8,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,25 +15,33 @@ from ..functions import scalars as S
 from ..spec import EventSpec
 
 
-def materialised(rows: DataFrame) -> DataFrame:
-    """Rows written to shared storage and read back. Detector outputs are stored like this once, so that
-    scores can be recomputed, later steps don't repeat the detectors, and filters on fused scores
-    aren't pushed down as one huge expression. The folder is ``spark.checkpoint.dir``, else a local one."""
-    spark = rows.sparkSession
+def shared_path(spark: SparkSession, purpose: str) -> str:
+    """A fresh path below ``spark.checkpoint.dir``; below a local folder where that is unset, if driver and
+    executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         root = f"file://{tempfile.mkdtemp(prefix='normscope-')}"
         atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
-    path = f"{root.rstrip('/')}/normscope-rows-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/normscope-{purpose}-{uuid.uuid4().hex}"
+
+
+def materialised(rows: DataFrame) -> DataFrame:
+    """Rows written to shared storage and read back. Detector outputs are stored like this once, so that
+    scores can be recomputed, later steps don't repeat the detectors, and filters on fused scores
+    aren't pushed down as one huge expression."""
+    path = shared_path(rows.sparkSession, "rows")
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 class Catalog:
     """Parquet tables below a root, partitioned by tenant; every read is of one tenant."""
 
     def __init__(self, spark: SparkSession, root: str, tenant: str):
-        self._spark, self._root, self.tenant = spark, root.rstrip("/"), tenant
+        self.spark = self._spark = spark
+        self._root, self.tenant = root.rstrip("/"), tenant
 
     def path(self, table: str) -> str:
         return f"{self._root}/{table}"
@@ -43,25 +50,46 @@ class Catalog:
         return self._spark.read.parquet(self.path(table)).where(F.col("tenant_id") == self.tenant)
 
     def exists(self, table: str) -> bool:
-        try:
-            self._spark.read.parquet(self.path(table))
-        except AnalysisException:
-            return False
-        return True
+        """Whether the tenant has rows there."""
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/tenant_id={self.tenant}")
+        return path.getFileSystem(self._spark._jsc.hadoopConfiguration()).exists(path)
+
+    def scan(self, table: str, *, schema: str | None = None, order: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+        """The tenant's rows of a schema, in an order and up to a number only if asked for."""
+        rows = self.read(table) if schema is None else self.read(table).where(F.col("schema_id") == schema)
+        rows = rows.orderBy(*order) if order else rows
+        return rows if limit is None else rows.limit(limit)
+
+    def latest(self, table: str, key: str) -> DataFrame:
+        """The last revision of every row of a table that is changed by appending."""
+        rows = self.read(table)
+        last = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.col("revision")).alias("_row"))
+        return last.select(key, "_row.*")
 
     def append(self, table: str, rows: DataFrame) -> None:
         rows.withColumn("tenant_id", F.lit(self.tenant)).write.mode("append").partitionBy("tenant_id").parquet(self.path(table))
 
-    def save_baselines(self, spec: EventSpec, baselines: DataFrame) -> int:
-        """The next version; it alone is active."""
-        last = self.read("baselines").where(F.col("schema_id") == spec.name).agg(F.max("version")).first()[0] if self.exists("baselines") else None
+    def save_version(self, table: str, spec: EventSpec, rows: DataFrame) -> int:
+        """What was learned for a schema (baselines, peer groups, models) as its next version; it alone is active."""
+        last = self.scan(table, schema=spec.name).agg(F.max("version")).first()[0] if self.exists(table) else None
         version = (last or 0) + 1
-        self.append("baselines", baselines.withColumns({"schema_id": F.lit(spec.name), "version": F.lit(version), "created_at": F.current_timestamp()}))
+        self.append(table, rows.withColumns({"schema_id": F.lit(spec.name), "version": F.lit(version), "created_at": F.current_timestamp()}))
         return version
 
+    def versions(self, table: str, spec: EventSpec) -> DataFrame:
+        """All versions with ``active``."""
+        rows = self.scan(table, schema=spec.name)
+        newest = F.broadcast(rows.agg(F.max("version").alias("_newest")))  # one row
+        return rows.crossJoin(newest).withColumn("active", F.col("version") == F.col("_newest")).drop("_newest")
+
+    def active(self, table: str, spec: EventSpec) -> DataFrame:
+        return self.versions(table, spec).where("active").drop("active")
+
+    def save_baselines(self, spec: EventSpec, baselines: DataFrame) -> int:
+        return self.save_version("baselines", spec, baselines)
+
     def active_baselines(self, spec: EventSpec) -> DataFrame:
-        rows = self.read("baselines").where(F.col("schema_id") == spec.name)
-        return rows.join(F.broadcast(rows.agg(F.max("version").alias("version"))), "version")  # one row
+        return self.active("baselines", spec)
 
     def audit(self, action: str, object_type: str, object_id: str | None = None, actor: str | None = None, payload: str | None = None) -> None:
         values = {"action": action, "object_type": object_type, "object_id": object_id, "actor": actor, "payload": payload}
@@ -99,13 +127,33 @@ def write_csv(rows: DataFrame, path: str, columns: Sequence[str], decimals: dict
 def run_metrics(decided: DataFrame, run_id: str) -> DataFrame:
     kinds = {"created": "cases_created", "suppressed": "suppressed", "duplicate": "duplicates", "capped": "capped"}
     return decided.agg(F.count(F.lit(1)).alias("scored"), *[F.count_if(F.col("decision.kind") == k).alias(n) for k, n in kinds.items()]).withColumns(
-        {"run_id": F.lit(run_id), "status": F.lit("completed"), "finished_at": F.current_timestamp()}
+        {"run_id": F.lit(run_id), "status": F.lit("completed"), "finished_at": F.current_timestamp(), "error": F.lit(None).cast("string")}
     )
 
 
+def failed_run(spark: SparkSession, run_id: str, error: Exception) -> DataFrame:
+    """The metrics row of a run that raised."""
+    none = {n: F.lit(0).cast("long") for n in ("scored", "cases_created", "suppressed", "duplicates", "capped")}
+    return spark.range(1).select(
+        *[v.alias(k) for k, v in none.items()], F.lit(run_id).alias("run_id"), F.lit("failed").alias("status"), F.current_timestamp().alias("finished_at"),
+        F.lit(f"{type(error).__name__}: {error}"[:1000]).alias("error"),
+    )
+
+
 Channel = Callable[[DataFrame], None]
 
 
+class Recorder:
+    """A channel that keeps what it was given, for tests; payloads are a few cases."""
+
+    def __init__(self, limit: int = 1000):
+        self.payloads: list[dict] = []
+        self._limit = limit
+
+    def __call__(self, payloads: DataFrame) -> None:
+        self.payloads += [r.asDict(recursive=True) for r in payloads.limit(self._limit).collect()]
+
+
 def deliver(payloads: DataFrame, channel: Channel) -> DataFrame:
     """Hands payloads to a channel; the rows with the outcome."""
     try:
