@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from typing import Protocol
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,16 +14,80 @@ from .. import constants as C
 from ..functions import scalars as S
 from ..spec import EventSpec
 from . import baselines, forest, history, peers
-from .results import largest, listed, reason, result, shown
+from .results import largest, listed, no_reasons, reason, result, shown
 
 
-class Detector(Protocol):
-    """An extension point: adds ``d_<name>`` to the events. A detector that can't judge a row says so by a
-    result that doesn't apply, and never fails the run."""
+@dataclass(frozen=True)
+class Run:
+    """What detectors are planned with: the declared roles, the training slice and what was learned from it."""
+
+    spec: EventSpec
+    training: DataFrame
+    numeric: DataFrame
+    categorical: DataFrame
+    is_scored: Column
+
+
+@dataclass(frozen=True)
+class Detector:
+    """An extension point: ``plan`` adds ``d_<name>``, a ``RESULT``, to the events. One of the whole log (``on_log``)
+    sees it with the ordinal ``rn``, before the training slice goes; others see ``baseline_scope``."""
 
     name: str
+    plan: Callable[[DataFrame, Run], DataFrame]
+    on_log: bool = False
+
+
+#: In the order in which results are fused.
+REGISTRY: dict[str, Detector] = {}
+
+
+def register(detector: Detector) -> Detector:
+    """Makes a detector known to runs; one of the same name is replaced."""
+    REGISTRY[detector.name] = detector
+    return detector
+
+
+def abstained(name: str, note: str) -> Column:
+    return result(name, F.lit(False), F.lit(0.0), no_reasons(), note=note)
 
-    def plan(self, events: DataFrame, training: DataFrame, spec: EventSpec) -> DataFrame: ...
+
+def planned(detector: Detector, events: DataFrame, run: Run) -> DataFrame:
+    """``events`` with the detector's result. A detector that can't be planned abstains everywhere, and its
+    notes say why: it never fails the run."""
+    column = f"d_{detector.name}"
+    try:
+        rows = detector.plan(events, run)
+        if rows.schema[column].dataType != events.select(abstained("", "").alias("x")).schema["x"].dataType:
+            raise TypeError(f"{column} isn't a result")
+        return rows
+    except Exception as error:
+        return events.withColumn(column, abstained(detector.name, f"{type(error).__name__}: {error}"[:300]))
+
+
+def of_function(name: str, columns: Sequence[str], score: Callable[[pd.DataFrame], pd.Series], *, on_log: bool = False) -> Detector:
+    """A detector from a function of a frame of ``columns`` to scores (NaN: abstains). Rows of a batch in
+    which the function raises abstain, with the error as their note."""
+
+    @F.pandas_udf("struct<score:double,error:string>")
+    def guarded(*values: pd.Series) -> pd.DataFrame:
+        frame = pd.concat(values, axis=1, keys=list(columns))
+        try:
+            found, error = pd.Series(score(frame), index=frame.index, dtype=float), None
+        except Exception as e:
+            found, error = pd.Series(np.nan, index=frame.index), f"{type(e).__name__}: {e}"[:300]
+        return pd.DataFrame({"score": found, "error": error})
+
+    def plan(events: DataFrame, run: Run) -> DataFrame:
+        got = guarded(*[F.col(c) for c in columns])
+        rows = events.withColumn("_found", got)
+        score_ = F.col("_found.score")
+        value = F.when(score_.isNotNull() & ~F.isnan(score_), F.least(F.lit(1.0), F.greatest(F.lit(0.0), score_)))
+        out = result(name, value.isNotNull(), value, no_reasons(), note="no score")
+        note = F.when(~out["applicable"], F.coalesce(F.col("_found.error"), out["note"]))
+        return rows.withColumn(f"d_{name}", out.withField("note", note)).drop("_found")
+
+    return Detector(name, plan, on_log)
 
 
 def robust_deviation(events: DataFrame, numeric: DataFrame, spec: EventSpec) -> DataFrame:
@@ -174,7 +238,8 @@ def change_point(events: DataFrame, spec: EventSpec, only: Column | None = None)
 def peer_group(events: DataFrame, training: DataFrame, spec: EventSpec) -> DataFrame:
     """The entity's aggregate behaviour against comparable entities."""
     profile = peers.profiles(training, spec)
-    rows = peers.resolve(events, peers.findings(profile, peers.stats(profile)), spec)
+    most = training.count() * len(peers.metrics(spec))  # profiles of a scope and metric are fewer than events
+    rows = peers.resolve(events, peers.findings(profile, peers.stats(profile, most=most)), spec)
     out = result("peer_group", F.col("peer").isNotNull(), F.col("peer.score"), F.col("peer.reasons"), scope=F.col("peer.scope"), note="no group knows this entity")
     return rows.withColumn("d_peer_group", out).drop("peer")
 
@@ -189,3 +254,14 @@ def isolation_forest(events: DataFrame, training: DataFrame, spec: EventSpec) ->
     why = [(d >= C.FOREST_REASON, reason("isolation_forest", F.lit(name), observed, F.lit(None), F.lit(None), F.lit(None), d, text, F.col("baseline_scope")))]
     out = result("isolation_forest", F.col("forest_margin").isNotNull(), d, listed(why), raw=F.col("forest_margin"), scope=F.col("baseline_scope"), note="no model, or a value is missing")
     return rows.withColumn("d_isolation_forest", out).drop("forest_margin")
+
+
+for _detector in (
+    Detector("robust_deviation", lambda events, run: robust_deviation(events, run.numeric, run.spec)),
+    Detector("categorical_rarity", lambda events, run: categorical_rarity(events, run.categorical, run.spec)),
+    Detector("isolation_forest", lambda events, run: isolation_forest(events, run.training, run.spec)),
+    Detector("rolling_quantile", lambda events, run: rolling_quantile(events, run.spec), on_log=True),
+    Detector("change_point", lambda events, run: change_point(events, run.spec, only=run.is_scored), on_log=True),
+    Detector("peer_group", lambda events, run: peer_group(events, run.training, run.spec)),
+):
+    register(_detector)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -34,28 +34,23 @@ def learn(training: DataFrame, spec: EventSpec, min_samples: int = C.MIN_SCOPE_S
     return Learned(baselines.scope_samples(training, spec.dimensions, min_samples), numeric, categorical)
 
 
-def score(log: DataFrame, spec: EventSpec, *, train_ratio: float = C.TRAIN_RATIO, min_samples: int = C.MIN_SCOPE_SAMPLES, use: Sequence[str] = C.DETECTORS) -> DataFrame:
+def score(log: DataFrame, spec: EventSpec, *, train_ratio: float = C.TRAIN_RATIO, min_samples: int = C.MIN_SCOPE_SAMPLES, use: Collection[str] = C.DETECTORS) -> DataFrame:
     """Every event after the split with its fused score. An event is compared with strictly earlier events
-    alone: tables come from the training slice, windows end before the row."""
+    alone: tables come from the training slice, windows end before the row. ``use`` names registered detectors; one
+    that fails abstains."""
     cut = history.cutoff(log, spec, train_ratio)
     rows = history.with_ordinal(log.select(*spec.columns).withColumn("_training", history.is_training(spec, cut)), spec)
     training = log.select(*spec.columns).where(history.is_training(spec, cut))
     learned = learn(training, spec, min_samples)
-    if "rolling_quantile" in use:
-        rows = detectors.rolling_quantile(rows, spec)
-    if "change_point" in use:
-        rows = detectors.change_point(rows, spec, only=~F.col("_training"))
-    scored = baselines.resolve_scope(rows.where(~F.col("_training")), learned.samples, spec.dimensions)
-    if "robust_deviation" in use:
-        scored = detectors.robust_deviation(scored, learned.numeric, spec)
-    if "categorical_rarity" in use:
-        scored = detectors.categorical_rarity(scored, learned.categorical, spec)
-    if "isolation_forest" in use:
-        scored = detectors.isolation_forest(scored, training, spec)
-    if "peer_group" in use:
-        scored = detectors.peer_group(scored, training, spec)
+    run = detectors.Run(spec, training, learned.numeric, learned.categorical, ~F.col("_training"))
+    chosen = [d for name, d in detectors.REGISTRY.items() if name in use]
+    for detector in (d for d in chosen if d.on_log):
+        rows = detectors.planned(detector, rows, run)
+    scored = baselines.resolve_scope(rows.where(run.is_scored), learned.samples, spec.dimensions)
+    for detector in (d for d in chosen if not d.on_log):
+        scored = detectors.planned(detector, scored, run)
     # stored before they are fused: fusing names each result many times
-    return ensemble.fuse(tables.materialised(scored.drop("_training", "rn")), spec, tuple(d for d in C.DETECTORS if d in use))
+    return ensemble.fuse(tables.materialised(scored.drop("_training", "rn")), spec, tuple(d.name for d in chosen))
 
 
 def detect(
@@ -64,7 +59,7 @@ def detect(
 ) -> DataFrame:
     """Scored events with their ``decision``."""
     config = config or cases.GateConfig(min_score=spec.min_score)
-    scored = tables.materialised(score(log, spec, train_ratio=train_ratio, use=use))
+    scored = tables.materialised(score(log, spec, train_ratio=train_ratio, use=use))  # gates name the fused score many times
     return cases.decide(cases.gate(scored, spec, config, policies), spec, config, open_cases)
 
 

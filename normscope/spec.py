@@ -23,17 +23,19 @@ class EventSpec:
     rates: tuple[str, ...] = ()
     weights: Mapping[str, float] = field(default_factory=dict)
     min_score: float = C.MIN_SCORE
+    extra_detectors: tuple[str, ...] = ()  # registered beside the six
 
     def __post_init__(self) -> None:
         if not (self.numeric or self.categorical):
             raise ValueError("a spec needs at least one numeric or categorical feature")
-        unknown = set(self.weights) - set(C.DETECTORS)
+        unknown = set(self.weights) - set(C.DETECTORS) - set(self.extra_detectors)
         if unknown:
             raise ValueError(f"unknown detectors in weights: {sorted(unknown)}")
 
     @property
     def detector_weights(self) -> dict[str, float]:
-        return {d: float(self.weights.get(d, w)) for d, w in C.DETECTOR_WEIGHTS.items()}
+        every = {**C.DETECTOR_WEIGHTS, **{d: 1.0 for d in self.extra_detectors}}
+        return {d: float(self.weights.get(d, w)) for d, w in every.items()}
 
     @property
     def columns(self) -> list[str]:
@@ -42,7 +44,7 @@ class EventSpec:
 
     @classmethod
     def from_dict(cls, payload: Mapping[str, object]) -> EventSpec:
-        listed = {k: tuple(payload.get(k) or ()) for k in ("numeric", "categorical", "dimensions", "rates")}
+        listed = {k: tuple(payload.get(k) or ()) for k in ("numeric", "categorical", "dimensions", "rates", "extra_detectors")}
         plain = {k: payload[k] for k in ("name", "entity", "time", "event_id", "entity_type", "min_score") if k in payload}
         return cls(**plain, **listed, weights=dict(payload.get("weights") or {}))
 
@@ -50,7 +52,7 @@ class EventSpec:
         return {
             "name": self.name, "entity": self.entity, "time": self.time, "event_id": self.event_id, "entity_type": self.entity_type,
             "numeric": list(self.numeric), "categorical": list(self.categorical), "dimensions": list(self.dimensions), "rates": list(self.rates),
-            "weights": dict(self.weights), "min_score": self.min_score,
+            "weights": dict(self.weights), "min_score": self.min_score, "extra_detectors": list(self.extra_detectors),
         }
 
 
