@@ -233,8 +233,12 @@ def redact_all(value: Column, kind) -> Column:
     return value
 
 
+# The marks that may enclose a text.
+FENCE_START, FENCE_END = r"^`{3}[a-zA-Z]*\n?", r"\n?`{3}$"
+
+
 def strip_code_fence(text: Column) -> Column:
-    inner = F.regexp_replace(F.regexp_replace(F.trim(text), r"^`{3}[a-zA-Z]*\n?", ""), r"\n?`{3}$", "")
+    inner = F.regexp_replace(F.regexp_replace(F.trim(text), FENCE_START, ""), FENCE_END, "")
     return F.when(F.startswith(F.trim(text), F.lit("`")), F.trim(inner)).otherwise(F.trim(text))
 
 

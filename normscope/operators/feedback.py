@@ -21,12 +21,13 @@ def _rejected():
 
 
 def quality(labelled: DataFrame) -> DataFrame:
-    """(detector, total, confirmed, rejected, precision) by leading detector, from (strongest, label)."""
+    """(detector, total, confirmed, rejected, precision) by leading detector, from (strongest, label); most labels first."""
     rows = labelled.groupBy(F.coalesce(F.nullif("strongest", F.lit("")), F.lit("unknown")).alias("detector")).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(_confirmed()).alias("confirmed"), F.count_if(_rejected()).alias("rejected")
     )
     judged = F.col("confirmed") + F.col("rejected")
-    return rows.withColumn("precision", F.when(judged > 0, F.round(F.col("confirmed") / judged, 4)).otherwise(F.lit(0.0)))
+    rows = rows.withColumn("precision", F.when(judged > 0, F.round(F.col("confirmed") / judged, 4)).otherwise(F.lit(0.0)))
+    return rows.orderBy(F.desc("total"), "detector")  # a row for each detector
 
 
 def weights(labelled: DataFrame, current: Mapping[str, float] | None = None) -> DataFrame:
@@ -51,7 +52,7 @@ def threshold(labelled: DataFrame, current: float = C.MIN_SCORE) -> DataFrame:
 
 
 def policies(labelled: DataFrame) -> DataFrame:
-    """Suppressions for repeated rejections of one detector in one scope, with a ceiling just above them."""
+    """Suppressions for repeated rejections of one detector in one scope, with a ceiling just above them; best supported first."""
     every = labelled.agg(F.count(F.lit(1)).alias("labels"))
     rows = labelled.where(_rejected()).groupBy("baseline_scope", "strongest").agg(
         F.count(F.lit(1)).alias("support"), F.max("anomaly_score").alias("ceiling"), F.slice(F.sort_array(F.collect_list("id")), 1, 10).alias("supporting")
@@ -60,7 +61,7 @@ def policies(labelled: DataFrame) -> DataFrame:
     return rows.select(
         "baseline_scope", F.col("strongest").alias("detector"), "support", F.least(F.lit(C.POLICY_CEILING), F.round(F.col("ceiling") + C.POLICY_MARGIN, 1)).alias("max_score"),
         S.scope_match(F.col("baseline_scope")).alias("match"), "supporting",
-    )
+    ).orderBy(F.desc("support"), "baseline_scope", "detector")
 
 
 def promote(spec: EventSpec, labelled: DataFrame, *, apply_weights: bool = False, apply_threshold: bool = False) -> EventSpec:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,37 @@ def overview(cases: DataFrame, *, extra: dict[str, Column] | None = None) -> Dat
     )
 
 
+def overview_of(cases: DataFrame, events: DataFrame, labelled: DataFrame, *, limit: int = 10) -> DataFrame:
+    """One row: events, the counts of ``overview``, precision over all labels (null without one that judges), and
+    the unresolved cases of the highest scores."""
+    judged = F.col("label").isin(*C.CONFIRMING_LABELS, *C.REJECTING_LABELS)
+    good = labelled.agg(F.count_if(F.col("label").isin(*C.CONFIRMING_LABELS)).alias("confirmed"), F.count_if(judged).alias("judged"))
+    best = top(unresolved(cases), limit).agg(F.sort_array(F.collect_list(F.struct((-F.col("anomaly_score")).alias("order"), F.col("id").cast("string").alias("id"), "anomaly_score", "severity"))).alias("best"))
+    rows = overview(cases)
+    for one in (events.agg(F.count(F.lit(1)).alias("events")), good, best):  # one row each
+        rows = rows.crossJoin(F.broadcast(one))
+    precision = F.when(F.col("judged") > 0, F.round(F.col("confirmed") / F.col("judged"), 4))
+    return rows.withColumns({"precision": precision, "top": F.transform("best", lambda x: x.dropFields("order"))}).drop("confirmed", "judged", "best")
+
+
+def busiest(counted: DataFrame, key: str = "schema_id") -> DataFrame:
+    """The schema with most events, of equal ones the first by name, from ``schema_counts``."""
+    return counted.orderBy(F.desc("event_count"), key).limit(1)
+
+
+def with_share(counted: DataFrame) -> DataFrame:
+    """``schema_counts`` with cases for each event; null without events."""
+    return counted.withColumn("case_share", F.try_divide(F.col("open_cases").cast("double"), F.col("event_count")))
+
+
+def by_name(rows: DataFrame, name: str = "name") -> DataFrame:
+    return rows.orderBy(name)
+
+
+def newest(rows: DataFrame, at: str = "created_at", tie: str = "id") -> DataFrame:
+    return rows.orderBy(F.desc(at), tie)
+
+
 def schema_counts(schemas: DataFrame, events: DataFrame, cases: DataFrame, key: str = "schema_id") -> DataFrame:
     """Every schema with its number of events and of open cases."""
     n_events = events.groupBy(key).agg(F.count(F.lit(1)).alias("event_count"))
@@ -93,6 +127,36 @@ def notifications(cases: DataFrame, *, force: bool = False, target: str = "") ->
     )
 
 
+NARRATIVE = "struct<summary:string,cause:string,facts:array<string>,steps:array<string>,caveats:array<string>>"
+
+
+def explained(cases: DataFrame, provider: Callable[[pd.DataFrame], pd.DataFrame], *, purpose: str = "explain") -> tuple[DataFrame, DataFrame]:
+    """Accounts by a provider, a function from a frame (id, title, anomaly_score, severity, facts) to
+    NARRATIVE's fields; and the log of its calls (id, purpose, ok, error). Where it raises or leaves the summary
+    out, the template's account stands, so an account never fails."""
+    from ..sources.tables import materialised
+
+    @F.pandas_udf(f"struct<account:{NARRATIVE},error:string>")
+    def asked(*values: pd.Series) -> pd.DataFrame:
+        given = pd.concat(values, axis=1, keys=["id", "title", "anomaly_score", "severity", "facts"])
+        try:
+            made = provider(given).reset_index(drop=True)
+            accounts = made[["summary", "cause", "facts", "steps", "caveats"]].to_dict("records")
+            errors = [None if isinstance(x["summary"], str) and x["summary"] else "no summary" for x in accounts]
+        except Exception as e:
+            accounts, errors = [None] * len(given), [f"{type(e).__name__}: {e}"[:300]] * len(given)
+        empty = {"summary": None, "cause": None, "facts": None, "steps": None, "caveats": None}
+        return pd.DataFrame({"account": [empty if e else a for a, e in zip(accounts, errors, strict=True)], "error": pd.Series(errors, dtype=object)})
+
+    facts = F.transform("reasons", lambda r: r["explanation"])
+    rows = materialised(cases.select("id", asked(F.col("id").cast("string"), F.col("title"), F.col("anomaly_score"), F.col("severity"), facts).alias("got")))
+    fixed = narrative(cases)
+    fields = [c for c in fixed.columns if c != "id"]
+    told = fixed.join(rows, "id").select("id", *[F.coalesce(F.when(F.col("got.error").isNull(), F.col(f"got.account.{c}")), F.col(c)).alias(c) for c in fields])
+    calls = rows.select("id", F.lit(purpose).alias("purpose"), F.col("got.error").isNull().alias("ok"), F.col("got.error").alias("error"))
+    return told, calls
+
+
 def narrative(cases: DataFrame) -> DataFrame:
     """An account of a case from its stored evidence alone, by a fixed template."""
     facts = F.transform("reasons", lambda r: r["explanation"])

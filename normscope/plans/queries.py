@@ -30,7 +30,7 @@ def flagship_case_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = detection.detect(logs.events(spark, sf_dir), logs.EVENTS)
-    return tables.run_metrics(decided, "run").drop("finished_at")
+    return tables.run_metrics(decided, "run").drop("finished_at", "error")
 
 
 # ---------------------------------------------------------------- split, baselines
