@@ -5,8 +5,9 @@ buckets: a run starts all of them at one root, and at every level a node follows
 whose hash with the bucket's falls below 1 / (0.8 * size), 1.25 tokens on average, into the bucket
 of that token; two sets follow a common token with expectation B / 0.8, B being the common share of
 the larger set. Small buckets are compared by brute force; large ones are split again, up to DEPTH
-levels; what is still large then is compared whole, in blocks. Runs repeat until a pair at the
-threshold meets with the target recall (``runs_for``). Depth and runs are the same for every size of table.
+levels, huge ones up to DEEPEST; what is still large then is compared whole, in blocks. Runs repeat until a pair at the
+threshold meets with the target recall at DEPTH (``runs_for``; a pair that meets in huge buckets alone still does so
+with 0.93). Depth and runs are the same for every size of table.
 
 Comparing has three rounds. First every node of a bucket meets the bucket's eight leaders; the links found
 give components. Buckets of one component are settled by that; other large ones are split now. Then every node
@@ -46,8 +47,10 @@ from . import base, spans
 SHINGLE = 5
 SIMILARITY = 0.8
 TARGET_RECALL = 0.99
-DEPTH = 4
+DEPTH = 3  # levels of buckets
+DEEPEST = 6  # levels where a bucket is huge
 LEAF = 600  # nodes of a bucket that is compared without more splitting
+HUGE = 30_000  # nodes of a bucket that is split beyond DEPTH
 LEADERS = 8
 BLOCK = 512  # nodes of a block of a bucket in the last round
 SKETCH_FROM = 100  # windows of both sets from which sketches tell enough
@@ -286,15 +289,16 @@ def _mixed(rows: DataFrame, component: DataFrame) -> DataFrame:
 
 def _split(first: DataFrame, nodes: DataFrame, component: DataFrame, texts: _Texts, depth: int) -> DataFrame:
     """(bucket, node, FACTS) of all buckets whose nodes still have to be compared: large buckets of one component
-    are settled, other large ones are split, ``depth`` levels in all."""
-    sized, done = first, [first.where(F.col("size") <= LEAF)]
-    for level in range(2, depth + 1):
-        large = base.stored(_mixed(sized.where(F.col("size") > LEAF).select("bucket", "node"), component), f"large-{level}")
+    are settled, other large ones are split, ``depth`` levels in all, huge ones further."""
+    sized, done = first, []
+    for level in range(1, max(depth, DEEPEST) + 1):
+        most = LEAF if level < depth else HUGE if level < DEEPEST else 1 << 62
+        done.append(sized.where(F.col("size") <= most))
+        large = base.stored(_mixed(sized.where(F.col("size") > most).select("bucket", "node"), component), f"large-{level}")
         if not large.limit(1).count():
             break
         children = base.stored(_children(large, texts.of(large)), f"children-{level}")
-        sized = base.stored(_once(_sized(children), nodes), f"level-{level}")
-        done.append(sized if level == depth else sized.where(F.col("size") <= LEAF))
+        sized = base.stored(_once(_sized(children), nodes), f"level-{level + 1}")
         base.discard(large, children)
     return base.stored(reduce(DataFrame.unionByName, done).select("bucket", "node", *FACTS), "leaves")
 
