@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .. import constants as C
 from ..functions import scalars as S
 from ..operators import baselines, detectors
 from ..plans.detection import Learned
@@ -36,3 +43,60 @@ def hourly_levels(stream: DataFrame, spec: EventSpec, feature: str, watermark: s
     return stream.withWatermark(spec.time, watermark).groupBy(window, S.scope_key(spec.dimensions).alias("scope_key")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(feature).alias("mean"), F.max(feature).alias("largest")
     )
+
+
+def walked(stream: DataFrame, spec: EventSpec) -> DataFrame:
+    """Every streamed event with ``rolling_quantile`` and ``change_point``: its scores against its entity's last
+    HISTORY_LIMIT events before it, as a batch run gives them (null: too little history). The state is that
+    history, a few values an event; events of a micro-batch are taken in order of time, then id."""
+    numeric, dimensions = list(spec.numeric), list(spec.dimensions)
+    kept = stream.select(*spec.columns)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, rolling_quantile double, change_point double"
+
+    def walk(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        places, values = pickle.loads(state.get[0]) if state.exists else ([], np.zeros((0, len(numeric))))
+        rows = pd.concat(list(parts)).sort_values([spec.time, spec.event_id], kind="stable")
+        x = rows[numeric].to_numpy(dtype=float)
+        where = [tuple("" if v is None or v != v else str(v) for v in r) for r in rows[dimensions].itertuples(index=False)]
+        found = np.full((len(rows), 2), np.nan)
+        for k in range(len(rows)):
+            for column, least, judge in ((0, C.ROLLING_MIN_HISTORY, _rolling), (1, C.CHANGE_MIN_HISTORY, _shifted)):
+                past = _comparable(places, values, where[k], least)
+                if len(past) >= least:
+                    found[k, column] = max((judge(past[:, j], x[k, j]) for j in range(len(numeric)) if x[k, j] == x[k, j]), default=0.0)
+            places, values = (places + [where[k]])[-C.HISTORY_LIMIT :], np.vstack([values, x[k]])[-C.HISTORY_LIMIT :]
+        state.update((pickle.dumps((places, values)),))
+        yield rows.assign(rolling_quantile=found[:, 0], change_point=found[:, 1])
+
+    return kept.groupBy(spec.entity).applyInPandasWithState(walk, schema, "history binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def _comparable(places: list[tuple], values: np.ndarray, where: tuple, least: int) -> np.ndarray:
+    """The history that agrees on the deepest prefix of the dimensions with enough events, else on the first."""
+    past = values
+    for depth in range(len(where), 0, -1):
+        past = values[[i for i, p in enumerate(places) if p[:depth] == where[:depth]]]
+        if len(past) >= least:
+            return past
+    return past
+
+
+def _rolling(past: np.ndarray, value: float) -> float:
+    """As ``detectors.rolling_quantile`` for one feature."""
+    past = past[~np.isnan(past)]
+    informative = past[past != 0]
+    if len(past) < C.ROLLING_MIN_HISTORY:
+        return 0.0
+    if (len(past) - len(informative)) / len(past) >= C.ZERO_INFLATION_SHARE:
+        if value == 0 or len(informative) < C.MIN_INFORMATIVE:
+            return 0.0
+        past = informative
+    upper, median = np.quantile(past, (C.ROLLING_QUANTILE, 0.5))
+    spread = max(upper - median, abs(median) * C.ROLLING_SPREAD_FLOOR)
+    ratio = (value - upper) / spread if spread > 0 else 0.0
+    return float(ratio / (ratio + 2.0)) if ratio > 0 else 0.0
+
+
+def _shifted(past: np.ndarray, value: float) -> float:
+    found = detectors.best_split(np.append(past[~np.isnan(past)], value)) if (~np.isnan(past)).sum() >= C.CHANGE_MIN_HISTORY else None
+    return found[1] if found and found[1] >= C.CHANGE_STRENGTH else 0.0

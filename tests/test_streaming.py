@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from normscope.operators import detectors, history
 from normscope.plans import detection
 from normscope.spec import EventSpec
 from normscope.streaming import micro
@@ -32,3 +33,21 @@ def test_micro_batches(spark, tmp_path):
     assert spark.table("scored").count() == 2 and got[100]["score"] > 99 and got[100]["severity"] == "critical" and got[101]["score"] < 50
     drained(micro.hourly_levels(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), SPEC, "v").select("scope_key", "n", F.col("largest")), "levels", "complete")
     assert spark.table("levels").first()["n"] == 3
+
+
+def test_walked_stream_scores_as_a_batch_does(spark, tmp_path):
+    rows = [(i, f"e{i % 2}", START + dt.timedelta(minutes=i), float(20 + i % 4 + 60 * (i >= 90) + 400 * (i == 70)), "card", "books" if i % 6 else "toys") for i in range(120)]
+    log = spark.createDataFrame(rows, SCHEMA)
+    for k in range(2):  # two micro-batches: the second goes on from the first's state
+        log.where(f"event_id div 60 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    drained(micro.walked(stream, SPEC), "walked")
+    got = {r["event_id"]: r for r in spark.table("walked").collect()}
+    ordered = history.with_ordinal(log, SPEC)
+    batch = detectors.change_point(detectors.rolling_quantile(ordered, SPEC), SPEC).select("event_id", "d_rolling_quantile", "d_change_point").collect()
+    assert len(got) == len(batch) == 120
+    for r in batch:
+        for d in ("rolling_quantile", "change_point"):
+            want, score = r[f"d_{d}"], got[r["event_id"]][d]
+            assert (score is None or score != score) == (not want["applicable"]) and (not want["applicable"] or abs(score - want["score"]) < 1e-6)
+    assert max(r["d_rolling_quantile"]["score"] for r in batch) > 0.5
