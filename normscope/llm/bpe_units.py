@@ -289,4 +289,4 @@ def sentence_pieces(model: bytes) -> UnitEncoder:
         shown = [u if first else u[1:] for u, first in zip(units, firsts, strict=True)]
         return processor.encode(shown, num_threads=1)
 
-    return UnitEncoder(encode, apart=True, whole=not units_hold, limit=500_000)
+    return UnitEncoder(encode, apart=True, whole=not units_hold, limit=250_000)
