@@ -106,6 +106,35 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    found = line_dedup.dedup(base.documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import periodic_runs
+
+    docs = base.documents(spark, sf_dir, "doc_id", "text")
+    docs = docs.withColumn("text", periodic_runs.planted(F.col("doc_id"), F.col("text")))
+    found = periodic_runs.detect(docs, "doc_id", "text").withColumn("best", periodic_runs.longest(F.col("runs")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vector_codes
+
+    found, books = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", "label")
+    digest = F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256")
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", digest)
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2's counts and base verdict, which SQL can state."""
     from . import quality_rules
@@ -128,5 +157,6 @@ def media_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_sentence_pieces, op2_quality_rules, op3_language_id, op4_mixing, op5_pii, op6_ngram_join, op7_url_filter, op8_matroska, op9_wavelet, op10_token_counts,
+    op11_line_dedup, op12_periodic_runs, op13_vector_codes,
     quality_base, mixing_targets, media_sizes,
 )}
