@@ -3,8 +3,9 @@
 Positions of equal factors of length 1 form the first classes. From length l to l + 1 a class splits by the classes of its members'
 successors; only successors in classes that are new and not the largest part of their parent are looked at (smaller half), so
 all lengths together move each word O(log n) times. Each class keeps its members in a segment, and each member its next one
-in the text. A link from i to its next member i + d that exists at length d is a square: the d words from i come twice.
-Links are judged when they break: one made at length m and broken at length b held at all lengths from m to b - 1. Neighbours alone give
+in the text. What would follow the end splits nothing: a place stays in its class when its factor reaches the end. Such places can't lie
+between the halves of a square that fits, so they hide none, and a text that repeats up to its end stops splitting. A link from i to its next member i + d that exists at length d is a square: the d words from i come twice.
+Links are judged when they break or nothing splits any more: one made at length m and broken at length b held at all lengths from m to b - 1. Neighbours alone give
 exactly the squares whose half isn't itself a repetition, so squares of one d at consecutive places merge into a run of
 smallest period d. The lengths of a batch's documents are refined together.
 """
@@ -20,7 +21,7 @@ from . import base, spans
 
 MIN_WORDS = 12
 #: Bytes of texts that are refined together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 16 << 20
 
 
 def codes(bytes_: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -49,7 +50,7 @@ def squares(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     is_end = np.zeros(total, dtype=bool)
     is_end[begins + sizes] = True
     top = int(symbols.max()) + 1 if symbols.size else 0
-    symbol[~is_end], symbol[is_end] = symbols, top + np.arange(sizes.size)  # an end equals nothing
+    symbol[~is_end], symbol[is_end] = symbols, top + np.arange(sizes.size)
     deepest = (sizes // 2)[text]  # a longer half doesn't fit
 
     ordered = np.sort(symbol * total + np.arange(total))
@@ -77,13 +78,18 @@ def squares(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
         if held.any():
             out.append((i[held], d[held]))
 
-    small, length = member, 1  # members of small classes, class by class and in order of place
+    ended = np.zeros(total, np.int64)  # members of a class whose factor passes the end
+    longest = np.argsort(-sizes, kind="stable")
+    halves = (sizes // 2)[longest]
+    small, length = member[~is_end[member]], 1  # members of small classes, class by class and in order of place
     while small.size:
+        length += 1
+        of = longest[: np.searchsorted(-halves, -length, side="right")]
+        ended[cls[begins[of] + sizes[of] - length + 1]] += 1  # one more place of each text, and each in a class of its text
         j = small - 1
-        ok = j >= 0
-        ok &= ~is_end[j] & (deepest[j] > length)
-        ok &= size[cls[j]] > 1
-        j, length = j[ok], length + 1
+        ok = (j >= 0) & (deepest[j] >= length)
+        ok &= ~is_end[j] & (size[cls[j]] > 1)
+        j = j[ok]
         if not j.size:
             break
         rank = np.sort(cls[j] * j.size + np.arange(j.size)) % j.size
@@ -93,7 +99,7 @@ def squares(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
         new[1:] = (parent[1:] != parent[:-1]) | (follower[1:] != follower[:-1])
         g_at = np.flatnonzero(new)
         g_size = np.diff(np.append(g_at, j.size))
-        splits = g_size < size[parent[g_at]]
+        splits = g_size < size[parent[g_at]] - ended[parent[g_at]]
         if not splits.all():  # a class that moves as one stays as it is
             stay = np.repeat(splits, g_size)
             j, parent, g_size = j[stay], parent[stay], g_size[splits]
@@ -131,7 +137,6 @@ def squares(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
         end_of = start[p] + size[p]
         tail = np.repeat(end_of - np.cumsum(moved), moved) + np.arange(j.size)
         front = slot[j] < np.repeat(start[p] + rest, moved)
-        going = np.zeros(j.size, dtype=bool)
         there = member[tail]
         order = np.argsort(j)
         found = np.minimum(np.searchsorted(j[order], there), j.size - 1)
@@ -140,34 +145,32 @@ def squares(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
         member[free], slot[stays] = stays, free
         member[tail], slot[j] = j, tail
 
-        # the largest part of a parent keeps its number
+        # of a parent's parts all but the largest are small; places that pass the end count nowhere
         largest = np.maximum.reduceat(g_size, p_at)
-        rest_keeps = rest >= largest
-        is_largest = (g_size == largest[p_of_group]) & ~rest_keeps[p_of_group]
+        real = rest - ended[p]
+        is_largest = (g_size == largest[p_of_group]) & (real < largest)[p_of_group]
         nth = np.cumsum(is_largest)
         is_largest &= (nth - np.repeat(nth[p_at] - is_largest[p_at], np.diff(np.append(p_at, g_at.size)))) == 1  # the first such
-        goes = ~is_largest
-        number = np.where(goes, n_classes + np.cumsum(goes) - 1, g_parent)
-        n_classes += int(goes.sum())
-        lone = np.flatnonzero(~rest_keeps & (rest > 0))  # what is left behind is a small part itself
-        rest_number = n_classes + np.arange(lone.size)
-        n_classes += lone.size
-        rest_start, rest_size = start[p[lone]], rest[lone]
-        size[p[rest_keeps]] = rest[rest_keeps]
+        named = ~(is_largest & (rest == 0)[p_of_group])  # what is left behind keeps the number, else the largest part
+        number = np.where(named, n_classes + np.cumsum(named) - 1, g_parent)
+        n_classes += int(named.sum())
+        size[p[rest > 0]] = rest[rest > 0]
         start[number], size[number] = tail[g_at], g_size
-        start[rest_number], size[rest_number] = rest_start, rest_size
         cls[j] = np.repeat(number, g_size)
-        small = j[np.repeat(goes, g_size)]
+        small = j[np.repeat(~is_largest, g_size)]
+        lone = np.flatnonzero((real < largest) & (real > 0))  # what is left behind is small itself
         if lone.size:
-            places = np.repeat(rest_start - (np.cumsum(rest_size) - rest_size), rest_size) + np.arange(int(rest_size.sum()))
-            of = np.repeat(rest_number, rest_size)
-            cls[member[places]] = of
-            small = np.concatenate([small, np.sort(of * total + member[places]) % total])
+            n = rest[lone]
+            left = member[np.repeat(start[p[lone]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            left = left[left + length <= (begins + sizes)[text[left]]]
+            small = np.concatenate([small, np.sort(cls[left] * total + left) % total])
     i = np.flatnonzero(after >= 0)
     d = after[i] - i
     held = (made[i] <= d) & (d <= deepest[i])
     out.append((i[held], d[held]))
-    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+    place, period = (np.concatenate(x) for x in zip(*out, strict=True))
+    fits = place + 2 * period <= (begins + sizes)[text[place]]
+    return place[fits], period[fits]
 
 
 def runs(symbols: np.ndarray, sizes: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -229,13 +232,17 @@ def planted(id_: Column, text: Column) -> Column:
     """The text with a run planted, for one id of ten: from word a on its words repeat with a period, both told by the id's checksum."""
     h = F.crc32(id_.cast("string"))
     g = F.floor(h / 10)
-    words = F.regexp_extract_all(text, F.lit(f"({base.words_pattern()})"), F.lit(1))
-    n = F.size(words).cast("long")
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
-    made = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i).cast("int"))), " ")
-    return F.when((h % 10 == 0) & text.rlike(base.words_pattern()), made).otherwise(text)
+
+    def made(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i).cast("int"))), " ")
+
+    # an outer lambda holds the words, which the inner one would find again for each place
+    words = F.array(F.regexp_extract_all(text, F.lit(f"({base.words_pattern()})"), F.lit(1)))
+    return F.when((h % 10 == 0) & text.rlike(base.words_pattern()), F.transform(words, made)[0]).otherwise(text)
 
 
 def longest(runs_: Column) -> Column:
