@@ -21,7 +21,7 @@ from . import base, spans
 
 MIN_WORDS = 12
 #: Bytes of texts that are refined together.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def codes(bytes_: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
