@@ -36,19 +36,11 @@ def unpivot(rows: DataFrame, features: Sequence[str], keep: Sequence[str]) -> Da
     return rows.select(*keep, F.explode(cells).alias("_c")).select(*keep, "_c.feature", "_c.value").where("value IS NOT NULL")
 
 
-QUANTILES = (0.5, 0.05, 0.25, 0.75, 0.95)
-#: Values up to which one task may hold those of a group: then ``percentile`` takes fewer steps.
-FEW_VALUES = 2_000_000
-
-
-def numeric_stats(values: DataFrame, keys: Sequence[str], *, floor: bool = True, digits: int | None = 6, min_values: int = C.MIN_NUMERIC_VALUES, most: int | None = None) -> DataFrame:
-    """Robust statistics of ``value`` in every group of ``keys``. Where zeros make up the share
+def numeric_stats(values: DataFrame, keys: Sequence[str], *, floor: bool = True, digits: int | None = 6, min_values: int = C.MIN_NUMERIC_VALUES, **layout: object) -> DataFrame:
+    """Robust statistics of the finite ``value`` in every group of ``keys``. Where zeros make up the share
     ZERO_INFLATION_SHARE or more, they describe the non-zero values, unless those are fewer than
-    three. A row stands for ``n`` equal values. The deviations' median needs the median first. ``most`` is a bound
-    on the rows, which are counted if it isn't known."""
-    values = values.where(F.abs("value") < float("inf"))
-    few = (values.count() if most is None else most) <= FEW_VALUES
-    rows = (_held_stats if few else _ranked_stats)(values, keys, min_values)
+    three. A row stands for ``n`` equal values; ``layout``: see ``quantiles.statistics``. The result is stored."""
+    rows = quantiles.statistics(values, keys, least_values=min_values, **layout)
     median, sigma = F.col("q")[0], F.col("mad") * C.MAD_TO_SIGMA
     if floor:
         sigma = F.greatest(sigma, F.abs(median) * C.RELATIVE_SIGMA_FLOOR)
@@ -61,66 +53,13 @@ def numeric_stats(values: DataFrame, keys: Sequence[str], *, floor: bool = True,
     )
 
 
-def _held_stats(values: DataFrame, keys: Sequence[str], min_values: int) -> DataFrame:
-    """(keys..., count, exact_share, informative, q, mad, min, max) where a task may hold a group's values."""
-    non_zero, n = F.when(F.col("value") != 0, F.col("value")), F.col("n")
-    quantiles_ = F.array(*[F.lit(q) for q in QUANTILES])
-    first = values.groupBy(*keys).agg(
-        F.sum("n").alias("count"), F.coalesce(F.sum(F.when(F.col("value") != 0, n)), F.lit(0)).alias("n_nz"),
-        F.percentile("value", quantiles_, n).alias("q_all"), F.percentile(non_zero, quantiles_, n).alias("q_nz"),
-        F.min("value").alias("lo_all"), F.max("value").alias("hi_all"), F.min(non_zero).alias("lo_nz"), F.max(non_zero).alias("hi_nz"),
-    )
-    exact_share = (F.col("count") - F.col("n_nz")) / F.col("count")
-    use_nz = (exact_share >= C.ZERO_INFLATION_SHARE) & (F.col("n_nz") >= C.MIN_NUMERIC_VALUES)
-    first = first.where(F.col("count") >= min_values).select(
-        *keys, "count", exact_share.alias("exact_share"), use_nz.alias("use_nz"),
-        F.when(use_nz, F.col("n_nz")).otherwise(F.col("count")).alias("informative"), F.when(use_nz, F.col("q_nz")).otherwise(F.col("q_all")).alias("q"),
-        F.when(use_nz, F.col("lo_nz")).otherwise(F.col("lo_all")).alias("min"), F.when(use_nz, F.col("hi_nz")).otherwise(F.col("hi_all")).alias("max"),
-    )
-    deviation = F.when(~F.col("use_nz") | (F.col("value") != 0), F.abs(F.col("value") - F.col("q")[0]))
-    mads = values.join(first.select(*keys, "use_nz", "q"), list(keys)).groupBy(*keys).agg(F.percentile(deviation, F.lit(0.5), n).alias("mad"))
-    return first.join(mads, list(keys))
-
-
-def _ranked_stats(values: DataFrame, keys: Sequence[str], min_values: int) -> DataFrame:
-    """As ``_held_stats``, for groups of any size: quantiles by bins and ranks."""
-    value, n, zero = F.col("value"), F.col("n"), F.lit(0).cast("long")
-    non_zero = F.when(value != 0, value)
-    first = values.groupBy(*keys).agg(
-        F.sum("n").alias("count"), F.sum(F.when(value != 0, n).otherwise(zero)).alias("n_nz"), F.sum(F.when(value < 0, n).otherwise(zero)).alias("n_negative"),
-        F.sum(F.abs(value) * n).alias("mass"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.min(non_zero).alias("lo_nz"), F.max(non_zero).alias("hi_nz"),
-    )
-    exact_share = (F.col("count") - F.col("n_nz")) / F.col("count")
-    use_nz = (exact_share >= C.ZERO_INFLATION_SHARE) & (F.col("n_nz") >= C.MIN_NUMERIC_VALUES)
-    first = first.where(F.col("count") >= min_values).withColumns({"exact_share": exact_share, "use_nz": use_nz})
-    first = first.withColumn("informative", F.when(F.col("use_nz"), F.col("n_nz")).otherwise(F.col("count")))
-    # a place among the non-zero values, as a place among all
-    shift = lambda p: F.when(F.col("use_nz") & (p >= F.col("n_negative")), p + F.col("count") - F.col("n_nz")).otherwise(p)
-    unit = F.when(F.col("mass") > 0, F.col("mass") / F.col("count")).otherwise(F.lit(1.0))
-    groups = first.select(*keys, "lo", "hi", unit.alias("unit"), quantiles.ranks(F.col("informative"), QUANTILES, shift).alias("wanted"))
-    first = first.join(quantiles.at_ranks(values, groups, keys), list(keys))
-    first = first.withColumn("q", F.array(*[quantiles.between(F.col("at"), F.col("informative"), q, shift) for q in QUANTILES]))
-    median = F.col("q")[0]
-    away = values.join(first.select(*keys, "use_nz", median.alias("median")), list(keys)).where(~F.col("use_nz") | (value != 0))
-    away = away.select(*keys, F.abs(value - F.col("median")).alias("value"), "n")
-    farthest = F.greatest(F.col("hi") - median, median - F.col("lo"), F.lit(0.0))
-    near = (F.col("q")[3] - F.col("q")[2]) / 2
-    groups = first.select(
-        *keys, F.lit(0.0).alias("lo"), farthest.alias("hi"), F.when(near > 0, near).when(farthest > 0, farthest).otherwise(F.lit(1.0)).alias("unit"),
-        quantiles.ranks(F.col("informative"), (0.5,)).alias("wanted"),
-    )
-    mads = quantiles.at_ranks(away, groups, keys).withColumnRenamed("at", "mad_at")
-    rows = first.join(mads, list(keys)).withColumn("mad", quantiles.between(F.col("mad_at"), F.col("informative"), 0.5))
-    return rows.withColumns({"min": F.when(F.col("use_nz"), F.col("lo_nz")).otherwise(F.col("lo")), "max": F.when(F.col("use_nz"), F.col("hi_nz")).otherwise(F.col("hi"))})
-
-
 def numeric_baselines(events: DataFrame, features: Sequence[str], dimensions: Sequence[str]) -> DataFrame:
     """(scope_key, depth, feature, STATS..., zero_inflated). Equal values of a full scope are counted first,
-    so the prefixes repeat distinct values, not events."""
+    so the prefixes repeat distinct values, not events; their cells are counted once and added up."""
     keys = list(dict.fromkeys(dimensions))
     values = unpivot(events.select(*dict.fromkeys([*features, *keys])), features, keys)
     counted = values.groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    return numeric_stats(in_scopes(counted, dimensions), ("scope_key", "depth", "feature"), most=events.count() * len(features))
+    return numeric_stats(counted, ("scope_key", "depth", "feature"), base=(*keys, "feature"), widen=lambda rows: in_scopes(rows, dimensions).drop(*keys))
 
 
 def categorical_baselines(events: DataFrame, features: Sequence[str], dimensions: Sequence[str]) -> DataFrame:

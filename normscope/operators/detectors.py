@@ -7,26 +7,49 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkAttributeError, PySparkException, PySparkTypeError, PySparkValueError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scalars as S
 from ..spec import EventSpec
-from . import baselines, forest, history, peers
+from . import baselines, forest, peers, walks
+from .walks import best_split  # noqa: F401
 from .results import largest, listed, no_reasons, reason, result, shown
 
 
 @dataclass(frozen=True)
-class Run:
-    """What detectors are planned with: the declared roles, the training slice and what was learned from it."""
+class Learned:
+    """What a training slice gives; every table is small beside the log. ``peers``: findings about the entities of ``peer_groups``;
+    ``forests``: see ``forest.publish``."""
 
-    spec: EventSpec
-    training: DataFrame
+    samples: DataFrame
     numeric: DataFrame
     categorical: DataFrame
+    peer_groups: DataFrame | None = None
+    peers: DataFrame | None = None
+    forests: DataFrame | None = None
+
+
+@dataclass(frozen=True)
+class Run:
+    """What detectors are planned with: the declared roles, the training slice (None where a stored version scores) and what was learned."""
+
+    spec: EventSpec
+    training: DataFrame | None
+    learned: Learned
     is_scored: Column
 
+    @property
+    def numeric(self) -> DataFrame:
+        return self.learned.numeric
+
+    @property
+    def categorical(self) -> DataFrame:
+        return self.learned.categorical
+
 
 @dataclass(frozen=True)
 class Detector:
@@ -38,6 +61,9 @@ class Detector:
     on_log: bool = False
 
 
+#: What the notes of detectors that raised begin with.
+FAILED = "failed: "
+
 #: In the order in which results are fused.
 REGISTRY: dict[str, Detector] = {}
 
@@ -52,9 +78,21 @@ def abstained(name: str, note: str) -> Column:
     return result(name, F.lit(False), F.lit(0.0), no_reasons(), note=note)
 
 
+#: Conditions of analysis that tell of storage, not of a detector's plan.
+_STORAGE = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE")
+
+
+def is_own(error: Exception) -> bool:
+    """Whether an error of planning is the detector's own. Those of storage, of Spark jobs and of the session are not: they stop the run."""
+    if isinstance(error, PySparkException):
+        plan = isinstance(error, AnalysisException | PySparkTypeError | PySparkValueError | PySparkAttributeError)
+        return plan and not str(error.getCondition() or "").startswith(_STORAGE)
+    return not isinstance(error, OSError | Py4JError)
+
+
 def planned(detector: Detector, events: DataFrame, run: Run) -> DataFrame:
     """``events`` with the detector's result. A detector that can't be planned abstains everywhere, and its
-    notes say why: it never fails the run."""
+    notes say why: it never fails the run. What fails storage or Spark does."""
     column = f"d_{detector.name}"
     try:
         rows = detector.plan(events, run)
@@ -62,7 +100,22 @@ def planned(detector: Detector, events: DataFrame, run: Run) -> DataFrame:
             raise TypeError(f"{column} isn't a result")
         return rows
     except Exception as error:
-        return events.withColumn(column, abstained(detector.name, f"{type(error).__name__}: {error}"[:300]))
+        if not is_own(error):
+            raise
+        return events.withColumn(column, abstained(detector.name, failure(error)))
+
+
+def failure(error: Exception) -> str:
+    """The note of a detector that raised; ``is_failure`` tells it from those that abstain for want of data."""
+    return f"{FAILED}{type(error).__name__}: {error}"[:300]
+
+
+def is_failure(result_: Column) -> Column:
+    return ~result_["applicable"] & F.coalesce(result_["note"].startswith(FAILED), F.lit(False))
+
+
+def failed_note(error: Column, otherwise: Column) -> Column:
+    return F.coalesce(F.when(error.isNotNull(), F.concat(F.lit(FAILED), error)), otherwise)
 
 
 def of_function(name: str, columns: Sequence[str], score: Callable[[pd.DataFrame], pd.Series], *, on_log: bool = False) -> Detector:
@@ -84,7 +137,7 @@ def of_function(name: str, columns: Sequence[str], score: Callable[[pd.DataFrame
         score_ = F.col("_found.score")
         value = F.when(score_.isNotNull() & ~F.isnan(score_), F.least(F.lit(1.0), F.greatest(F.lit(0.0), score_)))
         out = result(name, value.isNotNull(), value, no_reasons(), note="no score")
-        note = F.when(~out["applicable"], F.coalesce(F.col("_found.error"), out["note"]))
+        note = F.when(~out["applicable"], failed_note(F.col("_found.error"), out["note"]))
         return rows.withColumn(f"d_{name}", out.withField("note", note)).drop("_found")
 
     return Detector(name, plan, on_log)
@@ -127,141 +180,86 @@ def categorical_rarity(events: DataFrame, categorical: DataFrame, spec: EventSpe
     return rows.withColumn("d_categorical_rarity", out).drop("cat", *[f"_{n}{i}" for i in range(len(spec.categorical)) for n in ("s", "v", "share")])
 
 
-def rolling_columns(spec: EventSpec) -> dict[str, Column]:
-    """Window statistics of each numeric feature at the depth ``rq_depth``: counts and quantiles."""
-    out: dict[str, Column] = {"rq_n": history.at_depth(spec, "rq_depth", lambda w: F.count(F.lit(1)).over(w))}
-    quantiles = F.array(F.lit(C.ROLLING_QUANTILE), F.lit(0.5))
-    for i, f in enumerate(spec.numeric):
-        v = F.col(f).cast("double")
-        nz = F.when(v != 0, v)
-        for name, make in (
-            ("n", lambda w, v=v: F.count(v).over(w)), ("nz", lambda w, nz=nz: F.count(nz).over(w)),
-            ("q", lambda w, v=v: F.percentile(v, quantiles).over(w)), ("qnz", lambda w, nz=nz: F.percentile(nz, quantiles).over(w)),
-        ):
-            out[f"rq_{name}{i}"] = history.at_depth(spec, "rq_depth", make)
-    return out
-
-
 def rolling_parts(spec: EventSpec) -> list[tuple[str, Column, Column, Column]]:
-    """(feature, score or null, upper, median) from ``rolling_columns``."""
+    """(feature, score or null, upper, median) from ``rq`` of ``walks``."""
     out = []
     for i, f in enumerate(spec.numeric):
-        n, nz, v = F.col(f"rq_n{i}"), F.col(f"rq_nz{i}"), F.col(f).cast("double")
-        inflated = (n - nz) / n >= C.ZERO_INFLATION_SHARE
-        q = F.when(inflated, F.col(f"rq_qnz{i}")).otherwise(F.col(f"rq_q{i}"))
-        usable = (n >= C.ROLLING_MIN_HISTORY) & (~inflated | ((v != 0) & (nz >= C.MIN_INFORMATIVE)))
-        out.append((f, F.when(usable, S.excess_score(v, q[0], q[1])), q[0], q[1]))
+        p, v = F.get("rq.parts", F.lit(i)), F.col(f).cast("double")
+        inflated = (p["n"] - p["nz"]) / F.nullif(p["n"], F.lit(0)) >= C.ZERO_INFLATION_SHARE
+        usable = (p["n"] >= C.ROLLING_MIN_HISTORY) & (~inflated | ((v != 0) & (p["nz"] >= C.MIN_INFORMATIVE)))
+        out.append((f, F.when(usable, S.excess_score(v, p["upper"], p["median"])), p["upper"], p["median"]))
     return out
 
 
-def rolling_quantile(events: DataFrame, spec: EventSpec) -> DataFrame:
-    """Above the entity's own recent 90th percentile. ``events`` is the whole log with ``rn``."""
-    rows = events.withColumn("rq_depth", history.depth_for(spec, C.ROLLING_MIN_HISTORY))
-    rows = rows.withColumns(rolling_columns(spec))
+def _walked(events: DataFrame, spec: EventSpec, kind: str, only: Column | None) -> DataFrame:
+    return events if kind in events.columns else walks.walked(events, spec, [kind], only)
+
+
+def rolling_quantile(events: DataFrame, spec: EventSpec, only: Column | None = None) -> DataFrame:
+    """Above the entity's own recent 90th percentile. ``events`` is the whole log with ``rn``, or has ``rq`` of ``walks``; of the
+    rows that ``only`` holds for, if it is given."""
+    rows = _walked(events, spec, "rq", only)
     scores, why = [], []
     for f, d, upper, median in rolling_parts(spec):
         scores.append(d)
         v = F.col(f).cast("double")
         text = F.concat(F.lit(f"{f} is "), shown(v), F.lit("; this entity's recent 90th percentile is "), shown(upper), F.lit(", its median "), shown(median))
         why.append((d >= C.ROLLING_REASON, reason("rolling_quantile", F.lit(f), v.cast("string"), v, median, upper, d, text, F.lit("entity_history"))))
-    out = result("rolling_quantile", F.col("rq_n") >= C.ROLLING_MIN_HISTORY, largest(scores), listed(why), note="too few comparable earlier events")
-    return rows.withColumn("d_rolling_quantile", out).drop("rq_depth", "rq_n", *[f"rq_{n}{i}" for i in range(len(spec.numeric)) for n in ("n", "nz", "q", "qnz")])
-
-
-def best_split(series: np.ndarray, min_segment: int = C.CHANGE_MIN_SEGMENT) -> tuple[int, float, float, float] | None:
-    """Place, strength and both means of the split with the least squared error, from prefix sums. The
-    first of equal splits."""
-    n = len(series)
-    if n < 2 * min_segment:
-        return None
-    shift = series.mean()
-    x = series - shift  # smaller numbers lose less
-    upto, square = np.cumsum(x), np.cumsum(x * x)
-    i = np.arange(min_segment, n - min_segment + 1)
-    left, right = upto[i - 1], upto[-1] - upto[i - 1]
-    errors = square[-1] - left**2 / i - right**2 / (n - i)
-    errors = np.where(errors <= 1e-9 * max(square[-1], 1e-300), 0.0, errors)
-    k = int(np.argmin(errors))
-    at, error = int(i[k]), float(errors[k])
-    before, after = float(left[k] / at + shift), float(right[k] / (n - at) + shift)
-    gap = abs(after - before)
-    if gap <= 1e-12 * max(abs(before), abs(after), 1e-300):
-        return None
-    pooled = np.sqrt(error / max(n - 2, 1))
-    effect = gap / pooled if pooled > 0 else np.inf
-    return at, 1.0 if np.isinf(effect) else float(effect / (effect + 2.0)), before, after
-
-
-CHANGE = "struct<split:int,strength:double,before:double,after:double>"
-
-
-def change_columns(spec: EventSpec) -> dict[str, Column]:
-    """The series before each event at the depth ``cp_depth``: at most HISTORY_LIMIT values."""
-    out = {"cp_n": history.at_depth(spec, "cp_depth", lambda w: F.count(F.lit(1)).over(w))}
-    for i, f in enumerate(spec.numeric):
-        out[f"cp_series{i}"] = history.at_depth(spec, "cp_depth", lambda w, f=f: F.collect_list(F.col(f).cast("double")).over(w))
-    return out
-
+    out = result("rolling_quantile", F.col("rq.n") >= C.ROLLING_MIN_HISTORY, largest(scores), listed(why), note="too few comparable earlier events")
+    return rows.withColumn("d_rolling_quantile", _noted(out, F.col("rq.error"))).drop("rq")
 
-def split_udf() -> Callable[..., Column]:
-    @F.pandas_udf(CHANGE)
-    def found(series: pd.Series, observed: pd.Series) -> pd.DataFrame:
-        rows = []
-        for past, now in zip(series, observed, strict=True):
-            got = None
-            if past is not None and now is not None and now == now and len(past) >= C.CHANGE_MIN_HISTORY:
-                got = best_split(np.append(np.asarray(past, dtype=float), now))
-            rows.append(got or (None, None, None, None))
-        return pd.DataFrame(rows, columns=["split", "strength", "before", "after"]).astype({"split": "Int32", "strength": float, "before": float, "after": float})
 
-    return found
+def _noted(out: Column, error: Column) -> Column:
+    return out.withField("note", F.when(~out["applicable"], failed_note(error, out["note"])))
 
 
 def change_point(events: DataFrame, spec: EventSpec, only: Column | None = None) -> DataFrame:
-    """A lasting shift of the entity's level. ``events`` is the whole log with ``rn``; ``only`` keeps the
-    rows that are scored, before their series go to Python."""
-    rows = events.withColumn("cp_depth", history.depth_for(spec, C.CHANGE_MIN_HISTORY)).withColumns(change_columns(spec))
-    rows = rows if only is None else rows.where(only)
-    find, scores, why = split_udf(), [], []
-    rows = rows.withColumns({f"cp{i}": find(F.col(f"cp_series{i}"), F.col(f).cast("double")) for i, f in enumerate(spec.numeric)})
+    """A lasting shift of the entity's level. ``events`` is the whole log with ``rn``, or has ``cp`` of ``walks``; of the
+    rows that ``only`` holds for, if it is given."""
+    rows, scores, why = _walked(events, spec, "cp", only), [], []
     for i, f in enumerate(spec.numeric):
-        c, v = F.col(f"cp{i}"), F.col(f).cast("double")
+        c, v = F.get("cp.parts", F.lit(i)), F.col(f).cast("double")
         d = F.when(c["strength"] >= C.CHANGE_STRENGTH, c["strength"])
         scores.append(d)
         text = F.concat(F.lit(f"the mean of {f} "), F.when(c["after"] > c["before"], "rose").otherwise("fell"), F.lit(" from "), shown(c["before"]), F.lit(" to "), shown(c["after"]), F.lit(" and stayed"))
         lo, hi = F.least(c["before"], c["after"]), F.greatest(c["before"], c["after"])
         why.append((d.isNotNull(), reason("change_point", F.lit(f), v.cast("string"), v, lo, hi, d, text, F.lit("entity_history"))))
-    out = result("change_point", F.col("cp_n") >= C.CHANGE_MIN_HISTORY, largest(scores), listed(why), note="too few comparable earlier events")
-    return rows.withColumn("d_change_point", out).drop("cp_depth", "cp_n", *[f"{n}{i}" for i in range(len(spec.numeric)) for n in ("cp", "cp_series")])
+    out = result("change_point", F.col("cp.n") >= C.CHANGE_MIN_HISTORY, largest(scores), listed(why), note="too few comparable earlier events")
+    return rows.withColumn("d_change_point", _noted(out, F.col("cp.error"))).drop("cp")
 
 
-def peer_group(events: DataFrame, training: DataFrame, spec: EventSpec) -> DataFrame:
-    """The entity's aggregate behaviour against comparable entities."""
+def peer_findings(training: DataFrame, spec: EventSpec) -> DataFrame:
+    """What ``peer_group`` says of every entity of the training slice in every scope."""
     profile = peers.profiles(training, spec)
-    most = training.count() * len(peers.metrics(spec))  # profiles of a scope and metric are fewer than events
-    rows = peers.resolve(events, peers.findings(profile, peers.stats(profile, most=most)), spec)
+    return peers.findings(profile, peers.stats(profile))
+
+
+def peer_group(events: DataFrame, training: DataFrame | None, spec: EventSpec, findings: DataFrame | None = None) -> DataFrame:
+    """The entity's aggregate behaviour against comparable entities: those of the training slice, or stored ``findings``."""
+    rows = peers.resolve(events, peer_findings(training, spec) if findings is None else findings, spec)
     out = result("peer_group", F.col("peer").isNotNull(), F.col("peer.score"), F.col("peer.reasons"), scope=F.col("peer.scope"), note="no group knows this entity")
     return rows.withColumn("d_peer_group", out).drop("peer")
 
 
-def isolation_forest(events: DataFrame, training: DataFrame, spec: EventSpec) -> DataFrame:
-    """Odd combinations of values, by a forest for each scope."""
-    rows = forest.score(events, forest.fit(training, spec), spec)
+def isolation_forest(events: DataFrame, training: DataFrame | None, spec: EventSpec, forests: DataFrame | None = None) -> DataFrame:
+    """Odd combinations of values, by a forest for each scope: of the training slice, or stored ones. A scope whose forest didn't grow, and rows
+    whose margin raises, abstain with the error as their note."""
+    rows = forest.score(events, forest.publish(forest.fit(training, spec)) if forests is None else forests, spec, errors="forest_error")
     name = "+".join(spec.numeric)
     observed = F.to_json(F.struct(*[F.col(f).cast("double").alias(f) for f in spec.numeric])) if spec.numeric else F.lit(None)
     d = S.margin_score(F.col("forest_margin"))
     text = F.concat(F.lit(f"the values of {', '.join(spec.numeric)} seldom meet in "), S.describe_scope(F.col("baseline_scope")))
     why = [(d >= C.FOREST_REASON, reason("isolation_forest", F.lit(name), observed, F.lit(None), F.lit(None), F.lit(None), d, text, F.col("baseline_scope")))]
     out = result("isolation_forest", F.col("forest_margin").isNotNull(), d, listed(why), raw=F.col("forest_margin"), scope=F.col("baseline_scope"), note="no model, or a value is missing")
-    return rows.withColumn("d_isolation_forest", out).drop("forest_margin")
+    return rows.withColumn("d_isolation_forest", _noted(out, F.col("forest_error"))).drop("forest_margin", "forest_error")
 
 
 for _detector in (
     Detector("robust_deviation", lambda events, run: robust_deviation(events, run.numeric, run.spec)),
     Detector("categorical_rarity", lambda events, run: categorical_rarity(events, run.categorical, run.spec)),
-    Detector("isolation_forest", lambda events, run: isolation_forest(events, run.training, run.spec)),
+    Detector("isolation_forest", lambda events, run: isolation_forest(events, run.training, run.spec, run.learned.forests)),
     Detector("rolling_quantile", lambda events, run: rolling_quantile(events, run.spec), on_log=True),
     Detector("change_point", lambda events, run: change_point(events, run.spec, only=run.is_scored), on_log=True),
-    Detector("peer_group", lambda events, run: peer_group(events, run.training, run.spec)),
+    Detector("peer_group", lambda events, run: peer_group(events, run.training, run.spec, run.learned.peers)),
 ):
     register(_detector)

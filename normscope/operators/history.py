@@ -15,11 +15,16 @@ from ..spec import EventSpec
 FEW_ROWS = 200_000
 
 
+def _at(spec: EventSpec) -> Column:
+    """The time in microseconds; an event without one is at the epoch."""
+    return F.coalesce(F.unix_micros(F.col(spec.time).cast("timestamp")), F.lit(0))
+
+
 def cutoff(events: DataFrame, spec: EventSpec, ratio: float = C.TRAIN_RATIO) -> tuple[object, object] | None:
     """(time in microseconds, id) of the last training event: the floor(n * ratio)-th in order. No global
     sort: hours are counted first, then seconds and microseconds of what holds the place, until few rows are left to
     order. Of one instant with many rows the ids are dealt out in ranges, and one range is ordered."""
-    rows = events.select(F.unix_micros(F.col(spec.time).cast("timestamp")).alias("at"), F.col(spec.event_id).alias("id"))
+    rows = events.select(_at(spec).alias("at"), F.col(spec.event_id).alias("id"))
     n = rows.count()
     place = math.floor(n * float(ratio))
     if place < 1:
@@ -54,7 +59,7 @@ def cutoff(events: DataFrame, spec: EventSpec, ratio: float = C.TRAIN_RATIO) ->
 def is_training(spec: EventSpec, cut: tuple[object, object] | None) -> Column:
     if cut is None:
         return F.lit(False)
-    at = F.unix_micros(F.col(spec.time).cast("timestamp"))
+    at = _at(spec)
     return (at < cut[0]) | ((at == cut[0]) & (F.col(spec.event_id) <= F.lit(cut[1])))
 
 

@@ -13,7 +13,7 @@ from .. import constants as C
 from ..functions import scalars as S
 from ..spec import EventSpec
 from . import quantiles
-from .baselines import FEW_VALUES, in_scopes
+from .baselines import in_scopes
 from .results import reason, sorted_reasons
 
 
@@ -33,33 +33,12 @@ def profiles(events: DataFrame, spec: EventSpec, min_events: int = C.PEER_MIN_EV
     return wide.select("scope_key", "depth", "entity", "event_count", F.explode(cells).alias("c")).select("scope_key", "depth", "entity", "event_count", "c.*").where("value IS NOT NULL")
 
 
-def stats(profile: DataFrame, min_entities: int = C.PEER_MIN_ENTITIES, *, most: int | None = None) -> DataFrame:
-    """(scope_key, metric, median, sigma, peers) of groups and metrics with enough entities. ``most`` is
-    a bound on the profiles, which are counted if it isn't known."""
-    if (profile.count() if most is None else most) <= FEW_VALUES:  # a task may hold them
-        first = profile.groupBy("scope_key", "metric").agg(
-            F.percentile("value", F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("peers"), (F.max("value") - F.min("value")).alias("spread")
-        ).where(F.col("peers") >= min_entities)
-        mad = profile.join(first.select("scope_key", "metric", "median"), ["scope_key", "metric"]).groupBy("scope_key", "metric").agg(
-            (F.percentile(F.abs(F.col("value") - F.col("median")), F.lit(0.5)) * C.MAD_TO_SIGMA).alias("sigma")
-        )
-        return first.join(mad, ["scope_key", "metric"]).select(
-            "scope_key", "metric", "median", F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(F.col("spread") / 4).alias("sigma"), "peers"
-        )
-    keys, value = ("scope_key", "metric"), F.col("value")
-    values = profile.where(F.abs("value") < float("inf")).select(*keys, "value", F.lit(1).cast("long").alias("n"))
-    first = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("peers"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg(F.abs(value)).alias("mean"))
-    first = first.where(F.col("peers") >= min_entities)
-    unit = lambda c: F.when(c > 0, c).otherwise(F.lit(1.0))
-    wanted = quantiles.ranks(F.col("peers"), (0.5,)).alias("wanted")
-    at = quantiles.at_ranks(values, first.select(*keys, "lo", "hi", unit(F.col("mean")).alias("unit"), wanted), keys)
-    first = first.join(at, list(keys)).withColumn("median", quantiles.between(F.col("at"), F.col("peers"), 0.5)).drop("at")
-    away = values.join(first.select(*keys, "median"), list(keys)).select(*keys, F.abs(value - F.col("median")).alias("value"), "n")
-    farthest = F.greatest(F.col("hi") - F.col("median"), F.col("median") - F.col("lo"))
-    at = quantiles.at_ranks(away, first.select(*keys, F.lit(0.0).alias("lo"), farthest.alias("hi"), unit(farthest / 8).alias("unit"), wanted), keys)
-    sigma = quantiles.between(F.col("at"), F.col("peers"), 0.5) * C.MAD_TO_SIGMA
-    spread = (F.col("hi") - F.col("lo")) / 4
-    return first.join(at, list(keys)).select(*keys, "median", F.when(sigma > 0, sigma).otherwise(spread).alias("sigma"), "peers")
+def stats(profile: DataFrame, min_entities: int = C.PEER_MIN_ENTITIES) -> DataFrame:
+    """(scope_key, metric, median, sigma, peers) of groups and metrics with enough entities of finite values. The result is stored."""
+    values = profile.select("scope_key", "metric", "value", F.lit(1).alias("n"))
+    rows = quantiles.statistics(values, ("scope_key", "metric"), shares=(0.5,), least_values=min_entities, inflated=False)
+    sigma = F.col("mad") * C.MAD_TO_SIGMA
+    return rows.select("scope_key", "metric", F.col("q")[0].alias("median"), F.when(sigma > 0, sigma).otherwise((F.col("max") - F.col("min")) / 4).alias("sigma"), F.col("count").alias("peers"))
 
 
 def deviation(value: Column, median: Column, sigma: Column) -> Column:

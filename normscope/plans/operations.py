@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import baselines, cases, feedback, forest, peers, queue
+from ..operators import cases, feedback, queue
+from ..operators.detectors import Learned
 from ..sources import demo, ingest, tables
 from ..sources.tables import Catalog
 from ..spec import EventSpec, check_registration
@@ -63,26 +64,67 @@ def events(store: Catalog, spec: EventSpec, limit: int | None = None) -> DataFra
     return tables.typed_events(store.scan("events", schema=spec.name, order=("at", "external_key") if limit else (), limit=limit), spec)
 
 
-def run_detection(store: Catalog, spec: EventSpec, run_id: str | None = None, **options: object) -> str:
+def run_detection(store: Catalog, spec: EventSpec, run_id: str | None = None, *, version: int | None = None, **options: object) -> str:
     """A run over all stored events under the active policies: its cases are appended, but for those whose like
-    is open, and its metrics. A run that raises is stored as failed."""
-    run_id = run_id or uuid.uuid4().hex
+    is open, and its metrics. What it learns is stored as the next version; with ``version``, nothing is fitted and that version's tables
+    score. The run's row says running until it has ended; a run that raises is stored as failed."""
+    run_id, made_of = run_id or uuid.uuid4().hex, [version]
+    row = lambda rows: store.append("runs", rows.withColumn("schema_id", F.lit(spec.name)))
+    row(tables.unfinished_run(store.spark, run_id))
     try:
-        held = [r.asDict() for r in policies(store, spec.name).collect()] if store.exists("policies") else []  # what people have written
-        found = tables.materialised(detection.detect(events(store, spec), spec, policies=held, **options))
-        made = cases.to_cases(found, spec, store.tenant, run_id)
-        add_cases(store, made)
-        metrics = tables.run_metrics(found, run_id)
+        held = policies(store, spec.name) if store.exists("policies") else ()
+        learned = None if version is None else load_learned(store, spec, version)
+        found = tables.materialised(detection.detect(
+            events(store, spec), spec, policies=held, learned=learned, keep=lambda new: made_of.append(save_learned(store, spec, new)), models=store.path("model_files"), **options,
+        ))
+        add_cases(store, cases.to_cases(found, spec, store.tenant, run_id))
+        row(tables.run_metrics(found, run_id, made_of[-1]))
+        tables.discard(store.spark, found)
     except Exception as error:
-        store.append("runs", tables.failed_run(store.spark, run_id, error).withColumn("schema_id", F.lit(spec.name)))
+        row(tables.failed_run(store.spark, run_id, error))
         raise
-    store.append("runs", metrics.withColumn("schema_id", F.lit(spec.name)))
     store.audit("detection_run", "run", run_id)
     return run_id
 
 
 def run(store: Catalog, run_id: str) -> DataFrame:
-    return store.read("runs").where(F.col("run_id") == run_id)
+    """A run's last row."""
+    return store.latest("runs", "run_id").where(F.col("run_id") == run_id)
+
+
+#: Where what was learned is stored, and the part of ``detection.Learned`` that it is.
+LEARNED = {"scope_samples": "samples", "baselines": "numeric", "categorical_baselines": "categorical", "peer_groups": "peer_groups", "peer_findings": "peers", "models": "forests"}
+
+
+def save_learned(store: Catalog, spec: EventSpec, learned: Learned) -> int:
+    """Stores all that was learned as the next version. Its rows carry a token, and the version is there once the row that names the token is: of two
+    writers of one version the first row holds."""
+    token, known = uuid.uuid4().hex, _versions(store, spec)
+    version = ((known.agg(F.max("version")).first()[0] if known is not None else None) or 0) + 1
+    stamped = lambda rows: rows.withColumns({"schema_id": F.lit(spec.name), "version": F.lit(version), "token": F.lit(token), "created_at": F.current_timestamp()})
+    parts = [name for name, part in LEARNED.items() if getattr(learned, part) is not None]
+    for name in parts:
+        store.append(name, stamped(getattr(learned, LEARNED[name])))
+    store.append("learned", stamped(store.spark.range(1).select(F.array(*[F.lit(p) for p in parts]).alias("parts"))))
+    return version
+
+
+def _versions(store: Catalog, spec: EventSpec) -> DataFrame | None:
+    return store.scan("learned", schema=spec.name) if store.exists("learned") else None
+
+
+def load_learned(store: Catalog, spec: EventSpec, version: int | None = None) -> Learned:
+    """The tables of a version, or of the last."""
+    known = _versions(store, spec)
+    rows = known.where(F.lit(version is None) | (F.col("version") == F.lit(version))).orderBy(F.desc("version"), "created_at", "token").limit(1).collect() if known is not None else []
+    if not rows:
+        raise LookupError(f"no version {version} of {spec.name!r}")
+    parts = {}
+    for name, part in LEARNED.items():
+        if name in rows[0]["parts"] and store.exists(name):
+            parts[part] = store.scan(name, schema=spec.name).where(F.col("token") == rows[0]["token"]).drop("schema_id", "version", "token", "created_at", "tenant_id")
+    empty = store.spark.createDataFrame
+    return Learned(**{"numeric": empty([], detection.EMPTY_NUMERIC), "categorical": empty([], detection.EMPTY_CATEGORICAL)} | parts)
 
 
 def add_cases(store: Catalog, made: DataFrame) -> None:
@@ -100,13 +142,9 @@ def change_case(store: Catalog, changed: DataFrame) -> None:
 
 
 def learn(store: Catalog, spec: EventSpec, training: DataFrame) -> dict[str, int]:
-    """Learns baselines, peer groups and forests, and stores each as the next version."""
-    profile = peers.profiles(training, spec)
-    made = {
-        "baselines": baselines.numeric_baselines(training, spec.numeric, spec.dimensions) if spec.numeric else None,
-        "peer_groups": peers.stats(profile), "models": forest.fit(training, spec),
-    }
-    return {table: store.save_version(table, spec, rows) for table, rows in made.items() if rows is not None}
+    """Learns baselines, peer groups and forests, and stores them as the next version."""
+    version = save_learned(store, spec, detection.learn(training, spec, models=store.path("model_files")))
+    return {name: version for name in ("baselines", "peer_groups", "models")}
 
 
 def add_feedback(store: Catalog, given: DataFrame) -> None:
@@ -134,8 +172,10 @@ def deactivate_policy(store: Catalog, policy_id: str) -> None:
 
 
 def policies(store: Catalog, schema_id: str) -> DataFrame:
-    """Active policies of a schema, newest first."""
-    return queue.newest(tables.active_policies(store.latest("policies", "id"), schema_id))
+    """Active policies of a schema, newest first, with their place as ``ordinal``."""
+    rows = tables.active_policies(store.latest("policies", "id"), schema_id)
+    place = F.row_number().over(Window.orderBy(F.desc("created_at"), "id"))  # what people have written: one task orders it
+    return queue.newest(rows.withColumn("ordinal", place))
 
 
 def promote(store: Catalog, spec: EventSpec, labelled: DataFrame, *, weights: bool = False, threshold: bool = False, suppress: bool = False) -> EventSpec:

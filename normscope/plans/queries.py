@@ -205,7 +205,10 @@ POLICIES = (
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases.gate(tables.materialised(_made_results(spark, sf_dir)), logs.EVENTS, cases.GateConfig(), POLICIES)
+    """Under the policies as a table."""
+    rows = [(k, p["id"], p["match"], p["detectors"], p["max_score"], p.get("active", True)) for k, p in enumerate(POLICIES)]
+    held = spark.createDataFrame(rows, "ordinal int, id string, match map<string,string>, detectors array<string>, max_score double, active boolean")
+    return cases.gate(tables.materialised(_made_results(spark, sf_dir)), logs.EVENTS, cases.GateConfig(), held)
 
 
 def policy_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:

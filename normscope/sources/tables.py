@@ -6,24 +6,31 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..spec import EventSpec
 
 
+_LOCAL: list[str] = []
+
+
 def shared_path(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; below a local folder where that is unset, if driver and
+    """A fresh path below ``spark.checkpoint.dir``; below one local folder where that is unset, if driver and
     executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        root = f"file://{tempfile.mkdtemp(prefix='normscope-')}"
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="normscope-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+        root = f"file://{_LOCAL[0]}"
     return f"{root.rstrip('/')}/normscope-{purpose}-{uuid.uuid4().hex}"
 
 
@@ -33,7 +40,18 @@ def materialised(rows: DataFrame) -> DataFrame:
     aren't pushed down as one huge expression."""
     path = shared_path(rows.sparkSession, "rows")
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    stored = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(spark: SparkSession, *stored: DataFrame | None) -> None:
+    """Deletes tables of ``materialised`` once what was made of them is stored itself."""
+    for rows in stored:
+        at = getattr(rows, "_stored_at", None)
+        if at is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Catalog:
@@ -124,20 +142,38 @@ def write_csv(rows: DataFrame, path: str, columns: Sequence[str], decimals: dict
     rows.select(*shown).write.mode("overwrite").csv(path, header=True)
 
 
-def run_metrics(decided: DataFrame, run_id: str) -> DataFrame:
-    kinds = {"created": "cases_created", "suppressed": "suppressed", "duplicate": "duplicates", "capped": "capped"}
-    return decided.agg(F.count(F.lit(1)).alias("scored"), *[F.count_if(F.col("decision.kind") == k).alias(n) for k, n in kinds.items()]).withColumns(
-        {"run_id": F.lit(run_id), "status": F.lit("completed"), "finished_at": F.current_timestamp(), "error": F.lit(None).cast("string")}
-    )
+COUNTS = {"created": "cases_created", "suppressed": "suppressed", "duplicate": "duplicates", "capped": "capped"}
+#: A run's row, of which the last revision holds: running, then completed or failed.
+RUN = "scored long, cases_created long, suppressed long, duplicates long, capped long, detector_failures map<string,long>, version long, run_id string, status string, finished_at timestamp, error string, revision long"
+
+
+def run_metrics(decided: DataFrame, run_id: str, version: int | None = None) -> DataFrame:
+    """What a run came to; ``detector_failures`` counts the events that each detector raised on, ``version`` is that of the tables it scored with."""
+    from ..operators.detectors import is_failure
+
+    failed = decided.select(F.explode(F.filter("results", is_failure)).alias("r")).groupBy("r.detector").agg(F.count(F.lit(1)).alias("n"))
+    failed = failed.agg(F.map_from_entries(F.collect_list(F.struct("detector", "n"))).alias("detector_failures"))  # a row for each detector
+    counts = decided.agg(F.count(F.lit(1)).alias("scored"), *[F.count_if(F.col("decision.kind") == k).alias(n) for k, n in COUNTS.items()])
+    rows = counts.crossJoin(failed).withColumns({"version": F.lit(version).cast("long"), "run_id": F.lit(run_id), "status": F.lit("completed"), "finished_at": F.current_timestamp(), "error": F.lit(None).cast("string")})
+    return _revised(rows)
+
+
+def _revised(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("revision", F.unix_micros(F.current_timestamp()))
+
+
+def unfinished_run(spark: SparkSession, run_id: str, status: str = "running", error: Exception | None = None) -> DataFrame:
+    """The row of a run that has begun, or has raised."""
+    values = {"run_id": F.lit(run_id), "status": F.lit(status), "error": F.lit(None if error is None else f"{type(error).__name__}: {error}"[:1000]), "finished_at": F.current_timestamp() if error else F.lit(None)}
+    values |= {n: F.lit(0) for n in ("scored", *COUNTS.values())}
+    none = {n: F.lit(None) for n in ("detector_failures", "version", "revision")}
+    kinds = dict(part.split(" ") for part in RUN.split(", "))
+    return _revised(spark.range(1).select(*[(values | none)[c].cast(kind).alias(c) for c, kind in kinds.items()]))
 
 
 def failed_run(spark: SparkSession, run_id: str, error: Exception) -> DataFrame:
     """The metrics row of a run that raised."""
-    none = {n: F.lit(0).cast("long") for n in ("scored", "cases_created", "suppressed", "duplicates", "capped")}
-    return spark.range(1).select(
-        *[v.alias(k) for k, v in none.items()], F.lit(run_id).alias("run_id"), F.lit("failed").alias("status"), F.current_timestamp().alias("finished_at"),
-        F.lit(f"{type(error).__name__}: {error}"[:1000]).alias("error"),
-    )
+    return unfinished_run(spark, run_id, "failed", error)
 
 
 Channel = Callable[[DataFrame], None]
@@ -155,10 +191,39 @@ class Recorder:
 
 
 def deliver(payloads: DataFrame, channel: Channel) -> DataFrame:
-    """Hands payloads to a channel; the rows with the outcome."""
+    """Hands payloads as a table to a channel; the rows with the outcome, which is one for all."""
     try:
         channel(payloads)
-        status = "delivered"
-    except Exception:
-        status = "failed"
-    return payloads.withColumn("status", F.lit(status))
+        status, error = "delivered", None
+    except Exception as e:
+        status, error = "failed", f"{type(e).__name__}: {e}"[:300]
+    return payloads.withColumns({"status": F.lit(status), "error": F.lit(error).cast("string")})
+
+
+def deliver_each(payloads: DataFrame, send: Callable[[str, dict], None], *, key: str = "exception_id", tries: int = 3, known: DataFrame | None = None) -> DataFrame:
+    """Hands each payload to ``send(idempotency key, payload)`` in the tasks that hold it, and again while it raises, ``tries`` times at most. The
+    rows with ``delivery_key``, ``status``, ``attempts`` and ``error`` of each, stored: one that fails doesn't hold back others. Payloads whose key ``known`` has as delivered
+    are left out; the key is a digest of the payload, so a task that runs again sends what the receiver can tell to be the same."""
+    kinds = T.StructType([*payloads.schema.fields, *T.StructType.fromDDL("delivery_key string, status string, attempts int, error string").fields])
+    names = payloads.columns
+    rows = payloads.withColumn("delivery_key", F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.to_json(F.struct(*names))), 256))
+    if known is not None:
+        rows = rows.join(known.where("status = 'delivered'").select("delivery_key"), "delivery_key", "left_anti").select(*names, "delivery_key")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = []
+            for row in part.to_pylist():
+                digest, error = row.pop("delivery_key"), None
+                for attempt in range(1, tries + 1):
+                    try:
+                        send(digest, row)
+                        error = None
+                        break
+                    except Exception as e:
+                        error = f"{type(e).__name__}: {e}"[:300]
+                found.append(("failed" if error else "delivered", attempt, error))
+            status, attempts, errors = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(status, pa.string()), pa.array(attempts, pa.int32()), pa.array(errors, pa.string())], names=[*part.schema.names, "status", "attempts", "error"])
+
+    return materialised(rows.mapInArrow(run, kinds))

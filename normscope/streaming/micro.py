@@ -1,20 +1,24 @@
-"""Structured Streaming: idempotent ingestion, and scoring against stored baselines."""
+"""Structured Streaming: idempotent ingestion, walk-forward scoring by all detectors, and the fold into cases.
+
+``fused`` gives every event the score that a batch run gives it. Events wait in their entity's state until the watermark has passed them and are
+then walked in order of time, whatever order and micro-batches they came in. ``FoldSink`` folds what comes out into cases.
+"""
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .. import constants as C
 from ..functions import scalars as S
-from ..operators import baselines, detectors
-from ..plans.detection import Learned
+from ..operators import baselines, cases, detectors, ensemble, walks
+from ..operators.detectors import Learned
 from ..spec import EventSpec
 
 WATERMARK = "72 hours"
@@ -45,58 +49,156 @@ def hourly_levels(stream: DataFrame, spec: EventSpec, feature: str, watermark: s
     )
 
 
-def walked(stream: DataFrame, spec: EventSpec) -> DataFrame:
-    """Every streamed event with ``rolling_quantile`` and ``change_point``: its scores against its entity's last
-    HISTORY_LIMIT events before it, as a batch run gives them (null: too little history). The state is that
-    history, a few values an event; events of a micro-batch are taken in order of time, then id."""
-    numeric, dimensions = list(spec.numeric), list(spec.dimensions)
-    kept = stream.select(*spec.columns)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, rolling_quantile double, change_point double"
-
-    def walk(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        places, values = pickle.loads(state.get[0]) if state.exists else ([], np.zeros((0, len(numeric))))
-        rows = pd.concat(list(parts)).sort_values([spec.time, spec.event_id], kind="stable")
-        x = rows[numeric].to_numpy(dtype=float)
-        where = [tuple("" if v is None or v != v else str(v) for v in r) for r in rows[dimensions].itertuples(index=False)]
-        found = np.full((len(rows), 2), np.nan)
-        for k in range(len(rows)):
-            for column, least, judge in ((0, C.ROLLING_MIN_HISTORY, _rolling), (1, C.CHANGE_MIN_HISTORY, _shifted)):
-                past = _comparable(places, values, where[k], least)
-                if len(past) >= least:
-                    found[k, column] = max((judge(past[:, j], x[k, j]) for j in range(len(numeric)) if x[k, j] == x[k, j]), default=0.0)
-            places, values = (places + [where[k]])[-C.HISTORY_LIMIT :], np.vstack([values, x[k]])[-C.HISTORY_LIMIT :]
-        state.update((pickle.dumps((places, values)),))
-        yield rows.assign(rolling_quantile=found[:, 0], change_point=found[:, 1])
-
-    return kept.groupBy(spec.entity).applyInPandasWithState(walk, schema, "history binary", "append", GroupStateTimeout.NoTimeout)
-
-
-def _comparable(places: list[tuple], values: np.ndarray, where: tuple, least: int) -> np.ndarray:
-    """The history that agrees on the deepest prefix of the dimensions with enough events, else on the first."""
-    past = values
-    for depth in range(len(where), 0, -1):
-        past = values[[i for i, p in enumerate(places) if p[:depth] == where[:depth]]]
-        if len(past) >= least:
-            return past
-    return past
-
-
-def _rolling(past: np.ndarray, value: float) -> float:
-    """As ``detectors.rolling_quantile`` for one feature."""
-    past = past[~np.isnan(past)]
-    informative = past[past != 0]
-    if len(past) < C.ROLLING_MIN_HISTORY:
-        return 0.0
-    if (len(past) - len(informative)) / len(past) >= C.ZERO_INFLATION_SHARE:
-        if value == 0 or len(informative) < C.MIN_INFORMATIVE:
-            return 0.0
-        past = informative
-    upper, median = np.quantile(past, (C.ROLLING_QUANTILE, 0.5))
-    spread = max(upper - median, abs(median) * C.ROLLING_SPREAD_FLOOR)
-    ratio = (value - upper) / spread if spread > 0 else 0.0
-    return float(ratio / (ratio + 2.0)) if ratio > 0 else 0.0
-
-
-def _shifted(past: np.ndarray, value: float) -> float:
-    found = detectors.best_split(np.append(past[~np.isnan(past)], value)) if (~np.isnan(past)).sum() >= C.CHANGE_MIN_HISTORY else None
-    return found[1] if found and found[1] >= C.CHANGE_STRENGTH else 0.0
+#: The state store that keyed state with timers needs.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Milliseconds without events after which an entity's history goes.
+TIME_TO_LIVE = 400 * 86_400_000
+
+
+class Walker(StatefulProcessor):
+    """One entity: events that wait for the watermark, and its last HISTORY_LIMIT events. An event that comes when the watermark has passed its time is
+    dropped, and so is one whose id waits already: what comes twice is either. The entity's state goes after ``ttl`` milliseconds without events."""
+
+    def __init__(self, names: list[str], features: int, id_at: int, ttl: int):
+        self.names, self.features, self.id_at, self.ttl = names, features, id_at, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "row binary")
+        self.history = handle.getValueState("history", "rows binary")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = self._held()
+        known, fresh = {r[0][self.id_at] for r in held}, []
+        for part in rows:
+            for *row, where, values, at in part[[*self.names, "_where", "_values", "_at"]].itertuples(index=False, name=None):
+                if at // 1000 > passed and row[self.id_at] not in known:
+                    known.add(row[self.id_at])
+                    fresh.append((tuple(row), tuple(where), tuple(None if v is None or v != v else float(v) for v in values), int(at)))
+        if fresh:
+            self.waiting.appendList([(pickle.dumps(r),) for r in fresh])
+            self._wake(min(r[3] for r in fresh) // 1000)
+        yield self._frame([], [], [])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = sorted(self._held(), key=lambda r: (r[3], r[0][self.id_at]))
+        ready, later = [r for r in held if r[3] // 1000 <= passed], [r for r in held if r[3] // 1000 > passed]
+        past, last = pickle.loads(self.history.get()[0]) if self.history.exists() else ([], None)
+        self.timer.clear()
+        if not held and last is not None and last // 1000 + self.ttl <= passed:
+            self.history.clear()
+            yield self._frame([], [], [])
+            return
+        walk, found = walks.Walk(self.features, history=past), {k: [] for k in walks.KINDS}
+        for _, where, values, _ in ready:
+            for kind in walks.KINDS:
+                found[kind].append(walk.judged(kind, where, values))
+            walk.push(where, values)
+        if ready:
+            last = ready[-1][3]
+            self.history.update((pickle.dumps((list(walk.events), last)),))
+            self.waiting.clear()
+            if later:
+                self.waiting.put([(pickle.dumps(r),) for r in later])
+        if later:
+            self._wake(later[0][3] // 1000)
+        elif last is not None:
+            self._wake(last // 1000 + self.ttl)
+        yield self._frame([r[0] for r in ready], found["rq"], found["cp"])
+
+    def close(self) -> None:
+        pass
+
+    def _held(self) -> list[tuple]:
+        return [pickle.loads(r[0]) for r in self.waiting.get()] if self.waiting.exists() else []
+
+    def _wake(self, at: int) -> None:
+        """One timer, at the earliest place that is waited for."""
+        if self.timer.exists():
+            if self.timer.get()[0] <= at:
+                return
+            self.handle.deleteTimer(self.timer.get()[0])
+        self.timer.update((at,))
+        self.handle.registerTimer(at)
+
+    def _frame(self, rows: list[tuple], rolling: list[tuple], change: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=self.names).astype(object)
+        for kind, found, fields in (("rq", rolling, ("n", "nz", "upper", "median")), ("cp", change, ("split", "strength", "before", "after"))):
+            out[kind] = pd.Series([{"n": n, "parts": [dict(zip(fields, p, strict=True)) for p in parts], "error": error} for n, parts, error in found], dtype=object)
+        return out
+
+
+def walked(stream: DataFrame, spec: EventSpec, *, watermark: str = WATERMARK, ttl: int = TIME_TO_LIVE) -> DataFrame:
+    """Every streamed event, once the watermark has passed it, with ``rq`` and ``cp`` of ``walks``: what its entity's last HISTORY_LIMIT
+    events before it say, as in a batch. The session's state store must be STATE_STORE."""
+    names = spec.columns
+    kept = stream.select(*names).withWatermark(spec.time, watermark)
+    rows = kept.withColumns({
+        "_where": F.array(*walks.places(spec)).cast("array<string>"), "_values": F.array(*[F.col(f).cast("double") for f in spec.numeric]).cast("array<double>"),
+        "_at": F.coalesce(F.unix_micros(F.col(spec.time).cast("timestamp")), F.lit(0)), "_entity": F.col(spec.entity).cast("string"),
+    })
+    schema = T.StructType([*kept.select(*names).schema.fields, *(T.StructType.fromDDL(f"{k} {kind}")[0] for k, kind in walks.KINDS.items())])
+    walker = Walker(names, len(spec.numeric), names.index(spec.event_id), ttl)
+    return rows.groupBy("_entity").transformWithStateInPandas(walker, schema, "Append", "eventTime")
+
+
+def fused(stream: DataFrame, learned: Learned, spec: EventSpec, *, watermark: str = WATERMARK, ttl: int = TIME_TO_LIVE) -> DataFrame:
+    """Streamed events with the fused score of all six detectors, as a batch run with these tables gives it."""
+    run = detectors.Run(spec, None, learned, F.lit(True))
+    rows = walked(stream, spec, watermark=watermark, ttl=ttl)
+    for detector in (d for d in map(detectors.REGISTRY.get, C.DETECTORS) if d.on_log):
+        rows = detectors.planned(detector, rows, run)
+    rows = baselines.resolve_scope(rows, learned.samples, spec.dimensions)
+    for detector in (d for d in map(detectors.REGISTRY.get, C.DETECTORS) if not d.on_log):
+        rows = detectors.planned(detector, rows, run)
+    return ensemble.fuse(rows, spec)
+
+
+RESOLUTION = "entity string, case_id string, at timestamp"
+
+
+class FoldSink:
+    """For ``foreachBatch``: folds each micro-batch of scored events into cases. What is open is a table below ``folder``, one version for each batch, and
+    so are the decisions, written under the batch's number: a batch that comes again writes the same, so nothing comes twice. A case closes from the time
+    of its resolution on; ``resolutions`` are read as they are when a batch comes, and may come as a stream that appends to them.
+
+    Batches must come in order of time within each entity, as ``fused`` gives them; then any cut of a log into batches gives the decisions of the batch fold."""
+
+    def __init__(self, spark: SparkSession, folder: str, spec: EventSpec, config: cases.GateConfig | None = None, policies: object = (), resolutions: str | None = None):
+        self.spark, self.folder, self.spec = spark, folder.rstrip("/"), spec
+        self.config, self.policies, self.resolutions = config or cases.GateConfig(min_score=spec.min_score), policies, resolutions
+
+    def _path(self, table: str, batch: int) -> str:
+        return f"{self.folder}/{table}/batch={batch}"
+
+    def _exists(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def __call__(self, scored: DataFrame, batch: int) -> None:
+        done = f"{self._path('decisions', batch)}/_SUCCESS"
+        if self._exists(done):  # a replay
+            return
+        gated = cases.gate(scored, self.spec, self.config, self.policies)
+        before = self.spark.read.parquet(self._path("open", batch - 1)) if self._exists(f"{self._path('open', batch - 1)}/_SUCCESS") else None
+        closed = self.spark.read.schema(RESOLUTION).parquet(self.resolutions) if self.resolutions and self._exists(self.resolutions) else None
+        folded = cases.fold(cases.candidates_of(gated, self.spec), self.config, before, resolutions=closed, keep_open=True)
+        path = self._path("folded", batch)
+        folded.write.mode("overwrite").parquet(path)
+        folded = self.spark.read.parquet(path)
+        still = folded.where("kind = 'open'").select("entity", F.col("event_id").alias("case_id"), F.timestamp_micros("at").alias("at"), "fingerprint", "until")
+        still.write.mode("overwrite").parquet(self._path("open", batch))
+        folded.where("kind <> 'open'").select("entity", "event_id", "kind", "ref").write.mode("overwrite").parquet(self._path("decisions", batch))
+        for old in (path, self._path("open", batch - 2)):
+            self._delete(old)
+
+    def decisions(self) -> DataFrame:
+        """(entity, event_id, kind, ref, batch) of all batches."""
+        return self.spark.read.parquet(f"{self.folder}/decisions")

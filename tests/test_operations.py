@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from normscope.operators import baselines, cases, detectors, history, queue
+from normscope.operators import baselines, cases, detectors, history, peers, quantiles, queue
 from normscope.plans import detection, operations
 from normscope.sources import ingest, logs, tables
 from normscope.sources.tables import Catalog
@@ -118,15 +118,17 @@ def test_explained_cases(spark):
     assert told.where("summary LIKE '%score%'").count() == 2 and all("ZeroDivision" in r["error"] for r in calls.collect())
 
 
-@pytest.mark.parametrize("few", [0, 10**9])
-def test_statistics_equal_percentiles(spark, monkeypatch, few):
-    monkeypatch.setattr(baselines, "FEW_VALUES", few)
+@pytest.mark.parametrize("leaf", [1, 40, 2_000])
+def test_statistics_equal_percentiles(spark, monkeypatch, leaf):
+    monkeypatch.setattr(quantiles, "LEAF", leaf)
     r = np.random.default_rng(5)
     parts = {
         "even": r.uniform(-5, 5, 401), "tail": np.exp(r.normal(0, 3, 500)), "zeros": np.where(r.random(300) < 0.7, 0.0, r.normal(0, 4, 300)), "one": np.full(40, 3.25),
         "far": 1e9 + r.normal(0, 1e-3, 200), "few": np.array([1.0, 2.0, 9.0]), "signs": np.concatenate([np.zeros(60), -np.arange(1.0, 21), np.arange(1.0, 11)]), "big": np.array([1e300, -1e300, 5.0, 7.0]),
+        "next": 1000 + np.arange(300) * 2.0**-43, "tiny": np.array([5e-324, -5e-324, 1e-310, 3e-308, 1e-300]), "two": np.array([0.1] * 20 + [0.2] * 20),
     }
-    values = spark.createDataFrame([(k, float(v), 1) for k, x in parts.items() for v in x], "g string, value double, n long")
+    odd = [("even", v, 1) for v in (float("nan"), float("inf"), float("-inf"), None)]
+    values = spark.createDataFrame([(k, float(v), 1) for k, x in parts.items() for v in x] + odd, "g string, value double, n long")
     got = {x["g"]: x for x in baselines.numeric_stats(values, ["g"], digits=None).collect()}
     assert got.keys() == parts.keys()
     for k, x in parts.items():
@@ -138,6 +140,32 @@ def test_statistics_equal_percentiles(spark, monkeypatch, few):
         assert (got[k]["count"], got[k]["informative"], got[k]["min"], got[k]["max"]) == (x.size, y.size, y.min(), y.max())
 
 
+def test_a_crowd_and_an_outlier(spark, monkeypatch):
+    """100,000 values near one and one far away: no ordering sees more than LEAF rows."""
+    ordered = []
+    plain = quantiles.materialised
+
+    def watched(rows):
+        out = plain(rows)
+        if "before" in out.columns and "least" in out.columns:
+            ordered.append(out.where((F.col("rows") <= quantiles.LEAF) & (F.col("least") < F.col("most"))).agg(F.max("rows")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(quantiles, "materialised", watched)
+    near = spark.range(100_000).select(F.lit("g").alias("g"), (1000 + F.col("id") * 1e-9).alias("value"), F.lit(1).alias("n"))
+    found = baselines.numeric_stats(near.unionByName(spark.createDataFrame([("g", 1e15, 1)], "g string, value double, n int")), ["g"], digits=None).first()
+    x = np.append(1000 + np.arange(100_000) * 1e-9, 1e15)
+    assert found["median"] == np.median(x) and found["mad"] == np.median(np.abs(x - np.median(x))) and found["max"] == 1e15
+    assert len(ordered) >= 3 and ordered[0] == 0 and 0 < max(ordered) <= quantiles.LEAF  # the first cell is cut, then its parts are ordered
+
+
+@pytest.mark.parametrize("leaf", [1, 2_000])
+def test_peers_leave_out_what_is_not_finite(spark, monkeypatch, leaf):
+    monkeypatch.setattr(quantiles, "LEAF", leaf)
+    profile = spark.createDataFrame([("*", "mean:v", v) for v in [*map(float, range(1, 10)), float("inf"), float("nan")]], "scope_key string, metric string, value double")
+    assert tuple(peers.stats(profile).first())[2:] == (5.0, 2 * 1.4826, 9)
+
+
 def test_cut_of_a_bulk_load(spark, monkeypatch):
     """Everything at one instant, and more rows than one task may order."""
     monkeypatch.setattr(history, "FEW_ROWS", 50)
