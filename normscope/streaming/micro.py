@@ -57,7 +57,8 @@ TIME_TO_LIVE = 400 * 86_400_000
 
 class Walker(StatefulProcessor):
     """One entity: events that wait for the watermark, and its last HISTORY_LIMIT events. An event that comes when the watermark has passed its time is
-    dropped, and so is one whose id waits already: what comes twice is either. The entity's state goes after ``ttl`` milliseconds without events."""
+    dropped, and so is one whose id waits already: what comes twice is either. An event that follows its entity's last one after ``ttl`` milliseconds or
+    more starts anew, and the state goes when the watermark tells that no other can come."""
 
     def __init__(self, names: list[str], features: int, id_at: int, ttl: int):
         self.names, self.features, self.id_at, self.ttl = names, features, id_at, ttl
@@ -73,7 +74,7 @@ class Walker(StatefulProcessor):
         held = self._held()
         known, fresh = {r[0][self.id_at] for r in held}, []
         for part in rows:
-            for *row, where, values, at in part[[*self.names, "_where", "_values", "_at"]].itertuples(index=False, name=None):
+            for *row, where, values, at in part[[*self.names, "walk_where", "walk_values", "walk_at"]].itertuples(index=False, name=None):
                 if at // 1000 > passed and row[self.id_at] not in known:
                     known.add(row[self.id_at])
                     fresh.append((tuple(row), tuple(where), tuple(None if v is None or v != v else float(v) for v in values), int(at)))
@@ -93,12 +94,14 @@ class Walker(StatefulProcessor):
             yield self._frame([], [], [])
             return
         walk, found = walks.Walk(self.features, history=past), {k: [] for k in walks.KINDS}
-        for _, where, values, _ in ready:
+        for _, where, values, at in ready:
+            if last is not None and at // 1000 - last // 1000 >= self.ttl:
+                walk = walks.Walk(self.features)
+            last = at
             for kind in walks.KINDS:
                 found[kind].append(walk.judged(kind, where, values))
             walk.push(where, values)
         if ready:
-            last = ready[-1][3]
             self.history.update((pickle.dumps((list(walk.events), last)),))
             self.waiting.clear()
             if later:
@@ -137,12 +140,12 @@ def walked(stream: DataFrame, spec: EventSpec, *, watermark: str = WATERMARK, tt
     names = spec.columns
     kept = stream.select(*names).withWatermark(spec.time, watermark)
     rows = kept.withColumns({
-        "_where": F.array(*walks.places(spec)).cast("array<string>"), "_values": F.array(*[F.col(f).cast("double") for f in spec.numeric]).cast("array<double>"),
-        "_at": F.coalesce(F.unix_micros(F.col(spec.time).cast("timestamp")), F.lit(0)), "_entity": F.col(spec.entity).cast("string"),
+        "walk_where": F.array(*walks.places(spec)).cast("array<string>"), "walk_values": F.array(*[F.col(f).cast("double") for f in spec.numeric]).cast("array<double>"),
+        "walk_at": F.coalesce(F.unix_micros(F.col(spec.time).cast("timestamp")), F.lit(0)), "walk_entity": F.col(spec.entity).cast("string"),
     })
     schema = T.StructType([*kept.select(*names).schema.fields, *(T.StructType.fromDDL(f"{k} {kind}")[0] for k, kind in walks.KINDS.items())])
     walker = Walker(names, len(spec.numeric), names.index(spec.event_id), ttl)
-    return rows.groupBy("_entity").transformWithStateInPandas(walker, schema, "Append", "eventTime")
+    return rows.groupBy("walk_entity").transformWithStateInPandas(walker, schema, "Append", "eventTime")
 
 
 def fused(stream: DataFrame, learned: Learned, spec: EventSpec, *, watermark: str = WATERMARK, ttl: int = TIME_TO_LIVE) -> DataFrame:
