@@ -86,7 +86,38 @@ SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN difference >= (SEL
 FROM ruled JOIN scored ON scored.url = coalesce(ruled.url, '')"""
 
 
+_LINE_DEDUP = f"""
+WITH lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+keyed AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM lines),
+shared AS (SELECT key, max(doc_id) AS keeper FROM (SELECT DISTINCT key, doc_id FROM keyed WHERE length(key) >= 20) GROUP BY key HAVING count(*) >= 3),
+judged AS (SELECT doc_id, line, i, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM keyed LEFT JOIN shared USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM judged GROUP BY doc_id"""
+
+
+def _vector_codes() -> str:
+    """The whole of op13: each round compares all parts with all entries."""
+    nearest = lambda r: f"""
+a{r} AS MATERIALIZED (SELECT vec_id, part, any_value(x) AS x, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM (
+  SELECT vec_id, p.part, x, entry, list_sum([(t[1] - t[2]) * (t[1] - t[2]) FOR t IN list_zip(x, c)])::BIGINT AS d FROM p JOIN c{r} USING (part)) GROUP BY vec_id, part)"""
+    moved = lambda r: f"""
+m{r} AS (SELECT part, entry, list(mean ORDER BY i) AS mean FROM (
+  SELECT part, entry, i, floor(sum(v)::DOUBLE / count(*))::BIGINT AS mean FROM (SELECT part, entry, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY part, entry, i) GROUP BY part, entry),
+c{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(mean, c) AS c FROM c{r} LEFT JOIN m{r} USING (part, entry))"""
+    rounds = ",".join(f"{nearest(r)},{moved(r)}" for r in range(4))
+    return f"""
+WITH v AS (SELECT vec_id, label, [floor(1024 * y::DOUBLE)::BIGINT FOR y IN embedding] AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, x[part * (len(x) // 4) + 1 : (part + 1) * (len(x) // 4)] AS x FROM v, range(4) AS t(part)),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 256),
+{rounds},{nearest(4)},
+codes AS (SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(n::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(c) AS n, generate_subscripts(c, 1) AS i FROM c4))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM codes JOIN v USING (vec_id), books"""
+
+
 ORACLES = {
+    "op11_line_dedup": _LINE_DEDUP,
+    "op13_vector_codes": _vector_codes(),
     "op6_ngram_join": _NGRAM_JOIN,
     "op7_url_filter": _url_filter(),
     "quality_base": _quality_base(),

@@ -464,7 +464,8 @@ NETWORK = "array<struct<kind:string,start:long,end:long>>"
 
 
 def detect(df: DataFrame, id_col: str, text_col: str, *, model: BiLstmCrf | None = None) -> DataFrame:
-    """(id, spans, network, score) of every row."""
+    """(id, spans, network, score) of every row. ``network`` and ``score`` are the network's own word on what it decodes: the windows that hold
+    a digit or ``@``, and on from there. They are null for a text without such a window, which it doesn't decode: no span of it could hold."""
     model = model or standard_model()
     weights = df.sparkSession.sparkContext.broadcast((model.hidden, model.p))  # some 100 KB
 
@@ -475,8 +476,8 @@ def detect(df: DataFrame, id_col: str, text_col: str, *, model: BiLstmCrf | None
         raw, at = spans.blob(text)
         may = np.flatnonzero(spans.per_text(((raw >= 0x30) & (raw <= 0x39)) | (raw == 0x40), at))
         listed: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-        network: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-        score = np.zeros(batch.num_rows)
+        network: list[list[dict] | None] = [None] * batch.num_rows
+        score: list[float | None] = [None] * batch.num_rows
         names = ("kind", "start", "end", "added", "confirmed")
         for i, x in zip(may.tolist(), examine(net, text.take(pa.array(may)).to_pylist()), strict=True):
             listed[i] = [dict(zip(names, s, strict=True)) for s in x.spans]

@@ -95,6 +95,19 @@ def test_op3(spark, small, texts):
     assert np.mean(judged) > 0.9
 
 
+def test_op3_against_all_distances(spark, small, texts):
+    """Profiles, distances and scores of every document anew."""
+    got = rows(queries.op3_language_id, spark, small)
+    lang = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{small}/documents.parquet'").fetchall())
+    learned = {x: profile([texts[i] for i, y in lang.items() if y == x and zlib.crc32(str(i).encode()) % 4 != 2], 300) for x in {*lang.values()} - {None}}
+    known = {x: {g: k for k, g in enumerate(p)} for x, p in learned.items()}
+    for i, t in texts.items():
+        own = profile([t], 300)
+        distance = {x: sum(abs(k - p[g]) if g in p else 300 for k, g in enumerate(own)) for x, p in known.items()}
+        assert got[i]["lang_pred"] == (min(distance, key=lambda x: (distance[x], x)) if own else "und")
+        assert got[i]["score"] == pytest.approx(1 - min(distance.values()) / (300 * len(own)) if own else 0, abs=1e-12)
+
+
 def test_op4(spark, small, texts):
     got = rows(queries.op4_mixing, spark, small)
     source = dict(duckdb.sql(f"SELECT doc_id, source FROM '{small}/documents.parquet'").fetchall())

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from normscope.llm import line_dedup, periodic_runs, queries, vector_codes
+from normscope.llm import line_dedup, oracle, periodic_runs, queries, vector_codes
 
 SIX = " \t\n\v\f\r"
 
@@ -25,6 +25,18 @@ def texts(small):
     return {i: t or "" for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{small}/documents.parquet'").fetchall()}
 
 
+@pytest.mark.parametrize("name", ["op11_line_dedup", "op13_vector_codes"])
+def test_against_sql(spark, small, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    wanted = con.execute(oracle.ORACLES[name])
+    order = [d[0] for d in wanted.description]
+    got = queries.QUERIES[name](spark, small)
+    assert sorted(order) == sorted(got.columns)
+    assert sorted(map(str, wanted.fetchall())) == sorted(str(tuple(r[c] for c in order)) for r in got.collect())
+
+
 # lines
 
 
