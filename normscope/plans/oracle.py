@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .. import constants as C
 
 EV = """ev AS (SELECT event_id, user_id, ts, event_type, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
@@ -106,6 +108,17 @@ LINE_PEERS = _peers(f"WITH {LI}", "li", ("l_returnflag", "l_linestatus"), "l_sup
 EVENT_PEERS = _peers(f"WITH {TRAIN}", "tr", ("event_type",), "user_id", EVENT_FEATURES, ("error_cost",))
 
 
+def _fused(n: int) -> str:
+    """CTEs from ``mr`` (event_id, i, detector, w, applies, s, n_reasons) of n detectors and ``ev`` up to ``en``, fused."""
+    return f"""ap AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY s DESC, i) AS place FROM mr WHERE applies),
+ag AS (SELECT event_id, count(*) AS n_applicable, count(*) FILTER (WHERE s >= {C.FIRING_SCORE}) AS n_firing, sum(n_reasons) AS n_reasons, max(s) AS peak, sum(w * s) AS ws, sum(w) AS sw,
+  max(w) FILTER (WHERE place = 1) AS w1, max(detector) FILTER (WHERE place = 1) AS first_detector FROM ap GROUP BY event_id),
+en AS (SELECT event_id, coalesce(n_applicable, 0) AS n_applicable, coalesce(n_firing, 0) AS n_firing, coalesce(n_reasons, 0)::BIGINT AS n_reasons,
+  CASE WHEN peak > 0 THEN first_detector END AS strongest, coalesce(ws / nullif(sw, 0), 0.0) AS weighted_mean,
+  round(100 * CASE WHEN n_applicable IS NULL THEN 0.0 ELSE least(1.0, peak + (1 - peak) * (CASE WHEN n_applicable >= 2 AND sw - w1 > 1e-12 THEN (ws - w1 * peak) / (sw - w1) ELSE 0.0 END) * {C.AGREEMENT_WEIGHT}) END, 2) AS score,
+  CASE WHEN coalesce(n_applicable, 0) = 0 THEN 0.0 ELSE round(least(0.95, 0.35 + 0.35 * n_applicable / {n}.0::DOUBLE + 0.30::DOUBLE * n_firing / n_applicable), 4) END AS confidence FROM ev LEFT JOIN ag USING (event_id))"""
+
+
 def _made() -> str:
     """CTEs up to ``en``: the made results of the six detectors, fused."""
     weights = [C.DETECTOR_WEIGHTS[d] for d in C.DETECTORS]
@@ -114,13 +127,7 @@ def _made() -> str:
   CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE ((event_id * {37 + 12 * i} + {11 * i}) % 997) / 997.0::DOUBLE END AS s, '{("value", "k")[i % 2]}' AS feature FROM ev"""
         for i, (d, w) in enumerate(zip(C.DETECTORS, weights, strict=True))
     )
-    return f"""{EV}, mr AS ({parts}), ap AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY s DESC, i) AS place FROM mr WHERE applies),
-ag AS (SELECT event_id, count(*) AS n_applicable, count(*) FILTER (WHERE s >= {C.FIRING_SCORE}) AS n_firing, count(*) FILTER (WHERE s >= 0.5) AS n_reasons, max(s) AS peak, sum(w * s) AS ws, sum(w) AS sw,
-  max(w) FILTER (WHERE place = 1) AS w1, max(detector) FILTER (WHERE place = 1) AS first_detector FROM ap GROUP BY event_id),
-en AS (SELECT event_id, coalesce(n_applicable, 0) AS n_applicable, coalesce(n_firing, 0) AS n_firing, coalesce(n_reasons, 0) AS n_reasons,
-  CASE WHEN peak > 0 THEN first_detector END AS strongest, coalesce(ws / nullif(sw, 0), 0.0) AS weighted_mean,
-  round(100 * CASE WHEN n_applicable IS NULL THEN 0.0 ELSE least(1.0, peak + (1 - peak) * (CASE WHEN n_applicable >= 2 AND sw - w1 > 1e-12 THEN (ws - w1 * peak) / (sw - w1) ELSE 0.0 END) * {C.AGREEMENT_WEIGHT}) END, 2) AS score,
-  CASE WHEN coalesce(n_applicable, 0) = 0 THEN 0.0 ELSE round(least(0.95, 0.35 + 0.35 * n_applicable / 6.0::DOUBLE + 0.30::DOUBLE * n_firing / n_applicable), 4) END AS confidence FROM ev LEFT JOIN ag USING (event_id)),
+    return f"""{EV}, mr AS (SELECT *, (s >= 0.5)::INT AS n_reasons FROM ({parts})), {_fused(6)},
 es AS (SELECT en.*, event_type, user_id, CASE WHEN score >= 85 THEN 'critical' WHEN score >= 70 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'low' END AS severity FROM en JOIN ev USING (event_id)),
 gp AS (SELECT *, CASE WHEN score < 60 OR confidence < 0.5 THEN NULL WHEN event_type = 'error' AND score <= 95 AND coalesce(strongest IN ('peer_group', 'change_point'), false) THEN 'p1'
   WHEN event_type = 'view' AND score <= 80 THEN 'p2' WHEN score <= 90 AND coalesce(strongest = 'isolation_forest', false) THEN 'p3' END AS policy_id FROM es),
@@ -130,6 +137,28 @@ gt AS (SELECT *, CASE WHEN score < 60 THEN 'low_score' WHEN confidence < 0.5 THE
 MADE = f"WITH {_made()}"
 FINGERPRINT = """fr AS (SELECT event_id, list(DISTINCT feature) AS every, list(DISTINCT feature) FILTER (WHERE place = 1) AS own FROM ap WHERE s >= 0.5 GROUP BY event_id)"""
 
+def _joined() -> str:
+    """What the detectors that SQL can state say of the events after the split, fused and gated. Their own statements round last; here they don't."""
+    whole = lambda sql: re.sub(r"round\((coalesce\([a-z.]+, 0\.0\)), 5\)", r"\1", sql)
+    robust = f"{RESOLVED} SELECT event_id, bool_or(known) AS applicable, coalesce(max(d), 0.0) AS score, count(*) FILTER (WHERE d >= {C.ROBUST_REASON}) AS n_reasons FROM rd GROUP BY event_id"
+    rarity = f"""WITH {TRAIN}, sc AS ({_scopes("tr", ("event_type",))}), g AS (SELECT scope_key, event_type AS v, count(*) AS n FROM sc WHERE event_type <> '' GROUP BY ALL),
+t AS (SELECT scope_key, sum(n) AS c, count(*) AS k FROM g GROUP BY scope_key), ok AS (SELECT scope_key FROM sc WHERE depth = 1 GROUP BY scope_key HAVING count(*) >= {C.MIN_SCOPE_SAMPLES}),
+e AS (SELECT event_id, event_type AS v, coalesce(ok.scope_key, '*') AS bs FROM sp LEFT JOIN ok ON ok.scope_key = 'event_type=' || coalesce(event_type, '') WHERE NOT training),
+d AS (SELECT event_id, t.c IS NOT NULL AS applicable, CASE WHEN e.v <> '' AND t.c IS NOT NULL THEN greatest(0.0, least(1.0, 1 - (coalesce(g.n, 0) / t.c::DOUBLE * t.c + 1) / (t.c + t.k + 1) * (t.k + 1))) END AS r
+  FROM e LEFT JOIN t ON t.scope_key = bs LEFT JOIN g ON g.scope_key = bs AND g.v = e.v)
+SELECT event_id, applicable, coalesce(r, 0.0) AS score, (coalesce(r, 0.0) >= {C.RARITY_REASON})::BIGINT AS n_reasons FROM d"""
+    peer = f"""{EVENT_PEERS} SELECT event_id, a.entity IS NOT NULL OR b.entity IS NOT NULL AS applicable, coalesce(a.score, b.rate_score, 0.0) AS score,
+  (coalesce(a.score, b.rate_score, 0.0) >= {C.PEER_REASON})::BIGINT AS n_reasons FROM sp LEFT JOIN pf a ON a.entity = sp.user_id AND a.scope_key = 'event_type=' || coalesce(event_type, '')
+  LEFT JOIN pf b ON b.entity = sp.user_id AND b.scope_key = '*' WHERE NOT training"""
+    of = {"robust_deviation": robust, "categorical_rarity": rarity, "rolling_quantile": whole(_rolling()), "change_point": whole(_change()), "peer_group": peer}
+    parts = " UNION ALL ".join(
+        f"SELECT event_id, {i} AS i, '{d}' AS detector, {C.DETECTOR_WEIGHTS[d]}::DOUBLE AS w, applicable AS applies, score AS s, n_reasons FROM ({sql})" for i, (d, sql) in enumerate(of.items())
+    )
+    return f"""WITH {SPLIT.replace("ev AS", "e0 AS", 1).replace("FROM ev)", "FROM e0)")}, ev AS (SELECT * EXCLUDE (training) FROM sp WHERE NOT training),
+mr AS (SELECT x.* FROM ({parts}) x SEMI JOIN ev USING (event_id)), {_fused(5)}
+SELECT event_id, score, strongest, n_applicable, n_firing, confidence, CASE WHEN score < 60 THEN 'low_score' WHEN confidence < 0.5 THEN 'low_confidence' WHEN n_reasons = 0 THEN 'unexplained' ELSE 'candidate' END AS gate FROM en"""
+
+
 VERDICTS = """vd AS (SELECT doc_id AS id, source AS strongest, 'lang=' || lang AS baseline_scope, CASE WHEN quality = 1 THEN CASE WHEN toxic = 1 THEN 'duplicate' ELSE 'true_exception' END ELSE 'false_positive' END AS label,
   (n_chars % 100)::DOUBLE AS anomaly_score FROM labels JOIN documents USING (doc_id)),
 dq AS (SELECT coalesce(nullif(strongest, ''), 'unknown') AS detector, count(*) AS total, count(*) FILTER (WHERE label = 'true_exception') AS confirmed,
@@ -148,6 +177,7 @@ outc AS (SELECT idx, n_problems, 'rejected' AS outcome FROM bt WHERE n_problems
 NUMBER = r"^[+-]?(\d+([.,]\d*)?|[.,]\d+)([eE][+-]?\d+)?$"
 
 ORACLES = {
+    "detector_gates": _joined(),
     "temporal_split": f"WITH {SPLIT} SELECT event_id, training FROM sp",
     "baseline_rollup_numeric": f"{_rollup(TRAIN, 'tr', ('event_type',), EVENT_FEATURES)} SELECT * FROM st",
     "baseline_rollup_lineitem": f"{_rollup(LI, 'li', ('l_returnflag', 'l_linestatus'), LINE_FEATURES)} SELECT * FROM st",

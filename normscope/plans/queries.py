@@ -28,9 +28,19 @@ def flagship_case_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "entity_id", "event_id", "fingerprint", "title", "anomaly_score", "severity", "confidence", "baseline_scope", F.size("reasons").alias("n_reasons"))
 
 
+STATED = tuple(d for d in C.DETECTORS if d != "isolation_forest")
+
+
+def detector_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run without the forest, whose trees no SQL states: every scored event's fused result and gate, from the detectors themselves."""
+    scored = detection.score(logs.events(spark, sf_dir), logs.EVENTS, use=STATED)
+    rows = cases.gate(scored, logs.EVENTS)
+    return rows.select("event_id", "score", "strongest", F.col("n_applicable").cast("long"), F.col("n_firing").cast("long"), "confidence", "gate")
+
+
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = detection.detect(logs.events(spark, sf_dir), logs.EVENTS)
-    return tables.run_metrics(decided, "run").drop("finished_at", "error")
+    return tables.run_metrics(decided, "run").drop("finished_at", "error", "version", "revision", "detector_failures")
 
 
 # ---------------------------------------------------------------- split, baselines
@@ -417,7 +427,7 @@ def time_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    flagship_case_queue, run_metrics, temporal_split, baseline_rollup_numeric, baseline_rollup_lineitem, baseline_zero_inflated, baseline_categorical, baseline_fallback, baseline_lookup,
+    flagship_case_queue, run_metrics, detector_gates, temporal_split, baseline_rollup_numeric, baseline_rollup_lineitem, baseline_zero_inflated, baseline_categorical, baseline_fallback, baseline_lookup,
     robust_deviation_scores, robust_deviation_reasons, categorical_rarity_scores, rolling_window_history, scoped_history_depth, rolling_quantile_scores, change_point_scores,
     peer_profiles, peer_stats, peer_findings, peer_group_scores, isolation_forest_scores, ensemble_scores, confidence_severity, strongest_detector, recompute_scores,
     policy_suppression, gate_outcomes, case_fingerprint, dedup_fold, case_queue_filtered, case_queue_topk, overview_counts, schema_counts, latest_label, labelled_cases,
