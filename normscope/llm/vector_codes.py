@@ -3,7 +3,7 @@
 A vector's components become floor(1024 * x) and are cut into parts, each coded by the nearest of a codebook's entries. The
 search takes a part's dimensions in descending variance of the codebook. Each dimension adds its squared difference; entries whose sum strictly
 exceeds the current best complete distance are masked out, so ties live on and go to the lowest entry. The best complete distance
-starts with the entry that the row is coded by after the first dimensions and shrinks when that of the least partial sum is completed.
+is that of the entries which led after some of the dimensions.
 
 Codebooks are learned by rounds of assignment and floored means. Each batch leaves one row of sums for each entry it uses, Spark adds them,
 and the driver holds the codebooks alone (parts x entries rows). All sums are whole numbers: results don't depend on partitioning.
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from . import base
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-#: Dimensions that all entries pass before masks are drawn.
-_AHEAD = 2
+#: Dimensions, from 0, after which the distance of the entry that leads is completed.
+_COMPLETED = (1, 3, 7)
+_FAR = np.iinfo(np.int64).max
 #: Rows of a label are added up in so many places, and its sum meets them in as many.
 SALTS = 16
 
@@ -68,32 +69,40 @@ class Codebooks:
         self.order = np.argsort(-spread, axis=1, kind="stable")
 
     def nearest(self, part: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest entry of each row, of equal ones the lowest, and its squared distance."""
+        """The nearest entry of each row, of equal ones the lowest, and its squared distance. Masks lie over all rows and entries
+        until an eighth of them is left at most; from then on the pairs that are left are listed."""
         book, order = self.entries[part], self.order[part].tolist()
-        n, at = len(x), np.arange(len(x))
-        ahead, later = order[:_AHEAD], order[_AHEAD:]
-        partial = np.zeros((n, len(book)), dtype=np.int64)
-        for d in ahead:
-            partial += (x[:, d, None] - book[None, :, d]) ** 2
-        first = partial.argmin(axis=1)
-        best = ((x - book[first]) ** 2).sum(axis=1)  # a complete distance
-        row, entry = np.nonzero(partial <= best[:, None])
-        total = partial[row, entry]
-        for k, d in enumerate(later):
-            total = total + (x[row, d] - book[entry, d]) ** 2
-            if k == len(later) // 4:  # complete that of the least partial sum of each row: a better bound
-                least = np.minimum.reduceat(total, np.searchsorted(row, at))
-                lead = np.flatnonzero(total == least[row])
-                lead = lead[np.searchsorted(row[lead], at)]
-                best = np.minimum(best, ((x - book[entry[lead]]) ** 2).sum(axis=1))
-            alive = total <= best[row]
-            row, entry, total = row[alive], entry[alive], total[alive]
-        starts = np.searchsorted(row, at)
-        least = np.minimum.reduceat(total, starts)
+        at = np.arange(len(x))
+        partial, alive, listed = np.zeros((len(x), len(book)), dtype=np.int64), np.ones((len(x), len(book)), dtype=bool), None
+        best = np.full(len(x), _FAR)
+        for k, d in enumerate(order):
+            if listed is None:
+                away = x[:, d, None] - book[None, :, d]
+                away *= away
+                partial += away
+                if k in _COMPLETED:  # the complete distance of the least partial one
+                    lead = np.where(alive, partial, _FAR).argmin(axis=1)
+                    best = np.minimum(best, ((x - book[lead]) ** 2).sum(axis=1))
+                if k >= _COMPLETED[0]:
+                    alive &= partial <= best[:, None]
+                    if 8 * np.count_nonzero(alive) <= alive.size:
+                        listed = np.nonzero(alive)
+                        total = partial[listed]
+            else:
+                row, entry = listed
+                total = total + (x[row, d] - book[entry, d]) ** 2
+                going = total <= best[row]
+                listed, total = (row[going], entry[going]), total[going]
+        if listed is None:
+            partial = np.where(alive, partial, _FAR)
+            found = partial.argmin(axis=1)
+            return found, partial[at, found]
+        row, entry = listed
+        least = np.minimum.reduceat(total, np.searchsorted(row, at))
         hits = np.flatnonzero(total == least[row])
         return entry[hits[np.searchsorted(row[hits], at)]], least
 
-    def assign(self, x: np.ndarray, rows: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    def assign(self, x: np.ndarray, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """(codes by row and part, squared distance summed over the parts)."""
         parts, _, width = self.entries.shape
         codes, error = np.zeros((len(x), parts), np.int64), np.zeros(len(x), np.int64)
