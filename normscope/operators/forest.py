@@ -59,10 +59,10 @@ class Forest:
 
     def _grow(self, samples: list[np.ndarray], r: np.random.Generator) -> None:
         """All trees at once, level by level: a node's rows lie side by side."""
-        self.trees, self.sample = np.arange(len(samples)), max(map(len, samples))  # the roots
+        self.n_trees, self.sample = len(samples), max(map(len, samples))
         limit = max(1, math.ceil(math.log2(max(2, self.sample))))
         x, node = np.concatenate(samples), np.repeat(np.arange(len(samples)), [len(s) for s in samples])
-        made, base, level = [], 0, 0
+        made, base, level, owner = [], 0, 0, np.arange(len(samples))
         while len(x):
             starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
             counts = np.diff(np.append(starts, len(x)))
@@ -74,22 +74,29 @@ class Forest:
             t = low + r.random(len(starts)) * (high - low)
             t = np.where(t < high, t, low)  # a side is never empty
             child = base + len(starts) + 2 * (np.cumsum(splits) - 1)
-            made.append((np.where(splits, f, -1), t, np.where(splits, child, 0), np.where(splits, child + 1, 0), np.where(splits, 0.0, level + _path_length(counts))))
+            made.append((owner, np.where(splits, f, -1), np.where(splits, t, 0.0), np.where(splits, child, 0), np.where(splits, child + 1, 0), np.where(splits, 0.0, level + _path_length(counts))))
             of = np.repeat(at, counts)
             going = splits[of]
             x, of = x[going], of[going]
             node = child[of] + (x[np.arange(len(x)), f[of]] > t[of])
             order = np.argsort(node, kind="stable")
             x, node = x[order], node[order]
-            base, level = base + len(starts), level + 1
-        self.feature, self.threshold, self.left, self.right, self.depth = (np.concatenate(c) for c in zip(*made, strict=True))
+            base, level, owner = base + len(starts), level + 1, np.repeat(owner[splits], 2)
+        self.tree, self.feature, self.threshold, self.left, self.right, self.depth = (np.concatenate(c) for c in zip(*made, strict=True))
+
+    @property
+    def trees(self) -> list[tuple[np.ndarray, ...]]:
+        """Each tree's part of the arrays."""
+        order = np.argsort(self.tree, kind="stable")
+        parts = [np.split(x[order], np.searchsorted(self.tree[order], np.arange(1, self.n_trees))) for x in (self.feature, self.threshold, self.left, self.right, self.depth)]
+        return list(zip(*parts, strict=True))
 
     def margin(self, rows: np.ndarray) -> np.ndarray:
         """0.5 less the anomaly score: below 0 for outliers."""
         return np.concatenate([self._margin(rows[k : k + MARGIN_ROWS]) for k in range(0, len(rows), MARGIN_ROWS)]) if len(rows) else np.zeros(0)
 
     def _margin(self, rows: np.ndarray) -> np.ndarray:
-        at = np.repeat(self.trees[:, None], len(rows), axis=1)  # by tree and row
+        at = np.repeat(np.arange(self.n_trees)[:, None], len(rows), axis=1)  # by tree and row
         row = np.arange(len(rows))[None, :]
         while True:
             f = self.feature[at]

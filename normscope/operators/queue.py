@@ -86,6 +86,11 @@ def labelled(cases: DataFrame, feedback: DataFrame) -> DataFrame:
     return cases.join(feedback.select("exception_id", "label"), cases["id"] == F.col("exception_id")).drop("exception_id")
 
 
+def with_component(cases: DataFrame, detector: str, least: float = C.FIRING_SCORE) -> DataFrame:
+    """Cases to which a detector contributed at least a score, by their stored evidence."""
+    return cases.where(F.exists("evidence.detectors", lambda r: r["applicable"] & (r["detector"] == detector) & (r["score"] >= least)))
+
+
 def detail(cases: DataFrame, feedback: DataFrame, recomputed: Column) -> DataFrame:
     """Cases with all their labels, oldest first, and the score computed again."""
     listed = feedback.groupBy("exception_id").agg(F.sort_array(F.collect_list(F.struct("created_at", "label", "note", "author"))).alias("feedback"))

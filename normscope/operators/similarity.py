@@ -20,13 +20,18 @@ def similar(targets: DataFrame, candidates: DataFrame, *, weights: Mapping[str,
     """The best ``limit`` candidates of every target of the same schema: from views with id, schema_id,
     entity_id, baseline_scope, severity, status, keys, values. A target set is a few cases that someone
     looks at, so every candidate of their schema is scored against them."""
-    t, c = targets.alias("t"), candidates.alias("c")
+    whole = lambda rows: rows.withColumn("keys", F.array_distinct(F.coalesce("keys", F.array().cast("array<string>"))))
+    t, c = whole(targets).alias("t"), whole(candidates).alias("c")
     rows = t.join(c, (F.col("t.schema_id") == F.col("c.schema_id")) & (F.col("t.id") != F.col("c.id")))
     same = lambda name: F.coalesce((F.col(f"t.{name}") == F.col(f"c.{name}")).cast("double"), F.lit(0.0))
+    common = F.size(F.array_intersect("t.keys", "c.keys"))
+    union = F.size("t.keys") + F.size("c.keys") - common
     parts = {
-        "reasons": S.jaccard(F.col("t.keys"), F.col("c.keys")), "entity": same("entity_id"), "scope": same("baseline_scope"), "severity": same("severity"),
-        "numeric": S.proximity(F.col("t.values"), F.col("c.values")),
+        "reasons": F.when(union > 0, common / union).otherwise(F.lit(0.0)), "entity": same("entity_id"), "scope": same("baseline_scope"), "severity": same("severity"),
     }
+    # numbers are compared where the rest leaves the floor within reach: their part is 1 at most
+    least = sum((F.lit(weights[k]) * v for k, v in parts.items()), F.lit(0.0))
+    parts["numeric"] = F.when(least + weights["numeric"] >= floor - 1e-8, S.proximity(F.col("t.values"), F.col("c.values"))).otherwise(F.lit(0.0))
     total = sum((F.lit(weights[k]) * v for k, v in parts.items()), F.lit(0.0))
     rows = rows.select(F.col("t.id").alias("target_id"), F.col("c.id").alias("id"), F.col("c.status").alias("status"), *[v.alias(f"s_{k}") for k, v in parts.items()], total.alias("total"))
     rows = rows.where(F.round("total", 9) >= floor)

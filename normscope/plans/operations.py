@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def add_events(store: Catalog, spec: EventSpec, batch: DataFrame) -> DataFrame:
     if not 1 <= batch.limit(ingest.MAX_BATCH + 1).count() <= ingest.MAX_BATCH:
         raise ValueError(f"a batch has 1 to {ingest.MAX_BATCH} events")
     known = store.scan("events", schema=spec.name).select("external_key") if store.exists("events") else batch.sparkSession.createDataFrame([], "external_key string")
-    out = tables.materialised(ingest.outcomes(batch, spec, known))
+    out = tables.materialised(ingest.outcomes(batch, spec, known, bounded=True))
     store.append("events", out.where("outcome = 'accepted'").select(F.lit(spec.name).alias("schema_id"), "external_key", "entity_id", "at", "payload"))
     return out
 
@@ -155,6 +156,13 @@ def add_feedback(store: Catalog, given: DataFrame) -> None:
     store.append("feedback", rows)
 
 
+def explain(store: Catalog, chosen: DataFrame, provider: Callable[[pd.DataFrame], pd.DataFrame], *, purpose: str = "explain") -> DataFrame:
+    """Accounts of cases by a provider, or the template's where it fails; the log of its calls is appended."""
+    told, calls = queue.explained(chosen, provider, purpose=purpose)
+    store.append("provider_calls", calls.withColumn("created_at", F.current_timestamp()))
+    return told
+
+
 def add_policy(store: Catalog, policy: Mapping[str, object]) -> None:
     row = {"schema_id": None, "match": {}, "detectors": [], "reason": None, "active": True, **policy}
     _put_policies(store, store.spark.createDataFrame([tuple(row[c.split()[0]] for c in POLICY.split(", "))], POLICY))

@@ -33,13 +33,15 @@ def validated(batch: DataFrame, spec: EventSpec) -> DataFrame:
     return batch.select("idx", entity.alias("entity_id"), at.alias("at"), key.alias("external_key"), "payload", problems(spec, payload, at).alias("problems"))
 
 
-def outcomes(batch: DataFrame, spec: EventSpec, known: DataFrame) -> DataFrame:
+def outcomes(batch: DataFrame, spec: EventSpec, known: DataFrame, *, bounded: bool = False) -> DataFrame:
     """``validated`` rows with ``outcome``: rejected, duplicate or accepted. A rejected row uses up no id;
-    of equal ids in the batch the first stands."""
+    of equal ids in the batch the first stands. ``bounded``: the batch is known to have MAX_BATCH rows at most, so its keys go to where the store's lie."""
     rows = validated(batch, spec)
     good = rows.where(F.size("problems") == 0)
     first = F.row_number().over(Window.partitionBy("external_key").orderBy("idx")) == 1
-    seen = known.select(F.col("external_key")).distinct().withColumn("_known", F.lit(True))
+    # the store's keys are met by the batch's, so no shuffle but of those that both have; of its key column alone, unsorted and as it lies
+    asked = good.select("external_key").distinct()
+    seen = known.select("external_key").join(F.broadcast(asked) if bounded else asked, "external_key", "left_semi").distinct().withColumn("_known", F.lit(True))
     good = good.withColumn("_first", first).join(seen, "external_key", "left")
     good = good.withColumn("outcome", F.when(F.col("_known").isNull() & F.col("_first"), "accepted").otherwise("duplicate")).drop("_first", "_known")
     return good.unionByName(rows.where(F.size("problems") > 0).withColumn("outcome", F.lit("rejected")))

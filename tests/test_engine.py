@@ -209,6 +209,29 @@ def test_similar_and_narrative(spark, demo):
     assert queue.narrative(stored).count() == len(made) and queue.notifications(stored, force=True).count() == len(made)
 
 
+def test_cases_by_component(spark, demo):
+    found, made = demo
+    stored = cases.to_cases(found, SPEC)
+    for d in C.DETECTORS:
+        want = {i for i, e in zip(made["id"], made["evidence"], strict=True) if any(r["detector"] == d and r["applicable"] and r["score"] >= 0.4 for r in e["detectors"])}
+        assert {r["id"] for r in queue.with_component(stored, d).select("id").collect()} == want
+
+
+def test_a_batch_meets_the_store_without_a_shuffle_of_it(spark):
+    spec = EventSpec(entity="e", time="t", event_id="k", numeric=("v",))
+    batch = spark.createDataFrame([(i, f"{i}", None, {"e": "x", "t": "2026-05-01", "v": "1"}) for i in range(20)], "idx int, external_id string, occurred_at timestamp, payload map<string,string>")
+    known = spark.range(100_000).select(F.col("id").cast("string").alias("external_key")).where("cast(external_key as int) % 2 = 0")
+    out = ingest.outcomes(batch, spec, known.union(known), bounded=True)
+    assert tuple(ingest.summary(out).first()) == (10, 10, 0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "broadcast" in plan
+
+
+def test_events_without_a_time_are_at_the_epoch(spark):
+    log_ = rows(spark, range(10)).unionByName(rows(spark, [1.0, 2.0]).withColumns({"ts": F.lit(None).cast("timestamp"), "event_id": F.col("event_id") + 100}))
+    assert {r["event_id"] for r in history.split(log_, ONE, 0.25).where("training").collect()} == {100, 101, 0}
+
+
 def test_queue_life(spark):
     made = spark.createDataFrame([("1", "t", "open", 70.0), ("2", "t", "open", 90.0)], "id string, tenant_id string, status string, anomaly_score double")
     made = made.withColumns({c: F.lit(None).cast(t) for c, t in (("assignee", "string"), ("resolution_note", "string"), ("resolved_at", "timestamp"))})

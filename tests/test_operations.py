@@ -104,6 +104,13 @@ def test_failing_and_added_detectors(spark):
     assert {x["k"] for x in got if x["r"]["steady"]["score"] == 1} == {"k0157", "k0158", "k0159"}
 
 
+def test_calls_of_a_provider_are_stored(spark, store):
+    held = spark.createDataFrame([("1", "a", 90.0, "high", "*")], "id string, title string, anomaly_score double, severity string, baseline_scope string")
+    held = held.withColumns({"reasons": F.array(F.struct(F.lit("why").alias("explanation"))), "evidence": F.struct(F.lit("peer_group").alias("strongest_detector"))})
+    assert operations.explain(store, held, lambda frame: 1 / 0).first()["summary"] == "a (score 90.0, high)"
+    assert [(r["id"], r["ok"], r["purpose"]) for r in store.read("provider_calls").collect()] == [("1", False, "explain")]
+
+
 def test_explained_cases(spark):
     held = spark.createDataFrame([("1", "a", 90.0, "high", "*"), ("2", "b", 80.0, "high", "*")], "id string, title string, anomaly_score double, severity string, baseline_scope string")
     reasons = F.array(F.struct(F.lit("why").alias("explanation")))
