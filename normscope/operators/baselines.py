@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scalars as S
+from ..sources.tables import made_of
 from . import quantiles
 
 STATS = ("count", "zero_share", "informative", "median", "mad", "sigma", "p05", "p25", "p75", "p95", "min", "max")
@@ -46,11 +47,11 @@ def numeric_stats(values: DataFrame, keys: Sequence[str], *, floor: bool = True,
         sigma = F.greatest(sigma, F.abs(median) * C.RELATIVE_SIGMA_FLOOR)
     sigma = F.when(sigma > 0, sigma).otherwise((F.col("max") - F.col("min")) / 4)
     r = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
-    return rows.select(
+    return made_of(rows.select(
         *keys, "count", F.round("exact_share", 4).alias("zero_share"), "informative", r(median).alias("median"), r(F.col("mad")).alias("mad"), r(sigma).alias("sigma"),
         *[r(F.col("q")[k]).alias(n) for k, n in ((1, "p05"), (2, "p25"), (3, "p75"), (4, "p95"))], r(F.col("min")).alias("min"), r(F.col("max")).alias("max"),
         (F.col("exact_share") >= C.ZERO_INFLATION_SHARE).alias("zero_inflated"),
-    )
+    ), rows)
 
 
 def numeric_baselines(events: DataFrame, features: Sequence[str], dimensions: Sequence[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scalars as S
+from ..sources.tables import made_of
 from ..spec import EventSpec
 from . import quantiles
 from .baselines import in_scopes
@@ -38,7 +39,8 @@ def stats(profile: DataFrame, min_entities: int = C.PEER_MIN_ENTITIES) -> DataFr
     values = profile.select("scope_key", "metric", "value", F.lit(1).alias("n"))
     rows = quantiles.statistics(values, ("scope_key", "metric"), shares=(0.5,), least_values=min_entities, inflated=False)
     sigma = F.col("mad") * C.MAD_TO_SIGMA
-    return rows.select("scope_key", "metric", F.col("q")[0].alias("median"), F.when(sigma > 0, sigma).otherwise((F.col("max") - F.col("min")) / 4).alias("sigma"), F.col("count").alias("peers"))
+    sigma = F.when(sigma > 0, sigma).otherwise((F.col("max") - F.col("min")) / 4)
+    return made_of(rows.select("scope_key", "metric", F.col("q")[0].alias("median"), sigma.alias("sigma"), F.col("count").alias("peers")), rows)
 
 
 def deviation(value: Column, median: Column, sigma: Column) -> Column:

@@ -85,9 +85,10 @@ def score(
 def detect(
     log: DataFrame, spec: EventSpec, *, policies: Sequence[dict] | DataFrame = (), config: cases.GateConfig | None = None, open_cases: DataFrame | None = None, **options: object,
 ) -> DataFrame:
-    """Scored events with their ``decision``; ``options`` are those of ``score``."""
+    """Scored events with their ``decision``; ``options`` are those of ``score``, whose stored table ``tables.discard`` deletes by the result."""
     config = config or cases.GateConfig(min_score=spec.min_score)
-    return cases.decide(cases.gate(score(log, spec, **options), spec, config, policies), spec, config, open_cases)
+    scored = score(log, spec, **options)
+    return tables.made_of(cases.decide(cases.gate(scored, spec, config, policies), spec, config, open_cases), scored)
 
 
 def case_queue(log: DataFrame, spec: EventSpec, **options: object) -> DataFrame:

@@ -69,18 +69,22 @@ def run_detection(store: Catalog, spec: EventSpec, run_id: str | None = None, *,
     """A run over all stored events under the active policies: its cases are appended, but for those whose like
     is open, and its metrics. What it learns is stored as the next version; with ``version``, nothing is fitted and that version's tables
     score. The run's row says running until it has ended; a run that raises is stored as failed."""
-    run_id, made_of = run_id or uuid.uuid4().hex, [version]
+    run_id, made_of, held_by = run_id or uuid.uuid4().hex, [version], []
+
+    def keep(new: Learned) -> None:
+        made_of.append(save_learned(store, spec, new))
+        held_by.extend(getattr(new, part) for part in LEARNED.values())
+
     row = lambda rows: store.append("runs", rows.withColumn("schema_id", F.lit(spec.name)))
     row(tables.unfinished_run(store.spark, run_id))
     try:
         held = policies(store, spec.name) if store.exists("policies") else ()
         learned = None if version is None else load_learned(store, spec, version)
-        found = tables.materialised(detection.detect(
-            events(store, spec), spec, policies=held, learned=learned, keep=lambda new: made_of.append(save_learned(store, spec, new)), models=store.path("model_files"), **options,
-        ))
+        decided = detection.detect(events(store, spec), spec, policies=held, learned=learned, keep=keep, models=store.path("model_files"), **options)
+        found = tables.materialised(decided)
         add_cases(store, cases.to_cases(found, spec, store.tenant, run_id))
         row(tables.run_metrics(found, run_id, made_of[-1]))
-        tables.discard(store.spark, found)
+        tables.discard(store.spark, found, decided, *held_by)  # what is stored with the tenant stays
     except Exception as error:
         row(tables.failed_run(store.spark, run_id, error))
         raise

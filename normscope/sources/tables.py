@@ -45,6 +45,12 @@ def materialised(rows: DataFrame) -> DataFrame:
     return stored
 
 
+def made_of(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """``rows``, a plain view of a stored table, which ``discard`` then deletes by it."""
+    rows._stored_at = getattr(stored, "_stored_at", None)
+    return rows
+
+
 def discard(spark: SparkSession, *stored: DataFrame | None) -> None:
     """Deletes tables of ``materialised`` once what was made of them is stored itself."""
     for rows in stored:

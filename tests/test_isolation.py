@@ -1,5 +1,6 @@
 """A detector that raises costs its own score alone; storage and Spark failures stop the run. What runs learn is stored and scores again."""
 
+import os
 import pickle
 
 import numpy as np
@@ -130,7 +131,10 @@ def test_stored_versions_score_again(spark, tmp_path):
     shown = F.map_from_entries(F.array(*[F.struct(F.lit(c), F.col(c).cast("string")) for c in ("v", "w", "c")]))
     put = lambda rows: store.append("events", rows.select(F.lit("s").alias("schema_id"), F.col("k").alias("external_key"), F.col("e").alias("entity_id"), F.col("t").alias("at"), shown.alias("payload")))
     put(events(spark))
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(root))
     first = operations.run_detection(store, SPEC)
+    assert len(set(os.listdir(root)) - before) <= 1  # a run leaves no tables beside the tenant's, but the cases' small one
     done = operations.run(store, first).first()
     assert (done["status"], done["version"], done["scored"], done["detector_failures"]) == ("completed", 1, 160, {})
     assert {r["status"] for r in store.read("runs").collect()} == {"running", "completed"}
