@@ -35,7 +35,8 @@ def cell(value: Column) -> Column:
 
 def _part(value: Column, lo: Column, hi: Column) -> Column:
     """The part of [lo, hi] that holds a value: the first has the least, the last the greatest, those outside are beyond."""
-    inside = F.least(F.lit(PARTS), F.greatest(F.lit(0), F.floor((value / 4 - lo / 4) / (hi / 4 - lo / 4) * PARTS).cast("int")))
+    share = (value / 4 - lo / 4) / F.nullif(hi / 4 - lo / 4, F.lit(0.0))  # quarters don't overflow; of the least doubles they vanish
+    inside = F.least(F.lit(PARTS), F.greatest(F.lit(0), F.coalesce(F.floor(share * PARTS).cast("int"), F.lit(PARTS // 2))))
     return F.when(value < lo, -1).when(value > hi, PARTS + 1).when(value == lo, 0).when(value == hi, PARTS).otherwise(inside)
 
 

@@ -133,6 +133,7 @@ def test_statistics_equal_percentiles(spark, monkeypatch, leaf):
         "even": r.uniform(-5, 5, 401), "tail": np.exp(r.normal(0, 3, 500)), "zeros": np.where(r.random(300) < 0.7, 0.0, r.normal(0, 4, 300)), "one": np.full(40, 3.25),
         "far": 1e9 + r.normal(0, 1e-3, 200), "few": np.array([1.0, 2.0, 9.0]), "signs": np.concatenate([np.zeros(60), -np.arange(1.0, 21), np.arange(1.0, 11)]), "big": np.array([1e300, -1e300, 5.0, 7.0]),
         "next": 1000 + np.arange(300) * 2.0**-43, "tiny": np.array([5e-324, -5e-324, 1e-310, 3e-308, 1e-300]), "two": np.array([0.1] * 20 + [0.2] * 20),
+        "least": np.arange(1, 6) * 5e-324,
     }
     odd = [("even", v, 1) for v in (float("nan"), float("inf"), float("-inf"), None)]
     values = spark.createDataFrame([(k, float(v), 1) for k, x in parts.items() for v in x] + odd, "g string, value double, n long")
