@@ -10,6 +10,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,11 +40,33 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark)}/normscope-{purpose}-{uuid.uuid4().hex}"
 
 
+#: What Spark sends to a Python worker at once. Its own 64 MB are held twice by the JVM while buffers double, and again by the worker.
+SENT_BYTES = 4 << 20
+_SENT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside send at most about ``SENT_BYTES`` to a Python worker at once, one row at least;
+    a smaller limit of the session holds, and its own one comes back afterwards."""
+    before = spark.conf.get(_SENT)
+    limit = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before))
+    if limit <= SENT_BYTES:
+        yield
+        return
+    spark.conf.set(_SENT, str(SENT_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_SENT, before)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and executors may be lost."""
     spark = df.sparkSession
     path = shared_path(spark, purpose)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
