@@ -468,27 +468,39 @@ def _block_counts(component: DataFrame, nodes: DataFrame, texts: DataFrame) -> D
     return dealt.mapInArrow(run, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
+COLUMNS = 1024  # windows that are multiplied at once
+
+
+def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of all texts' sets, one set after the other, and the sets' sizes; made from about 1 MB of text at a time."""
+    windows, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for part in base.cut(pa.RecordBatch.from_arrays([texts], names=["text"]), 1 << 20):
+        window, at = shingles(part.column(0))
+        windows.append(window)
+        sizes.append(np.diff(at))
+    return np.concatenate(windows), np.concatenate(sizes)
+
+
 def _count_block(held: list[tuple[bool, int, str]], same: bool) -> pa.RecordBatch:
     """Links between the first and the second side of a pair of blocks, or inside one block."""
-    windows, at = shingles(pa.array([x for *_, x in held], pa.string()))
-    sizes = np.diff(at)
-    token, inverse = np.unique(windows, return_inverse=True)
-    of = np.repeat(np.arange(len(held)), sizes)
-    often = np.bincount(inverse, minlength=token.size) > 1
-    column = np.cumsum(often) - 1
-    use = often[inverse]
-    of, column = of[use], column[inverse[use]]
+    windows, sizes = _sets(pa.array([x for *_, x in held], pa.string()))
+    token, column = np.unique(windows, return_inverse=True)
+    del windows
+    often = np.bincount(column, minlength=token.size) > 1
+    use = often[column]
+    of = np.repeat(np.arange(len(held), dtype=np.int32), sizes)[use]
+    column = (np.cumsum(often, dtype=np.int32) - 1)[column[use]]
+    del token, use
     first = np.array([not s for s, *_ in held]) if not same else np.ones(len(held), bool)
     second = ~first if not same else first
     common = np.zeros((int(first.sum()), int(second.sum())), np.float32)
     order = np.argsort(column, kind="stable")
     of, column = of[order], column[order]
-    step = 4096
-    for at in range(0, int(often.sum()), step):
-        a, b = np.searchsorted(column, [at, at + step])
-        x = np.zeros((len(held), min(step, int(often.sum()) - at)), np.float32)
+    for at in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        x = np.zeros((len(held), min(COLUMNS, int(often.sum()) - at)), np.float32)
         x[of[a:b], column[a:b] - at] = 1
-        common += x[first] @ x[second].T
+        common += x @ x.T if same else x[first] @ x[second].T
     union = sizes[first][:, None] + sizes[second][None, :] - common
     linked = common >= SIMILARITY * union - 1e-9
     nodes = np.array([n for _, n, _ in held], dtype=np.int64)
