@@ -185,3 +185,43 @@ def test_shards_split_equal_ids(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_links_of_blocks_in_pieces(monkeypatch, same):
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(400)]
+    texts = ["", "one", *(" ".join(rng.choice(words, 60)) for _ in range(3))]
+    for k in range(40):  # near copies of the three, and of each other
+        near = texts[2 + k % 3].split(" ")
+        near[int(rng.integers(60))] = "other"
+        texts.append(" ".join(near[: 60 - k % 5]))
+    held = [(not same and k % 2 == 1, k, x) for k, x in enumerate(texts)]
+    sets = [set(np.asarray(ngram_join.shingles(pa.array([x]))[0]).tolist()) for x in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0
+    others = lambda k: [m for m in range(len(texts)) if m != k and (same or (m - k) % 2)]
+    expected = {k: sum(alike(k, m) for m in others(k)) for k in range(len(texts)) if texts[k]}
+    assert max(expected.values()) > 5
+    whole = ngram_join._count_block(held, same)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 7)
+    pieces = base.cut
+    monkeypatch.setattr(base, "cut", lambda batch, _: pieces(batch, 500))
+    for got in (whole, ngram_join._count_block(held, same)):
+        counts = dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+        assert {k: counts[k] for k in expected} == expected
+
+
+def test_stored_steps_send_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["bytes", "n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    df = spark.range(0, 1200, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text")).mapInArrow(sizes, "bytes long, n long")
+    got = base.stored(df, "batches").collect()
+    assert max(r["bytes"] for r in got) < 2 * base.SENT_BYTES and len(got) > 1 and sum(r["n"] for r in got) == 1200
+    assert spark.conf.get(name) == before
+    with pytest.raises(ValueError), base.small_batches(spark):
+        raise ValueError
+    assert spark.conf.get(name) == before
