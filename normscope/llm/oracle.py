@@ -51,7 +51,7 @@ FROM keyed k JOIN nodes USING (node) JOIN classes c ON c.id = nodes.copy_of LEFT
 
 
 def _url_filter() -> str:
-    """The whole of op7, models included, for up to 20,000 labelled rows a class."""
+    """The whole of op7, models included."""
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     longest = sorted(RULES, key=lambda r: (len(r.text), r.text), reverse=True)
     case = lambda value: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{getattr(r, value)}'" for r in longest) + " END"

@@ -3,10 +3,11 @@
 Two variable-order Markov models, of accepted and of rejected URLs, give each character a
 probability after its context: Witten-Bell smoothing mixes a context's counts with the next shorter
 context's, down to a uniform start, and contexts seen fewer than ``min_seen`` times in both classes
-stay unused. Models are counted by Spark aggregations over a bounded number of labelled rows: each distinct URL
-counts as often as its share of the rows says, the fraction rounded by a hash. They travel as one table of a
+stay unused. Models are counted by Spark aggregations over all labelled rows, each distinct URL
+as often as it comes. They travel as one table of a
 fixed size. The log-likelihood difference over the length is compared with a threshold calibrated
-on all labelled URLs, and the error left there is reported (each class counting as half).
+on all labelled URLs, and the error left there is reported (each class counting as half). A caller of ``learn`` may ask for
+models of a bounded number of rows: then each distinct URL counts by its share, the fraction rounded by a hash.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, no rule, and is judged by
 its characters (none: a difference of 0); without labelled URLs of both classes the threshold is
@@ -28,8 +29,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters with a number of their own; all others share the next number, after 0 for the start.
 ALPHABET = LOWER + "0123456789./:-_?=&%#~+@"
 SIGNS = len(ALPHABET) + 2
-#: Labelled rows of each class that the models are counted from, at most about.
-MAX_LABELLED = 20_000
 #: Scores are added up in so many bins a unit before they are ordered inside each bin.
 BINS = 256
 
@@ -101,18 +100,21 @@ class MarkovRatio:
         joined = numbered.select(row, *kept, F.explode_outer(codes).alias(code)).join(table, F.col(code) == F.col(key), "left")
         summed = joined.groupBy(row, *kept).agg(F.sum(d).alias(total), F.count(code).alias(size))
         mean = F.when(F.col(size) > 0, F.col(total) / F.col(size) / 1e9).otherwise(F.lit(0.0))
-        return summed.select(*kept, F.round(mean, 9).alias("difference"))
+        return summed.select(*kept, _billionths(mean).alias("difference"))
 
 
-def learn(labelled: DataFrame, *, max_labelled: int = MAX_LABELLED, min_seen: int = 4) -> MarkovRatio:
-    """From (url, accepted boolean)."""
+def _billionths(x: Column) -> Column:
+    """Rounded as SQL does: the product, not the decimal form, tells halves."""
+    return F.round(x * 1e9) / 1e9
+
+
+def learn(labelled: DataFrame, *, max_labelled: int | None = None, min_seen: int = 4) -> MarkovRatio:
+    """From (url, accepted boolean). With ``max_labelled``, the models are counted from at most about so many rows of each
+    class; the threshold comes from all rows either way."""
     known = labelled.where("url IS NOT NULL AND accepted IS NOT NULL")
     known = base.stored(known.groupBy("url", "accepted").agg(F.count(F.lit(1)).alias("n_rows")), "url-labelled")
     sizes = {r["accepted"]: r["n"] for r in known.groupBy("accepted").agg(F.sum("n_rows").alias("n")).collect()}
-    share = lambda k: F.lit(min(1.0, max_labelled / max(1, sizes.get(k, 0))))
-    due = F.col("n_rows") * F.when(F.col("accepted"), share(True)).otherwise(share(False))
-    more = F.pmod(F.xxhash64("url"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < due - F.floor(due)
-    sample = base.stored(known.select("url", "accepted", (F.floor(due) + more.cast("long")).alias("n_rows")).where("n_rows > 0"), "url-sample")
+    sample = known if max_labelled is None else base.stored(_thinned(known, sizes, max_labelled), "url-sample")
     table = base.stored(_table(sample, min_seen), "url-model")
     ratio = MarkovRatio(table, float("-inf"))
     if len(sizes) < 2:
@@ -130,12 +132,20 @@ def learn(labelled: DataFrame, *, max_labelled: int = MAX_LABELLED, min_seen: in
     bins = scored.groupBy("bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     bins = bins.select("bin", summed("good", upto).alias("good_upto"), summed("bad", upto).alias("bad_upto"))
     worth = (F.col("bad_upto") + summed("bad", inside)) / F.lit(max(1, sizes[False])) - (F.col("good_upto") + summed("good", inside)) / F.lit(max(1, sizes[True]))
-    best = scored.join(bins, "bin").select("d", F.round(worth, 9).alias("worth")).orderBy(F.desc("worth"), "d").first()
+    best = scored.join(bins, "bin").select("d", _billionths(worth).alias("worth")).orderBy(F.desc("worth"), "d").first()
     if best and best["worth"] > 0:
         ratio.threshold, ratio.error = best["d"], (1 - best["worth"]) / 2
     return ratio
 
 
+def _thinned(known: DataFrame, sizes: dict[bool, int], max_labelled: int) -> DataFrame:
+    """About ``max_labelled`` rows of each class, every URL by its rows."""
+    share = lambda k: F.lit(min(1.0, max_labelled / max(1, sizes.get(k, 0))))
+    due = F.col("n_rows") * F.when(F.col("accepted"), share(True)).otherwise(share(False))
+    more = F.pmod(F.xxhash64("url"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < due - F.floor(due)
+    return known.select("url", "accepted", (F.floor(due) + more.cast("long")).alias("n_rows")).where("n_rows > 0")
+
+
 def _table(sample: DataFrame, min_seen: int) -> DataFrame:
     """(code, d): log P(c | ab, accepted) - log P(c | ab, rejected) for code (a * SIGNS + b) * SIGNS + c."""
     numbers = F.concat(F.array(F.lit(0), F.lit(0)), signs(F.col("url")))
