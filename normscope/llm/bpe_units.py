@@ -176,7 +176,8 @@ class UnitEncoder:
     def _add(self, room, s, size, firsts, which, keys) -> np.ndarray:
         """Slots of units that are encoded now; ``keys``, of units of LONGEST_KEPT bytes at most, are kept."""
         s, size, firsts = s[which], size[which], firsts[which]
-        made = self._encode([room[a : a + n].tobytes().decode() for a, n in zip(s.tolist(), size.tolist(), strict=True)], firsts.tolist())
+        raw = room.tobytes()
+        made = self._encode([raw[a:b].decode() for a, b in zip(s.tolist(), (s + size).tolist(), strict=True)], firsts.tolist())
         n, sizes = len(made), np.fromiter(map(len, made), np.int64, len(made))
         chunks = np.where(size <= LONGEST_KEPT, (size + 7) // 8, 0)
         slots = np.arange(self._used, self._used + n)
@@ -253,9 +254,9 @@ _PLAIN = re.compile(r"( ?(?:[A-Za-zÀ-ÖØ-öø-ƿ]+|[0-9]+))([!-&(-/:-@\[-`{-~]
 
 def _byte_names() -> dict[int, str]:
     """The sign of each byte in byte-level vocabularies: printable Latin-1 signs name themselves, all other
-    bytes are named by the signs from U+0100 on, in order."""
+    bytes are named by the signs from U+0100 on, in order. ``translate`` is slow at what a table lacks: all are in it."""
     others = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD)]
-    return {b: chr(0x100 + i) for i, b in enumerate(others)}
+    return {b: chr(b) for b in range(256)} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
 def _is_plain(parts: dict) -> bool:

@@ -174,6 +174,27 @@ def test_wavelet_reads_few_blocks(tmp_path):
     assert shard.unpacked - before <= 6 * shard.bits and (shard.decode() == ids).all()
 
 
+def test_wavelet_planes_by_pieces(monkeypatch):
+    import zstandard
+
+    made, new = [], zstandard.ZstdDecompressor
+    monkeypatch.setattr(zstandard, "ZstdDecompressor", lambda: made.append(1) or new())
+    r = np.random.default_rng(8)
+    for n, top in ((wavelet.PIECE - 1, 9), (wavelet.PIECE, 40_000), (3 * wavelet.PIECE + 17, 50_000), (2 * wavelet.PIECE + 1, 90_000), (5, 1)):
+        ids = r.integers(0, top, n).astype(np.uint32)
+        kept = ids.copy()
+        planes, zeros = wavelet._planes(ids)
+        x = kept
+        for k, (plane, n_zeros) in enumerate(zip(planes, zeros, strict=True)):
+            bit = (x >> (len(planes) - 1 - k) & 1).astype(bool)
+            assert (plane == np.packbits(bit)).all() and n_zeros == n - bit.sum()
+            x = np.concatenate([x[~bit], x[bit]])
+        made.clear()
+        shard = wavelet.ShardFile(wavelet.to_file(ids, [1], np.array([n])))
+        assert (shard.decode() == kept).all() and (ids == kept).all() and shard.documents()[1].tolist() == [0, n]
+        assert len(made) == 1  # not one for each block
+
+
 def test_shards_split_equal_ids(spark):
     df = spark.range(4000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("same text "), F.col("id") % 10).alias("text"))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
